@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldscore.llm.groups import linked_groups, split_groups
+from fieldscore.llm.leaks import leaked_items
 from fieldscore.llm.stable_sample import NumberStore, stable_sample
 from fieldscore.session import checkpoint_dir, cut, table
 
@@ -53,7 +54,12 @@ def p5_splits(spark: SparkSession, d: str) -> DataFrame:
     return split_groups(groups, table(spark, d, "split_targets")).select(F.col("record").alias("doc_id"), F.col("split").alias("split_name"))
 
 
-QUERIES = {"p2_stable_sample": p2_stable_sample, "p2_record_sample": p2_record_sample, "p5_found": p5_found, "p5_splits": p5_splits}
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    """Which document repeats which test item."""
+    return leaked_items(table(spark, d, "documents"), table(spark, d, "eval_items"))
+
+
+QUERIES = {"p7_found": p7_found, "p2_stable_sample": p2_stable_sample, "p2_record_sample": p2_record_sample, "p5_found": p5_found, "p5_splits": p5_splits}
 
 _NUMBER = "CAST(('0x' || substr(md5(coalesce(p.seed, '') || ':' || CAST({id} AS VARCHAR)), 1, 13)) AS BIGINT)::DOUBLE / 4503599627370496.0"
 ORACLES = {
