@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fieldscore.llm.addresses import same_addresses
 from fieldscore.llm.groups import linked_groups, split_groups
 from fieldscore.llm.leaks import leaked_items
 from fieldscore.llm.stable_sample import NumberStore, stable_sample
@@ -59,7 +60,14 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return leaked_items(table(spark, d, "documents"), table(spark, d, "eval_items"))
 
 
-QUERIES = {"p7_found": p7_found, "p2_stable_sample": p2_stable_sample, "p2_record_sample": p2_record_sample, "p5_found": p5_found, "p5_splits": p5_splits}
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    """All pairs of seller and customer addresses that name the same place."""
+    held = [F.struct(F.concat("doc_id", F.lit(f"#{p}")).alias("addr"), F.col("gt")[f"parties.{p}.addressStructured"].alias("text")) for p in ("seller", "customer")]
+    rows = table(spark, d, "gt_records").filter("doc_id is not null").select(F.inline(F.array(*held))).filter("text <> '__ABSENT__'").distinct()
+    return same_addresses(rows)
+
+
+QUERIES = {"p4_found": p4_found, "p7_found": p7_found, "p2_stable_sample": p2_stable_sample, "p2_record_sample": p2_record_sample, "p5_found": p5_found, "p5_splits": p5_splits}
 
 _NUMBER = "CAST(('0x' || substr(md5(coalesce(p.seed, '') || ':' || CAST({id} AS VARCHAR)), 1, 13)) AS BIGINT)::DOUBLE / 4503599627370496.0"
 ORACLES = {
