@@ -53,10 +53,11 @@ _FOLD = str.maketrans({"o": "0", "l": "1", "i": "1", "s": "5", "b": "8"})
 
 @dataclass(frozen=True)
 class AddressForm:
-    """Parameters: the n-gram length, the cosine a candidate needs, and when a word counts as known."""
+    """Parameters: the n-gram length, the cosine a candidate needs, and when a word counts as known (addresses
+    that hold it, by share and number, and the house numbers it is seen with)."""
 
     gram: int = 3
-    cosine: float = 0.3
+    cosine: float = 0.15
     known_share: float = 1e-4
     known_least: int = 3
     hashed_grams: int = 1 << 18
@@ -106,6 +107,8 @@ def _street_ahead(house: int, at: Callable[[int], str], plain: Callable[[int], b
         j += 1
     if plain(j) and at(j) in _KIND:
         return names[:2], j, direction
+    if len(names) == 2 and at(j) == "," and any(k not in names and plain(k) and _open_word(at(k)) and at(k) not in _FIRST and len(at(k)) > 2 for k in range(j + 12)):
+        return names, -1, direction  # a name cut in two: the town stands elsewhere
     return names[:1], -1, direction
 
 
@@ -179,7 +182,7 @@ def read_address(text: str) -> Reading:
         follows = k + 1 < len(rest) and rest[k + 1] == i + 1 and ts[i + 1] not in _REGION and ts[i + 1] not in _COUNTRY_WORDS
         if w in _FIRST and follows and not r.first and not names:
             r.first = _FIRST[w]
-        elif w in _REGION and (names or w in REGIONS.values() or len(rest) > 1 or at(i - 1) == ","):
+        elif w in _REGION:
             r.region = r.region or _REGION[w]
         elif w in _COUNTRY_WORDS or w in _NUMBER_WORD:
             continue
@@ -246,6 +249,10 @@ def same_place(a: Reading, b: Reading, known: set[str]) -> bool:
             return True
         x, y = a.street + a.town, b.street + b.town  # a name printed in two words may be cut elsewhere
         return len(a.street) != len(b.street) and edits(x, y, 1) <= 1
+    if a.town or b.town:  # a town before the street, with nothing between them, reads as a part of its name
+        x, y = (a, b) if a.town else (b, a)
+        if len(y.street) > len(x.street) + 2 and edits(x.town + x.street, y.street, 1) <= 1:
+            return True
     if not same_word(a.street, b.street, known) or (a.region and b.region and a.region != b.region):
         return False
     return not a.postcode or not b.postcode or edits(a.postcode, b.postcode, 2) <= 1
@@ -297,8 +304,8 @@ def same_addresses(addresses: DataFrame, ident: str = "addr", text: str = "text"
     reps = members.groupBy("rep", *PARTS).agg(F.count("*").alias("n"))
     total = members.count()
     least = max(form.known_least, math.ceil(form.known_share * total))  # so at most 2 / known_share words are known
-    counted = members.select(F.explode(F.array("street", "town")).alias("word")).filter("word <> ''").groupBy("word").agg(F.count("*").alias("n"))
-    known = {r[0] for r in counted.filter(F.col("n") >= least).collect()}
+    counted = members.select("number", F.explode(F.array("street", "town")).alias("word")).filter("word <> ''").groupBy("word").agg(F.count("*").alias("n"), F.approx_count_distinct("number").alias("numbers"))
+    known = {r[0] for r in counted.filter((F.col("n") >= least) & (F.col("numbers") >= form.known_least)).collect()}
     blank = GramWeights(form, np.zeros(1), 1)
 
     @F.pandas_udf("array<int>")

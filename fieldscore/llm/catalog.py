@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from fieldscore.llm.addresses import same_addresses
 from fieldscore.llm.groups import linked_groups, split_groups
 from fieldscore.llm.leaks import leaked_items
-from fieldscore.llm.stable_sample import NumberStore, stable_sample
+from fieldscore.llm.stable_sample import NumberStore, seed_array, stable_sample
 from fieldscore.session import checkpoint_dir, cut, table
 
 
@@ -19,9 +19,10 @@ def p2_stable_sample(spark: SparkSession, d: str) -> DataFrame:
     store = NumberStore(spark, f"{checkpoint_dir(spark)}/numbers-{uuid.uuid4().hex}")
     plans = table(spark, d, "plans").filter("dataset = 'documents'").select("plan_name", "seed", "share")
     docs = table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("id"), "batch_no")
-    seeds = plans.select(F.coalesce("seed", F.lit("")).alias("seed")).distinct()
-    for k in range(1, 13):
-        store.see(docs.filter(F.coalesce("batch_no", F.lit(1)) == k).crossJoin(F.broadcast(seeds)).select("id", "seed"), k)
+    seeds = seed_array(plans)
+    last = docs.agg(F.max("batch_no")).first()[0] or 1
+    for k in range(1, last + 1):
+        store.see(docs.filter(F.coalesce("batch_no", F.lit(1)) == k).select("id", F.explode(seeds).alias("seed")), k)
     return stable_sample(store, plans).select("plan_name", F.col("doc_id").cast("bigint").alias("doc_id"), F.round("u", 9).alias("u"))
 
 
@@ -29,9 +30,8 @@ def p2_record_sample(spark: SparkSession, d: str) -> DataFrame:
     """The records drawn by each plan over records; repeated rows of a record fare alike."""
     store = NumberStore(spark, f"{checkpoint_dir(spark)}/numbers-{uuid.uuid4().hex}")
     plans = table(spark, d, "plans").filter("dataset is null or dataset <> 'documents'")
-    seeds = plans.select(F.coalesce("seed", F.lit("")).alias("seed")).distinct()
     records = table(spark, d, "gt_records").select(F.col("doc_id").alias("id"), "source_dataset")
-    store.see(records.select("id").distinct().crossJoin(F.broadcast(seeds)), 1)
+    store.see(records.select("id").distinct().select("id", F.explode(seed_array(plans)).alias("seed")), 1)
     drawn = stable_sample(store, plans.select("plan_name", "seed", "share"))
     of = plans.select("plan_name", F.col("dataset").alias("__of"))
     rows = records.withColumnRenamed("id", "doc_id").join(drawn, "doc_id").join(F.broadcast(of), "plan_name")

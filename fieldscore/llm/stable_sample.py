@@ -47,6 +47,14 @@ def non_decreasing(plans: DataFrame, kept: DataFrame | None = None) -> DataFrame
     return reduce(DataFrame.unionByName, parts).groupBy("plan_name", "seed").agg(F.max("share").alias("share"))
 
 
+def seed_array(plans: DataFrame, most: int = 10_000) -> Column:
+    """The different seeds of a handful of plans as one array; more than ``most`` are an error."""
+    seeds = [r[0] for r in plans.select(F.coalesce(F.col("seed").cast("string"), F.lit("")).alias("seed")).distinct().limit(most + 1).collect()]
+    if len(seeds) > most:
+        raise ValueError(f"more than {most} seeds")
+    return F.array(*[F.lit(s) for s in sorted(seeds)]).cast("array<string>")
+
+
 def stable_sample(store: NumberStore, plans: DataFrame, kept: DataFrame | None = None) -> DataFrame:
     """(plan_name, doc_id, u): the identifiers of the store under each plan's threshold.
 
