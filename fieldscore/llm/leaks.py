@@ -34,15 +34,20 @@ _INNER = re.compile(r"[^\w\s]+|_+")
 
 @dataclass(frozen=True)
 class LeakForm:
-    """What counts as a leak. A stock phrase is in more than ``stock_share`` of all documents (and in ``stock_least``)."""
+    """What counts as a leak. A stock phrase is in more than ``stock_share`` of all documents (and in ``stock_least``).
+
+    A stretch of eight words with one exchanged word still has three runs of three, so three hits within ``drift``
+    diagonals lose none of them.
+    """
 
     stretch: int = 8
     share: float = 1 / 3
     term: int = 3
     stock_share: float = 0.005
     stock_least: int = 3
-    band: int = 16
-    least_hits: int = 2
+    band: int = 32
+    drift: int = 4
+    least_hits: int = 3
     most_items: int = 200_000
 
 
@@ -59,9 +64,34 @@ def words(text: str | None) -> list[str]:
     return _INNER.sub("", t.casefold()).split()
 
 
-def term_hashes(ws: list[str], n: int) -> list[int]:
-    h = xxhash.xxh3_64_intdigest
-    return [h(" ".join(ws[i : i + n])) - (1 << 63) for i in range(len(ws) - n + 1)]
+_STEPS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], dtype=np.uint64)
+
+
+class WordHashes(dict):
+    """64-bit hashes of words, each computed once; forgets all when it holds a million words."""
+
+    def __missing__(self, w: str) -> int:
+        if len(self) > 1_000_000:
+            self.clear()
+        h = self[w] = xxhash.xxh3_64_intdigest(w)
+        return h
+
+
+def term_hashes(ws: list[str], n: int, known: WordHashes | None = None) -> np.ndarray:
+    """The hashes of all runs of n words."""
+    known = WordHashes() if known is None else known
+    h = np.fromiter(map(known.__getitem__, ws), dtype=np.uint64, count=len(ws))
+    return run_hashes(h, n)
+
+
+def run_hashes(h: np.ndarray, n: int) -> np.ndarray:
+    m = len(h) - n + 1
+    if m <= 0:
+        return np.zeros(0, np.int64)
+    out = np.zeros(m, np.uint64)
+    for k in range(n):
+        out = (out ^ (out >> np.uint64(31))) * _STEPS[0] + h[k : k + m] * _STEPS[k % 5]
+    return out.view(np.int64)
 
 
 def item_terms(items: DataFrame, item: str, text: str, form: LeakForm) -> tuple[DataFrame, dict[int, list[str]]]:
@@ -73,7 +103,7 @@ def item_terms(items: DataFrame, item: str, text: str, form: LeakForm) -> tuple[
     for i, t in rows:
         if ws := words(t):
             held[i] = ws if i not in held else max(held[i], ws, key=len)
-    out = [(h, i, o) for i, ws in held.items() for o, h in enumerate(term_hashes(ws, form.term))]
+    out = [(int(h), i, o) for i, ws in held.items() for o, h in enumerate(term_hashes(ws, form.term))]
     return items.sparkSession.createDataFrame(out, "term long, item_id long, off int"), held
 
 
@@ -82,26 +112,26 @@ def positional_index(docs: DataFrame, doc: str, text: str, terms: np.ndarray, fo
     shared = docs.sparkSession.sparkContext.broadcast(np.sort(np.unique(terms)))
 
     def postings(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known = shared.value
+        known, hashes = shared.value, WordHashes()
         for b in batches:
-            ids, sizes, hashes = [], [], []
-            for i, t in zip(b["doc_id"], b["text"], strict=True):
-                hs = term_hashes(words(t), form.term)
-                ids.append(i)
-                sizes.append(len(hs))
-                hashes.extend(hs)
-            h = np.array(hashes, dtype=np.int64)
-            if not len(known) or not len(h):
+            held = [words(t) for t in b["text"]]
+            sizes = np.array([len(ws) for ws in held])
+            h = np.fromiter((hashes[w] for ws in held for w in ws), dtype=np.uint64, count=int(sizes.sum()))
+            runs = run_hashes(h, form.term)
+            if not len(known) or not len(runs):
                 continue
-            at = np.minimum(np.searchsorted(known, h), len(known) - 1)
-            hit = np.flatnonzero(known[at] == h)
+            row = np.repeat(np.arange(len(sizes)), sizes)
+            at = np.minimum(np.searchsorted(known, runs), len(known) - 1)
+            last = np.arange(len(runs)) + form.term - 1
+            hit = np.flatnonzero((known[at] == runs) & (row[: len(runs)] == row[last]))  # runs within one text
             if not len(hit):
                 continue
-            n = np.array(sizes)
-            starts = np.cumsum(n) - n
-            row = np.repeat(np.arange(len(n)), n)[hit]
-            f = pd.DataFrame({"term": h[hit], "doc_id": np.array(ids, dtype=np.int64)[row], "pos": (hit - starts[row]).astype(np.int32)})
-            yield f.groupby(["term", "doc_id"], sort=False)["pos"].agg(list).reset_index(name="positions")
+            starts = np.cumsum(sizes) - sizes
+            r = row[hit]
+            f = pd.DataFrame({"term": runs[hit], "doc_id": b["doc_id"].to_numpy()[r], "pos": (hit - starts[r]).astype(np.int32)})
+            f = f.sort_values(["term", "doc_id", "pos"], kind="stable")
+            new = np.flatnonzero(np.r_[True, (f["term"].to_numpy()[1:] != f["term"].to_numpy()[:-1]) | (f["doc_id"].to_numpy()[1:] != f["doc_id"].to_numpy()[:-1])])
+            yield pd.DataFrame({"term": f["term"].to_numpy()[new], "doc_id": f["doc_id"].to_numpy()[new], "positions": np.split(f["pos"].to_numpy(), new[1:])})
 
     read = docs.select(F.col(doc).cast("long").alias("doc_id"), F.col(text).alias("text")).filter("doc_id is not null and text is not null")
     return cut(read.mapInPandas(postings, "term long, doc_id long, positions array<int>").repartition("term"))
@@ -203,7 +233,9 @@ def leaked_items(docs: DataFrame, items: DataFrame, doc: str = "doc_id", text: s
     seeded = live.withColumn("seed", F.col("df") <= F.percentile("df", F.lit(0.7)).over(w))  # the rarest of each passage
     hits = index.join(seeded.select("term", "item_id", "off", "seed"), "term").select("item_id", "doc_id", "off", "seed", F.explode("positions").alias("pos"))
     diag = F.col("pos") - F.col("off")
-    banded = hits.select("item_id", "doc_id", "off", "seed", F.explode(F.array(F.floor(diag / form.band) * 2, F.floor((diag + form.band // 2) / form.band) * 2 + 1)).alias("band"))
+    band = F.floor(diag / form.band)  # hits just behind a band's start count for the band before too
+    bands = F.when(F.pmod(diag, F.lit(form.band)) < form.drift, F.array(band, band - 1)).otherwise(F.array(band))
+    banded = hits.select("item_id", "doc_id", "off", "seed", F.explode(bands).alias("band"))
     found = banded.groupBy("item_id", "doc_id", "band").agg(F.count_distinct("off").alias("n"), F.max("seed").alias("seed")).filter((F.col("n") >= form.least_hits) & F.col("seed"))
     pairs = found.groupBy("doc_id").agg(F.collect_set("item_id").alias("items"))  # at most one entry a test item
     kept = {i: (ws, _stock_offsets(ws, stock_terms, form)) for i, ws in held.items()}
