@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from fieldscore.llm.addresses import same_addresses
 from fieldscore.llm.groups import linked_groups, split_groups
 from fieldscore.llm.leaks import leaked_items
+from fieldscore.llm.pii import pii_values, redacted
 from fieldscore.llm.stable_sample import NumberStore, seed_array, stable_sample
 from fieldscore.session import checkpoint_dir, cut, table
 
@@ -67,7 +68,17 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return same_addresses(rows)
 
 
-QUERIES = {"p4_found": p4_found, "p7_found": p7_found, "p2_stable_sample": p2_stable_sample, "p2_record_sample": p2_record_sample, "p5_found": p5_found, "p5_splits": p5_splits}
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    """The distinct personal values of every text."""
+    return pii_values(table(spark, d, "documents"))
+
+
+def p8_redacted(spark: SparkSession, d: str) -> DataFrame:
+    """Every text with placeholders for its personal values."""
+    return redacted(table(spark, d, "documents").select("doc_id", "text")).select("doc_id", "redacted")
+
+
+QUERIES = {"p8_found": p8_found, "p8_redacted": p8_redacted, "p4_found": p4_found, "p7_found": p7_found, "p2_stable_sample": p2_stable_sample, "p2_record_sample": p2_record_sample, "p5_found": p5_found, "p5_splits": p5_splits}
 
 _NUMBER = "CAST(('0x' || substr(md5(coalesce(p.seed, '') || ':' || CAST({id} AS VARCHAR)), 1, 13)) AS BIGINT)::DOUBLE / 4503599627370496.0"
 ORACLES = {
