@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from fieldscore.llm.addresses import same_addresses
 from fieldscore.llm.groups import linked_groups, split_groups
 from fieldscore.llm.leaks import leaked_items
+from fieldscore.llm.packing import pack_windows
 from fieldscore.llm.pii import pii_values, redacted
 from fieldscore.llm.stable_sample import NumberStore, seed_array, stable_sample
 from fieldscore.session import checkpoint_dir, cut, table
@@ -78,7 +79,12 @@ def p8_redacted(spark: SparkSession, d: str) -> DataFrame:
     return redacted(table(spark, d, "documents").select("doc_id", "text")).select("doc_id", "redacted")
 
 
-QUERIES = {"p8_found": p8_found, "p8_redacted": p8_redacted, "p4_found": p4_found, "p7_found": p7_found, "p2_stable_sample": p2_stable_sample, "p2_record_sample": p2_record_sample, "p5_found": p5_found, "p5_splits": p5_splits}
+def p6_windows(spark: SparkSession, d: str) -> DataFrame:
+    """The window of every document, or of its pieces, for each container."""
+    return pack_windows(table(spark, d, "documents"), table(spark, d, "containers"), series="cluster_id")
+
+
+QUERIES = {"p6_windows": p6_windows, "p8_found": p8_found, "p8_redacted": p8_redacted, "p4_found": p4_found, "p7_found": p7_found, "p2_stable_sample": p2_stable_sample, "p2_record_sample": p2_record_sample, "p5_found": p5_found, "p5_splits": p5_splits}
 
 _NUMBER = "CAST(('0x' || substr(md5(coalesce(p.seed, '') || ':' || CAST({id} AS VARCHAR)), 1, 13)) AS BIGINT)::DOUBLE / 4503599627370496.0"
 ORACLES = {
