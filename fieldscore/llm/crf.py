@@ -11,6 +11,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 
 NEG = np.float32(-1e4)
 _TOP = 0x3000
@@ -45,71 +46,80 @@ def _stir(h: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Tokens:
-    """The tokens of a batch: where they stand in their text and their hashes."""
+    """The tokens of a batch: where they stand in their text, and the number of their kind.
+
+    A kind is a distinct token, case and all; ``cased``, ``word``, ``shape`` and ``suffix`` are hashes by kind.
+    """
 
     doc: np.ndarray
     start: np.ndarray
     end: np.ndarray
+    kind: np.ndarray
+    gap: np.ndarray  # 0 joined to the token before, 1 a space, 2 a line break, 3 the start of the text
     cased: np.ndarray
     word: np.ndarray
     shape: np.ndarray
     suffix: np.ndarray
-    gap: np.ndarray  # 0 joined to the token before, 1 a space, 2 a line break, 3 the start of the text
+
+
+def _codes(text: str) -> np.ndarray:
+    return np.minimum(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32), _TOP)
 
 
 def tokenize(texts: list[str]) -> Tokens:
     """Runs of letters, runs of digits and single other signs of all texts; white space only separates."""
     lengths = np.array([len(t) + 1 for t in texts], dtype=np.int64)
-    cp = np.frombuffer(("\0".join(texts) + "\0").encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-    cp = np.minimum(cp, _TOP)
+    whole = "\0".join(texts) + "\0"
+    cp = _codes(whole)
     kind = _KIND[cp]
-    prev = np.empty_like(kind)
-    prev[0], prev[1:] = 0, kind[:-1]
-    begins = (kind != 0) & ((kind != prev) | (kind == 3))
-    starts = np.flatnonzero(begins)
+    begins = kind == 3
+    begins[0] |= kind[0] != 0
+    begins[1:] |= kind[1:] != kind[:-1]
+    begins &= kind != 0
+    inside = kind != 0
+    stops = np.empty_like(begins)  # the last code point of a token
+    stops[-1], stops[:-1] = inside[-1], inside[:-1] & (~inside[1:] | begins[1:])
+    starts, ends = np.flatnonzero(begins), np.flatnonzero(stops) + 1
     offsets = np.cumsum(lengths) - lengths
     if not len(starts):
-        z = np.zeros(0, np.int64)
-        h = np.zeros(0, np.uint64)
-        return Tokens(z, z, z, h, h, h, h, np.zeros(0, np.uint8))
-    index = np.cumsum(begins) - 1  # the token of each code point (spaces: the one before)
-    inside = kind != 0
-    last = np.empty(len(starts), np.int64)
-    where = np.flatnonzero(inside)
-    last[index[where]] = where
-    ends = last + 1
-    pos = np.minimum(np.arange(len(cp)) - starts[np.maximum(index, 0)], 62)
-    folded = _FOLD[cp]
-    low = _MIX[folded] * _POS[pos]
-    low[~inside] = 0
-    word = _stir(np.add.reduceat(low, starts))
-    raw = _MIX[cp] * _POS[pos]
-    raw[~inside] = 0
-    cased = _stir(np.add.reduceat(raw, starts))
-    sh = _SHAPE[cp]
-    turn = begins.copy()
-    turn[1:] |= (sh[1:] != sh[:-1]) & inside[1:] & inside[:-1]
-    turn &= inside
-    n_turn = np.cumsum(turn)
-    k = np.minimum(n_turn - n_turn[starts][np.maximum(index, 0)], 62)
-    sv = np.where(turn, _MIX[sh] * _POS[k], _U(0))
+        z, h = np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        return Tokens(z, z, z, z, np.zeros(0, np.uint8), h, h, h, h)
     size = ends - starts
-    digits = kind[starts] == 2
-    signs = kind[starts] == 3
-    extra = np.where(digits, np.minimum(size, 9) + 10, np.where(signs, folded[starts].astype(np.int64) + 100, np.minimum(size, 2)))
-    shape = _stir(np.add.reduceat(sv, starts) ^ (extra.astype(np.uint64) * _U(0x9E3779B97F4A7C15)))
-    tail = ends[np.maximum(index, 0)] - 1 - np.arange(len(cp))
-    near = inside & (tail < 3) & (tail >= 0)
-    fv = np.where(near, _MIX[folded] * _POS[np.clip(tail, 0, 2) + 40], _U(0))
-    suffix = _stir(np.add.reduceat(fv, starts))
-    doc = np.searchsorted(offsets, starts, side="right") - 1
-    new = np.r_[True, doc[1:] != doc[:-1]]
-    line = np.cumsum((cp == 10) | (cp == 13))
+    chars = cp[inside] if not inside.all() else cp
+    first = np.cumsum(size) - size
+    pos = np.minimum(np.arange(len(chars), dtype=np.int32) - np.repeat(first.astype(np.int32), size), 62)
+    cased = _stir(np.add.reduceat(_MIX[chars] * _POS[pos], first))
+    number, distinct = pd.factorize(cased)
+    some = np.empty(len(distinct), np.int64)
+    some[number[::-1]] = np.arange(len(number))[::-1]  # the first token of each kind
+    word, shape, suffix = _kinds([whole[a:b] for a, b in zip(starts[some].tolist(), ends[some].tolist(), strict=True)])
+    doc = np.repeat(np.arange(len(texts)), np.diff(np.searchsorted(starts, np.r_[offsets, len(cp)])))
+    line = np.cumsum((cp == 10) | (cp == 13), dtype=np.int32)
     gap = np.zeros(len(starts), np.uint8)
     gap[1:] = (starts[1:] > ends[:-1]).astype(np.uint8) + (line[starts[1:]] > line[starts[:-1]])
-    gap[new] = 3
+    gap[np.r_[True, doc[1:] != doc[:-1]]] = 3
     base = offsets[doc]
-    return Tokens(doc, starts - base, ends - base, cased, word, shape, suffix, gap)
+    return Tokens(doc, starts - base, ends - base, number.astype(np.int64), gap, distinct.astype(np.uint64), word, shape, suffix)
+
+
+def _kinds(tokens: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of each token without case and with digits alike, of its shape, and of its last three letters."""
+    size = np.array([len(t) for t in tokens], dtype=np.int64)
+    cp = _codes("".join(tokens))
+    first = np.cumsum(size) - size
+    pos = np.arange(len(cp)) - np.repeat(first, size)
+    folded, sh = _FOLD[cp], _SHAPE[cp]
+    word = _stir(np.add.reduceat(_MIX[folded] * _POS[np.minimum(pos, 62)], first))
+    turn = pos == 0
+    turn[1:] |= sh[1:] != sh[:-1]
+    n_turn = np.cumsum(turn)
+    k = np.minimum(n_turn - np.repeat(n_turn[first], size), 62)
+    kind = _KIND[cp[first]]
+    extra = np.where(kind == 2, np.minimum(size, 9) + 10, np.where(kind == 3, folded[first].astype(np.int64) + 100, np.minimum(size, 2)))
+    shape = _stir(np.add.reduceat(np.where(turn, _MIX[sh] * _POS[k], _U(0)), first) ^ (extra.astype(np.uint64) * _U(0x9E3779B97F4A7C15)))
+    tail = np.repeat(size, size) - 1 - pos
+    suffix = _stir(np.add.reduceat(np.where(tail < 3, _MIX[folded] * _POS[np.clip(tail, 0, 2) + 40], _U(0)), first))
+    return word, shape, suffix
 
 
 _SALT = [_U(x) for x in _rng.integers(1, 2**63, 64, dtype=np.uint64)]
@@ -160,40 +170,38 @@ class Crf:
         return [self._slot(by[f], (k + 3) * 4 + "wsuc".index(f)) for f in self.SINGLE[k]]
 
     def _pairs(self, t: Tokens) -> list[np.ndarray]:
-        d = t.doc
+        d, word, shape = t.doc, t.word[t.kind], t.shape[t.kind]
         sh = lambda a, k: self._shift(a, k, d)
         g = t.gap.astype(np.uint64) + _U(1)
         g1 = sh(g, 1)
-        w1, wn, s1, sn = sh(t.word, -1), sh(t.word, 1), sh(t.shape, -1), sh(t.shape, 2)
-        snext = sh(t.shape, 1)
+        w1, wn, s1, sn = sh(word, -1), sh(word, 1), sh(shape, -1), sh(shape, 2)
+        snext = sh(shape, 1)
         mul = lambda a, m: a * _U(m)
         return [
-            self._slot(w1 ^ mul(t.shape, 3), 30),
-            self._slot(wn ^ mul(t.shape, 5), 31),
-            self._slot(s1 ^ mul(t.shape, 7) ^ mul(snext, 9) ^ mul(g, 1315423911), 32),
-            self._slot(mul(t.shape, 11) ^ mul(snext, 13) ^ mul(sn, 15) ^ mul(g1, 2654435761), 33),
-            self._slot(mul(sh(t.word, -2), 17) ^ w1, 34),
-            self._slot(mul(g, 40503) ^ mul(g1, 2246822519) ^ t.shape, 35),
-            self._slot(w1 ^ mul(t.word, 19), 36),
+            self._slot(w1 ^ mul(shape, 3), 30),
+            self._slot(wn ^ mul(shape, 5), 31),
+            self._slot(s1 ^ mul(shape, 7) ^ mul(snext, 9) ^ mul(g, 1315423911), 32),
+            self._slot(mul(shape, 11) ^ mul(snext, 13) ^ mul(sn, 15) ^ mul(g1, 2654435761), 33),
+            self._slot(mul(sh(word, -2), 17) ^ w1, 34),
+            self._slot(mul(g, 40503) ^ mul(g1, 2246822519) ^ shape, 35),
+            self._slot(w1 ^ mul(word, 19), 36),
         ]
 
     def all_slots(self, t: Tokens) -> np.ndarray:
         """(tokens, features): for training, where each feature's slot is needed."""
         cols = []
         for k in self.SINGLE:
-            parts = [self._shift(a, k, t.doc) for a in (t.word, t.shape, t.suffix, t.cased)]
+            parts = [self._shift(a[t.kind], k, t.doc) for a in (t.word, t.shape, t.suffix, t.cased)]
             cols += self._single(*parts, k)
         return np.stack(cols + self._pairs(t), axis=1)
 
     def scores(self, t: Tokens) -> np.ndarray:
         """(tokens, labels): the sum of all features' weights."""
-        kinds, first, kind = np.unique(t.cased, return_index=True, return_inverse=True)
-        w, s, u, c = (np.r_[a[first], np.zeros(1, np.uint64)] for a in (t.word, t.shape, t.suffix, t.cased))
-        kind = kind.astype(np.int64) + 1
+        w, s, u, c = (np.r_[np.zeros(1, np.uint64), a] for a in (t.word, t.shape, t.suffix, t.cased))
+        kind = t.kind + 1  # 0 stands for what is beyond the text
         total = np.zeros((len(kind), len(self.labels)), np.float32)
         for k in self.SINGLE:
             by_kind = sum(self.weights[x] for x in self._single(w, s, u, c, k))
-            by_kind = np.concatenate([by_kind[-1:], by_kind[:-1]])
             total += by_kind[self._shift(kind, k, t.doc)]
         for x in self._pairs(t):
             total += self.weights[x]
@@ -227,41 +235,72 @@ class Crf:
             spans[t.doc[i]].append((int(t.start[i]), int(t.end[j - 1]), self.kinds[(y - 1) // 2]))
         return spans
 
+    #: long texts are decoded in blocks that overlap by far more than the length of any value
+    BLOCK, OVERLAP = 320, 64
+
     def viterbi(self, e: np.ndarray, doc: np.ndarray, n_docs: int) -> np.ndarray:
         counts = np.bincount(doc, minlength=n_docs)
         starts = np.cumsum(counts) - counts
-        order = np.argsort(-counts, kind="stable")
-        order = order[counts[order] > 0]
-        moves = np.where(self.banned, NEG, self.moves).T.copy()  # to, from
-        out = np.zeros(len(e), np.int64)
+        step = self.BLOCK - 2 * self.OVERLAP
+        parts = np.maximum(1, -(-(counts - 2 * self.OVERLAP) // step))
+        d = np.repeat(np.arange(n_docs), parts)
+        k = np.arange(len(d)) - np.repeat(np.cumsum(parts) - parts, parts)
+        low, last = k * step, k == parts[d] - 1
+        size = np.where(last, counts[d] - low, self.BLOCK)
+        keep_from, keep_to = np.where(k == 0, 0, self.OVERLAP), np.where(last, size, self.BLOCK - self.OVERLAP)
+        begin = starts[d] + low
+        order = np.argsort(-size, kind="stable")
+        order = order[size[order] > 0]
+        out = np.zeros(len(e), np.int8)
         i = 0
         while i < len(order):
-            longest = counts[order[i]]
-            j = int(np.searchsorted(-counts[order], -max(0.75 * longest, longest - 40), side="right"))
-            out_rows = order[i : max(j, i + 1)]
-            self._viterbi_group(e, starts[out_rows], counts[out_rows], moves, out)
-            i = max(j, i + 1)
-        return out
-
-    def _viterbi_group(self, e: np.ndarray, starts: np.ndarray, counts: np.ndarray, moves: np.ndarray, out: np.ndarray) -> None:
-        """Texts sorted by falling length; at each step only those that still go on are looked at."""
-        longest, n = int(counts[0]), len(self.labels)
-        back = np.zeros((longest, len(counts), n), np.uint8)
-        score = e[starts] + np.where(self.first_banned, NEG, self.first)
+            longest = size[order[i]]
+            j = max(i + 1, int(np.searchsorted(-size[order], -max(0.8 * longest, longest - 40), side="right")))
+            for a in range(i, j, 1024):
+                g = order[a : min(a + 1024, j)]
+                y = self._viterbi_group(e, begin[g], size[g], k[g] == 0)
+                t = np.arange(y.shape[0])[:, None]
+                ok = (t >= keep_from[g]) & (t < keep_to[g])
+                out[(begin[g] + t)[ok]] = y[ok]
+            i = j
+        return out.astype(np.int64)
+
+    def _viterbi_group(self, e: np.ndarray, starts: np.ndarray, counts: np.ndarray, at_start: np.ndarray) -> np.ndarray:
+        """(steps, sequences): the best labels of sequences sorted by falling length; each step looks at those that go on.
+
+        I-labels are only reached from their own B and I, so those steps compare two labels and not all.
+        """
+        longest, n, m = int(counts[0]), len(self.labels), len(counts)
+        back = np.zeros((longest, n, m), np.uint8)
+        first = np.where(at_start[None, :], np.where(self.first_banned, NEG, self.first)[:, None], np.float32(0))
+        score = e[starts].T + first
         alive = np.searchsorted(-counts, -np.arange(1, longest + 1), side="right")
+        opens = np.array([0, *range(1, n, 2)])  # O and the B labels, reached from anywhere
+        to_open = self.moves[:, opens].T.copy()[:, :, None]
+        inner = np.arange(2, n, 2)
+        from_b, from_i = self.moves[inner - 1, inner][:, None], self.moves[inner, inner][:, None]
         for k in range(1, longest):
             m = alive[k]
-            through = score[:m, None, :] + moves
-            b = through.argmax(2)
-            back[k, :m] = b
-            score[:m] = np.take_along_axis(through, b[:, :, None], 2)[:, :, 0] + e[starts[:m] + k]
-        y = score.argmax(1)
+            s = score[:, :m]
+            through = s[None, :, :] + to_open
+            b = through.argmax(1)
+            x, y = s[inner - 1] + from_b, s[inner] + from_i
+            new = np.empty((n, m), np.float32)
+            new[opens] = through.max(1)
+            new[inner] = np.maximum(x, y)
+            back[k, opens, :m] = b
+            back[k, inner, :m] = np.where(y > x, inner[:, None], inner[:, None] - 1)
+            new += e[starts[:m] + k].T
+            score[:, :m] = new
+        y = score.argmax(0)
+        out = np.zeros((longest, len(counts)), np.int8)
         rows = np.arange(len(counts))
         for k in range(longest - 1, -1, -1):
             m = alive[k]
-            out[starts[:m] + k] = y[:m]
+            out[k, :m] = y[:m]
             if k:
-                y[:m] = back[k, rows[:m], y[:m]]
+                y[:m] = back[k, y[:m], rows[:m]]
+        return out
 
     # training -----------------------------------------------------------------------------------------------------
     def fit(self, texts: list[str], spans: list[list[tuple[int, int, str]]], epochs: int = 10, rate: float = 0.25, l2: float = 2e-6, batch: int = 96, seed: int = 5) -> Crf:
