@@ -108,7 +108,7 @@ class ShardIndex:
         score = (weight * tf * (form.k1 + 1) / (tf + norm)).astype(np.float32)
         order = np.argsort(term, kind="stable")
         t = term[order]
-        self.posting_doc, self.posting_score = doc[order], score[order]
+        self.posting_doc, self.posting_score = doc[order].astype(np.intp), score[order].astype(np.float64)
         uniq, first = np.unique(t, return_index=True)
         self.first, self.last = first, np.r_[first[1:], len(t)]
         slot = np.searchsorted(uniq, term)
@@ -120,9 +120,9 @@ class ShardIndex:
         q = self.query[seed]
         if not len(q):
             return np.zeros(self.n)
-        a, size = self.first[q], self.last[q] - self.first[q]
-        at = np.repeat(a - np.r_[0, np.cumsum(size)[:-1]], size) + np.arange(size.sum())
-        return np.bincount(self.posting_doc[at], weights=self.posting_score[at], minlength=self.n)
+        at = [slice(a, b) for a, b in zip(self.first[q].tolist(), self.last[q].tolist(), strict=True)]
+        doc, score = np.concatenate([self.posting_doc[x] for x in at]), np.concatenate([self.posting_score[x] for x in at])
+        return np.bincount(doc, weights=score, minlength=self.n)
 
 
 class Room:
@@ -154,6 +154,10 @@ class Room:
         """Whether ``room`` can be filled but for ``slack``: it is as small, some item is as long, or it is wide."""
         return room <= slack or room >= wide or bool((self.mask >> (room - slack)) & ((2 << slack) - 1))
 
+    def least(self) -> int:
+        """The length of the shortest item that may be unused, or more than any if there is none."""
+        return (self.mask & -self.mask).bit_length() - 1 if self.mask else 1 << 62
+
     def longest(self, used: np.ndarray) -> int:
         return self.take(self.mask.bit_length() - 1, used) if self.mask else -1
 
@@ -166,7 +170,7 @@ def pack_shard(lengths: np.ndarray, capacity: int, index: ShardIndex, neighbours
     for i, n in enumerate(lengths.tolist()):
         pieces = int(whole[i]) if n > capacity else 0
         windows += [[(i, k, k * capacity, capacity)] for k in range(pieces)]
-        if n - pieces * capacity > 0 or n == 0:
+        if n - pieces * capacity > 0:
             rest.append((i, n - pieces * capacity))
     left = dict(rest)
     used = np.ones(len(lengths), bool)
@@ -174,7 +178,6 @@ def pack_shard(lengths: np.ndarray, capacity: int, index: ShardIndex, neighbours
     room_of = Room(rest)
     size = np.zeros(len(lengths), np.int64)
     size[list(left)] = list(left.values())
-    least = min(left.values(), default=0)
     slack = capacity // 64  # what a window may waste without a second thought
     wide = int(2 * np.median(size[size > 0])) if (size > 0).any() else 0
 
@@ -187,7 +190,7 @@ def pack_shard(lengths: np.ndarray, capacity: int, index: ShardIndex, neighbours
     while (seed := room_of.longest(used)) >= 0:
         window: list[tuple[int, int, int, int]] = []
         room = capacity - put(window, seed)
-        if room >= least:
+        if room >= room_of.least():
             s = index.scores(seed)
             s[used | (size > room)] = 0
             near = np.flatnonzero(s)
@@ -196,11 +199,15 @@ def pack_shard(lengths: np.ndarray, capacity: int, index: ShardIndex, neighbours
             for j in near[np.lexsort((near, -s[near]))].tolist():
                 if size[j] <= room and room_of.fits(room - int(size[j]), slack, wide):
                     room -= put(window, j)
-                    if room < least:
+                    if room < room_of.least():
                         break
-            while room >= least and (j := room_of.take(room, used)) >= 0:
+            while room >= room_of.least() and (j := room_of.take(room, used)) >= 0:
                 room -= put(window, j)
         windows.append(window)
+    empty = np.flatnonzero(lengths == 0).tolist()
+    if empty:  # texts without tokens need no room
+        windows = windows or [[]]
+        windows[-1] += [(i, 0, 0, 0) for i in empty]
     return windows
 
 
