@@ -14,6 +14,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from fieldscore.functions.expr import let
+
 MAP, LIST = "map<string,variant>", "array<variant>"
 
 
@@ -40,11 +42,6 @@ def read_json(text: Column) -> Column:
     return F.coalesce(F.when(F.ltrim(text).startswith('"'), F.try_parse_json(F.try_variant_get(v, "$", "string"))), v)
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body(value)`` with the value computed once, which an expression inside a lambda otherwise isn't."""
-    return F.transform(F.array(value), body)[0]
-
-
 def as_map(v: Column) -> Column:
     return F.try_variant_get(v, "$", MAP)
 
