@@ -1,4 +1,6 @@
 """Queries of the scoring engine over the analog corpus."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from fieldscore.plans import scoring
+
+QUERIES: dict = {**scoring.QUERIES}
+ORACLES: dict = {**scoring.ORACLES}
