@@ -27,41 +27,63 @@ def emitted(v: Column) -> Column:
     return v.isNotNull() & ~F.is_variant_null(v) & (scalars != "")
 
 
-def _address(v: Column, alt: bool, ascii_only: bool) -> Column:
-    parts = {k: F.try_variant_get(v, f"$.{k}", "string") for k in text.ADDRESS_PARTS}
-    merged = text.address_merged(parts, alt, ascii_only)
-    plain = text.address_line(F.try_variant_get(v, "$", "string"), ascii_only)
-    return text.address_compared(F.when(F.schema_of_variant(v).startswith("OBJECT"), merged).otherwise(plain), ascii_only)
+def is_object(v: Column) -> Column:
+    return F.try_variant_get(v, "$", "struct<>").isNotNull()
 
 
 def with_forms(df: DataFrame, options: ScoringOptions, rule: str = "rule", pred: str = "pred", truth: str = "truth") -> DataFrame:
-    """Adds p_* and t_* columns: strings normalised for each rule, numbers, and both orders of an address."""
-    a = options.ascii_only
+    """Adds p_* and t_* columns: strings normalised for each rule, numbers, and both orders of an address.
+
+    Text goes to Python at most once, and only where it isn't plain ASCII.
+    """
     r, v, t = F.col(rule), F.col(pred), F.col(truth)
-    s = F.when(~F.is_variant_null(v), F.try_variant_get(v, "$", "string"))
-    only = lambda which, c: F.when(r.isin(*which), c)
+    address, phone = r == R.ADDRESS, r == R.PHONE
+    parts = {k: F.try_variant_get(v, f"$.{k}", "string") for k in text.ADDRESS_PARTS}
+    df = df.withColumns(
+        {
+            "p_raw": F.when(~F.is_variant_null(v), F.try_variant_get(v, "$", "string")),
+            "p_object": is_object(v),
+            "p_num": F.when(r == R.NUMERIC, numbers.numeric_fact(v, options.numeric_source)),
+            "t_num": F.when(r == R.NUMERIC, numbers.money(t)),
+            "p_joined": F.when(address & is_object(v), text.address_joined(parts)),
+            "p_joined_alt": F.when(address & is_object(v), text.address_joined(parts, alt=True)),
+        }
+    )
+    fold = (lambda c: c) if options.ascii_only else (lambda c: text.unicode_folded(c, phone))
+    needed = ~r.isin(R.NUMERIC, R.DATE_ISO)
+    df = df.withColumns(
+        {
+            "p_uni": fold(F.when(needed & ~F.col("p_object"), F.col("p_raw"))),
+            "t_uni": fold(F.when(needed, t)),
+            "p_joined": fold(F.col("p_joined")),
+            "p_joined_alt": fold(F.col("p_joined_alt")),
+        }
+    )
     plain = (R.DATE_RAW, R.IDENTIFIER, R.ENUM, R.BOOL, R.CURRENCY, R.EMAIL, R.TEXT)
-    df = df.withColumns({"p_raw": s, "p_num": only([R.NUMERIC], numbers.numeric_fact(v, options.numeric_source)), "t_num": only([R.NUMERIC], numbers.money(t))})
-    s = F.col("p_raw")
 
-    def form(c: Column) -> Column:
+    def form(c: Column, raw: Column) -> Column:
         return (
-            F.when(r.isin(*plain), text.normal(c, ascii_only=a))
-            .when(r == R.PHONE, text.phone_printed(c, a))
-            .when(r == R.TEXT_CONTAINED, text.normal(c, drop_punct=True, ascii_only=a))
-            .when(r == R.DATE_ISO, dates.iso_date(c))
-            .when(r == R.CHARGE_LABEL, text.charge_name(c, a))
+            F.when(r.isin(*plain), text.normal(c, ascii_only=True))
+            .when(phone, text.phone_printed(c, True))
+            .when(r == R.TEXT_CONTAINED, text.normal(c, drop_punct=True, ascii_only=True))
+            .when(r == R.DATE_ISO, dates.iso_date(raw))
+            .when(r == R.CHARGE_LABEL, text.charge_name(c, True))
         )
 
+    def printed(c: Column) -> Column:
+        return text.address_compared(text.address_line(c, True), True)
+
+    u, w = F.col("p_uni"), F.col("t_uni")
+    rate = lambda c: F.when(r == R.CHARGE_LABEL, text.charge_rate(c))
     return df.withColumns(
         {
-            "p_form": F.when(r == R.ADDRESS, _address(v, False, a)).when(r == R.NUMERIC, numbers.money_text(F.col("p_num.value"))).otherwise(form(s)),
-            "p_form_alt": F.when(r == R.ADDRESS, _address(v, True, a)),
-            "t_form": F.when(r == R.ADDRESS, text.address_compared(text.address_line(t, a), a)).when(r == R.NUMERIC, numbers.money_text(F.col("t_num"))).otherwise(form(t)),
-            "p_rate": F.when(r == R.CHARGE_LABEL, text.charge_rate(s)),
-            "t_rate": F.when(r == R.CHARGE_LABEL, text.charge_rate(t)),
+            "p_form": F.when(address, F.when(F.col("p_object"), text.address_compared(F.col("p_joined"), True)).otherwise(printed(u))).when(r == R.NUMERIC, numbers.money_text(F.col("p_num.value"))).otherwise(form(u, F.col("p_raw"))),
+            "p_form_alt": F.when(address, F.when(F.col("p_object"), text.address_compared(F.col("p_joined_alt"), True)).otherwise(printed(u))),
+            "t_form": F.when(address, printed(w)).when(r == R.NUMERIC, numbers.money_text(F.col("t_num"))).otherwise(form(w, t)),
+            "p_rate": rate(F.col("p_raw")),
+            "t_rate": rate(t),
         }
-    )
+    ).drop("p_uni", "t_uni", "p_joined", "p_joined_alt")
 
 
 def with_match(df: DataFrame, options: ScoringOptions, rule: str = "rule", pred: str = "pred", truth: str = "truth") -> DataFrame:
@@ -69,7 +91,7 @@ def with_match(df: DataFrame, options: ScoringOptions, rule: str = "rule", pred:
     r, v = F.col(rule), F.col(pred)
     p, alt, t = F.col("p_form"), F.col("p_form_alt"), F.col("t_form")
     raw_p, raw_t = F.col("p_raw"), F.col(truth)
-    no_p = v.isNull() | F.is_variant_null(v) | F.coalesce((F.trim(raw_p) == "") & ~F.schema_of_variant(v).startswith("OBJECT"), F.lit(False))
+    no_p = v.isNull() | F.is_variant_null(v) | F.coalesce((F.trim(raw_p) == "") & ~F.col("p_object"), F.lit(False))
     no_t = raw_t.isNull() | (F.trim(raw_t) == "")
     same = p.eqNullSafe(t)
     strict = F.coalesce(p == t, F.lit(False))
@@ -105,4 +127,4 @@ def with_match(df: DataFrame, options: ScoringOptions, rule: str = "rule", pred:
             "shipped_null": F.coalesce((r == R.NUMERIC) & F.col("p_num.value").isNull() & source.isNotNull(), F.lit(False)),
             "parse_disagreement": F.when(r == R.NUMERIC, let(v, numbers.parse_disagreement)),
         }
-    ).drop("both_empty", "one_empty", "same_form")
+    ).drop("both_empty", "one_empty", "same_form", "p_object")

@@ -24,17 +24,14 @@ def predictions(doc_results: DataFrame) -> DataFrame:
     return cur.select("run_id", "doc_id", F.inline(arms)).filter(F.col("payload").isNotNull())
 
 
-def _fields(payload: Column, doc_type: Column) -> Column:
-    """array<struct<path, rule, pred>> of all scoreable paths of the row's document type."""
+def _fields(payload: str, doc_type: str) -> Column:
+    """array<struct<path, rule, pred>> of all scoreable paths of the row's document type, as one parsed expression."""
 
-    def of(name: str) -> Column:
+    def of(name: str) -> str:
         rules = {p: r for p, r in rule_registry(DOC_TYPES[name]).items() if "[]" not in p}
-        return F.array(*[F.struct(F.lit(p).alias("path"), F.lit(r).alias("rule"), F.try_variant_get(payload, f"$.{p}", "variant").alias("pred")) for p, r in sorted(rules.items())])
+        return "array(" + ", ".join(f"named_struct('path', '{p}', 'rule', '{r}', 'pred', try_variant_get({payload}, '$.{p}', 'variant'))" for p, r in sorted(rules.items())) + ")"
 
-    out = F.when(F.lit(False), of("invoice"))
-    for name in DOC_TYPES:
-        out = out.when(doc_type == name, of(name))
-    return out
+    return F.expr("CASE " + " ".join(f"WHEN {doc_type} = '{n}' THEN {of(n)}" for n in DOC_TYPES) + " END")
 
 
 def field_rows(preds: DataFrame, records: DataFrame) -> DataFrame:
@@ -44,7 +41,7 @@ def field_rows(preds: DataFrame, records: DataFrame) -> DataFrame:
     """
     r = records.select("doc_id", "cluster_id", "doc_type", "source_dataset", "gt", "annotated_fields", F.coalesce(F.get_json_object("meta", "$.no_tax_label") == "true", F.lit(False)).alias("no_tax"))
     joined = preds.join(r, "doc_id")
-    rows = joined.withColumn("f", F.explode(_fields(F.col("payload"), F.col("doc_type")))).filter(F.array_contains("annotated_fields", F.col("f.path")))
+    rows = joined.withColumn("f", F.explode(_fields("payload", "doc_type"))).filter(F.array_contains("annotated_fields", F.col("f.path")))
     return rows.select("run_id", "arm", "doc_id", "cluster_id", "doc_type", "source_dataset", "no_tax", "f.path", "f.rule", "f.pred", F.try_element_at("gt", F.col("f.path")).alias("truth"))
 
 
@@ -53,17 +50,17 @@ def score_fields(rows: DataFrame, options: ScoringOptions = ScoringOptions()) ->
     if options.ignore_fields:
         rows = rows.filter(~F.col("path").isin(*options.ignore_fields))
     df = with_match(with_forms(rows, options), options)
-    absent, says = F.coalesce(F.col("truth") == ABSENT, F.lit(False)), emitted(F.col("pred"))
-    df = df.withColumns({"absent": absent, "says": says})
+    df = df.withColumn("absent", F.coalesce(F.col("truth") == ABSENT, F.lit(False)))
+    says = emitted(F.col("pred"))  # only looked at where the truth is absent or the values differ
     state = (
-        F.when(F.col("absent"), F.when(F.col("says"), "hallucination").otherwise("correct_null"))
+        F.when(F.col("absent"), F.when(says, "hallucination").otherwise("correct_null"))
         .when(F.col("matched"), "correct")
-        .when(~F.col("says") | F.col("shipped_null"), "missing")
+        .when(F.col("shipped_null") | ~says, "missing")
         .otherwise("wrong")
     )
     df = df.withColumn("state", state).withColumn("ok", F.col("state").isin("correct", "correct_null"))
     own = lambda c: F.when(F.col("absent"), F.col("ok")).otherwise(F.col(c))
-    return df.withColumns({"score": F.when(F.col("absent"), F.col("ok").cast("double")).otherwise(F.col("score")), "exact": own("exact"), "ok_convention": own("convention"), "value_source": F.when(~F.col("absent"), F.col("value_source"))}).drop("says", "matched", "convention", "shipped_null")
+    return df.withColumns({"score": F.when(F.col("absent"), F.col("ok").cast("double")).otherwise(F.col("score")), "exact": own("exact"), "ok_convention": own("convention"), "value_source": F.when(~F.col("absent"), F.col("value_source"))}).drop("matched", "convention", "shipped_null")
 
 
 def verdicts(gt_records: DataFrame, doc_results: DataFrame, options: ScoringOptions = ScoringOptions()) -> DataFrame:
