@@ -170,7 +170,7 @@ def charge_line_states(truth: Column, pred: Column) -> Column:
 
     lines = "array<struct<rate:decimal(38,2),value:decimal(38,2)>>"
     start = F.struct(F.coalesce(pred.cast(lines), F.array().cast(lines)).alias("free"), F.array().cast("array<string>").alias("states"))
-    return F.aggregate(F.coalesce(truth.cast(lines), F.array().cast(lines)), start, take)
+    return F.aggregate(F.coalesce(truth.cast(lines), F.array().cast(lines)), start, take, lambda acc: acc["states"])
 
 
 def rate_of(key: Column, percentage: Column) -> Column:

@@ -1,6 +1,6 @@
-"""Queries of the scoring engine over the analog corpus."""
+"""All queries of the scoring engine."""
 
-from fieldscore.plans import scoring
+from fieldscore.plans import operators_catalog, scoring
 
-QUERIES: dict = {**scoring.QUERIES}
-ORACLES: dict = {**scoring.ORACLES}
+QUERIES: dict = {**scoring.QUERIES, **operators_catalog.QUERIES}
+ORACLES: dict = {**scoring.ORACLES, **operators_catalog.ORACLES}
