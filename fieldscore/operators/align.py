@@ -7,6 +7,7 @@ shuffled for it. The lists of one section are bounded by what one document print
 from __future__ import annotations
 
 import json
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -67,23 +68,40 @@ def assignment(cost: np.ndarray) -> list[tuple[int, int]]:
     return sorted((b, a) if flipped else (a, b) for a, b in pairs)
 
 
-def _edits(a: str, b: str) -> int:
-    if len(a) < len(b):
-        a, b = b, a
-    prev = np.arange(len(b) + 1)
-    codes = np.array([ord(x) for x in b])
+def edits(a: str, b: str, most: int) -> int:
+    """The edit distance, or most + 1 if it is larger: only the band that can stay within ``most`` is computed."""
+    if abs(len(a) - len(b)) > most:
+        return most + 1
+    prev = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
-        cur = np.minimum(prev[1:] + 1, prev[:-1] + (codes != ord(x)))
-        cur = np.r_[i, cur]
-        prev = np.minimum.accumulate(cur - np.arange(len(cur))) + np.arange(len(cur))  # insertions in one sweep
-    return int(prev[-1])
-
-
-def similarity(a: str | None, b: str | None) -> float:
-    a, b = " ".join((a or "").lower().split()), " ".join((b or "").lower().split())
+        lo, hi = max(1, i - most), min(len(b), i + most)
+        cur = [most + 1] * (len(b) + 1)
+        cur[0] = i
+        for j in range(lo, hi + 1):
+            d = prev[j - 1] + (x != b[j - 1])
+            if prev[j] < d:
+                d = prev[j] + 1
+            if cur[j - 1] < d:
+                d = cur[j - 1] + 1
+            cur[j] = d
+        if min(cur[lo - 1 : hi + 1]) > most:
+            return most + 1
+        prev = cur
+    return min(prev[-1], most + 1)
+
+
+@lru_cache(maxsize=1 << 16)
+def similarity(a: str, b: str, threshold: float) -> float:
+    """1 - edits over the longer length of two texts without case and spacing; 0 below the threshold."""
+    a, b = " ".join(a.lower().split()), " ".join(b.lower().split())
     if not a or not b:
         return 0.0
-    return 1.0 if a == b else 1 - _edits(a, b) / max(len(a), len(b))
+    if a == b:
+        return 1.0
+    longest = max(len(a), len(b))
+    most = int((1 - threshold) * longest + 1e-9)
+    d = edits(a, b, most)
+    return 1 - d / longest if d <= most else 0.0
 
 
 def _number(v: object) -> str | None:
@@ -118,7 +136,7 @@ def align_rows(gt_rows: Column, pred_rows: Column, gt_text: tuple[str, ...] = ("
         s, key = np.zeros((len(g), len(p))), {}
         for i, a in enumerate(g):
             for j, b in enumerate(p):
-                best = max(((similarity(a.get(x), flat(b.get(y))), x) for x in gt_text for y in pred_text if isinstance(a.get(x), str) and isinstance(flat(b.get(y)), str)), default=(0.0, None))
+                best = max(((similarity(a[x], flat(b[y]), threshold), x) for x in gt_text for y in pred_text if isinstance(a.get(x), str) and isinstance(flat(b.get(y)), str)), default=(0.0, None))
                 s[i, j], key[i, j] = best
         agree = np.zeros_like(s)
         for i, a in enumerate(g):

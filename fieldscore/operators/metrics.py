@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import random
-
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -121,7 +120,7 @@ def bootstrap_intervals(verdicts: DataFrame, by: tuple[str, ...] = ("arm", "path
     """95 % intervals of the pooled accuracy when clusters are drawn with replacement.
 
     Draws run over the clusters' counts, so a group of any number of rows costs its clusters times the iterations. The
-    clusters stand in the order of their name and the draws are those of a seeded Mersenne generator, so the result
+    clusters stand in the order of their name and the draws are those of a seeded Mersenne twister, so the result
     doesn't depend on the partitioning. Null with fewer than ``least_clusters`` clusters or ``least_rows`` rows.
     """
     counts = cluster_counts(verdicts, by).filter("den > 0")
@@ -135,8 +134,9 @@ def bootstrap_intervals(verdicts: DataFrame, by: tuple[str, ...] = ("arm", "path
         n, rows = len(pdf), int(den.sum())
         low = high = None
         if n >= least_clusters and rows >= least_rows:
-            rng = random.Random(seed)
-            rates = sorted(num[i].sum() / den[i].sum() for i in ([rng.randrange(n) for _ in range(n)] for _ in range(iters)))
+            rng = np.random.Generator(np.random.MT19937(seed))
+            drawn = (rng.integers(0, n, (min(k, iters - a), n)) for k in [max(1, 2_000_000 // n)] for a in range(0, iters, k))
+            rates = np.sort(np.concatenate([num[i].sum(1) / den[i].sum(1) for i in drawn]))
             low, high = float(rates[int(0.025 * iters)]), float(rates[int(0.975 * iters) - 1])
         return pd.DataFrame([[*key, n, rows, low, high]], columns=[*by, "n_clusters", "n_rows", "low", "high"])
 
