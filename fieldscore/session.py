@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -25,7 +26,20 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return sc._jsc.sc().getCheckpointDir().get()
 
 
-def cut(df: DataFrame, eager: bool = True) -> DataFrame:
-    """A reliable checkpoint: the rows are written to the shared folder and the lineage ends there."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=eager)
+def cut(df: DataFrame) -> DataFrame:
+    """The rows written as a table in the shared folder and read again: the lineage and the plan's size estimate end
+    there (a checkpoint keeps the estimate, which a loop of joins multiplies without bound)."""
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark).rstrip('/')}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stored_at = path  # for forget()
+    return out
+
+
+def forget(df: DataFrame) -> None:
+    """Deletes the table of a `cut` that nothing reads any more."""
+    spark, path = df.sparkSession, getattr(df, "_stored_at", None)
+    if path:
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
