@@ -44,7 +44,7 @@ class LeakForm:
     share: float = 1 / 3
     term: int = 3
     stock_share: float = 0.005
-    stock_least: int = 3
+    stock_least: int = 5
     band: int = 32
     drift: int = 4
     least_hits: int = 3

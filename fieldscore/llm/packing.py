@@ -25,7 +25,7 @@ from fieldscore.session import cut
 
 # Fixed value: the public pattern that splits text before the merges of the byte-level vocabulary.
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-WINDOW = "container string, window_id string, {doc}, piece_no int, start_token int, n_tokens int"
+WINDOW = "container string, window_id string, doc_id string, piece_no int, start_token int, n_tokens int"
 
 
 @dataclass(frozen=True)
@@ -50,8 +50,7 @@ def encoding(path: str, pattern: str):  # noqa: ANN201
 
 
 def token_rows(docs: DataFrame, doc: str, text: str, series: str | None, form: PackForm) -> DataFrame:
-    """(doc_id, series, h, n, terms, tfs): the number of tokens, the distinct token ids and how often each comes."""
-    kind = dict(docs.dtypes)[doc]
+    """(doc_id, series, h, n, terms, tfs): the number of tokens, the distinct token ids and how often each comes. Ids travel as text, so that ids beside nulls keep all digits."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         enc = encoding(form.tokenizer, form.pattern)
@@ -66,8 +65,8 @@ def token_rows(docs: DataFrame, doc: str, text: str, series: str | None, form: P
             yield pd.DataFrame({"doc_id": b["doc_id"], "series": b["series"], "h": b["h"], "n": sizes, "terms": terms, "tfs": tfs})
 
     named = F.lower(F.regexp_replace(F.col(series).cast("string"), r"[^\p{L}\p{N}]+", "")) if series else F.lit("")
-    read = docs.select(F.col(doc).alias("doc_id"), F.col(text).alias("text"), F.coalesce(named, F.lit("")).alias("series"), F.xxhash64(F.col(doc).cast("string"), F.col(text)).alias("h"))
-    return read.mapInPandas(run, f"doc_id {kind}, series string, h long, n int, terms binary, tfs binary")
+    read = docs.select(F.col(doc).cast("string").alias("doc_id"), F.col(text).alias("text"), F.coalesce(named, F.lit("")).alias("series"), F.xxhash64(F.col(doc).cast("string"), F.col(text)).alias("h"))
+    return read.mapInPandas(run, "doc_id string, series string, h long, n int, terms binary, tfs binary")
 
 
 def _ids(blob: bytes, tfs: bytes) -> np.ndarray:
@@ -258,5 +257,4 @@ def pack_windows(docs: DataFrame, containers: DataFrame, doc: str = "doc_id", te
 
     parts = max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")) * 4, math.ceil(total / (4 * form.shard))))
     ranged = rows.repartitionByRange(parts, "series", "h").sortWithinPartitions("series", "h")
-    kind = dict(rows.dtypes)["doc_id"]
-    return ranged.mapInPandas(run, WINDOW.format(doc=f"doc_id {kind}"))
+    return ranged.mapInPandas(run, WINDOW).withColumn("doc_id", F.col("doc_id").cast(dict(docs.dtypes)[doc]))

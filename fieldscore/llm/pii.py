@@ -122,14 +122,14 @@ def pii_values(docs: DataFrame, doc: str = "doc_id", text: str = "text", rows: i
             ids, kinds, values = [], [], []
             for i, t, spans in zip(b["doc_id"], texts, find(model, texts), strict=True):
                 for v, kind in dict.fromkeys((t[x:y], k) for x, y, k in spans):
-                    ids.append(i)
+                    ids.append(i if isinstance(i, str) else None)
                     kinds.append(kind)
                     values.append(v)
-            yield pd.DataFrame({"doc_id": ids, "pii_type": kinds, "pii_text": values})
+            yield pd.DataFrame({"doc_id": ids, "pii_type": kinds, "pii_text": values}, dtype=object)
 
-    read = docs.select(F.col(doc).alias("doc_id"), F.col(text).alias("text"))
-    kind = dict(read.dtypes)["doc_id"]
-    return read.mapInPandas(run, f"doc_id {kind}, pii_type string, pii_text string")
+    kind = dict(docs.dtypes)[doc]
+    read = docs.select(F.col(doc).cast("string").alias("doc_id"), F.col(text).alias("text"))  # as text, ids with nulls keep all digits
+    return read.mapInPandas(run, "doc_id string, pii_type string, pii_text string").withColumn("doc_id", F.col("doc_id").cast(kind))
 
 
 def redacted(docs: DataFrame, text: str = "text", to: str = "redacted", rows: int = ROWS) -> DataFrame:
