@@ -146,8 +146,8 @@ ORACLES = {
     "macro_micro": S.over_verdicts(f"""SELECT arm, n_instances, n_docs, micro_accuracy, macro_accuracy, n_fields, hallucinations FROM
       (SELECT arm, count(*) AS n_instances, count(DISTINCT doc_id) AS n_docs, {S.ACCURACY} AS micro_accuracy, {S.n_in('hallucination')} AS hallucinations FROM verdicts GROUP BY arm)
       JOIN (SELECT arm, round(avg(a) + 1e-12, 6) AS macro_accuracy, count(*) AS n_fields FROM (SELECT arm, path, {S.ACCURACY} AS a FROM verdicts GROUP BY arm, path) GROUP BY arm) USING (arm)"""),
-    "headline_accuracy": S.over_verdicts(f"""SELECT arm, {S.ACCURACY} AS headline_accuracy FROM verdicts WHERE path IN (
-      SELECT path FROM (SELECT source_dataset, u.path, count(*) AS n, count(DISTINCT CASE WHEN r.gt[u.path] <> '__ABSENT__' THEN r.gt[u.path] END) AS k FROM rec r, unnest(r.annotated_fields) u(path) GROUP BY ALL) WHERE n >= 30 AND k >= 20) GROUP BY arm"""),
+    "headline_accuracy": S.over_verdicts(f"""SELECT arm, headline_accuracy FROM (SELECT DISTINCT arm FROM verdicts) LEFT JOIN (SELECT arm, {S.ACCURACY} AS headline_accuracy FROM verdicts WHERE path IN (
+      SELECT path FROM (SELECT source_dataset, u.path, count(*) AS n, count(DISTINCT CASE WHEN r.gt[u.path] <> '__ABSENT__' THEN r.gt[u.path] END) AS k FROM rec r, unnest(r.annotated_fields) u(path) GROUP BY ALL) WHERE n >= 30 AND k >= 20) GROUP BY arm) USING (arm)"""),
     "stage_lift": S.over_verdicts(" UNION ALL ".join(
         f"""SELECT '{b}' AS before, '{a}' AS after, count(*) AS n_compared, count_if(NOT b AND a) AS fixed, count_if(b AND NOT a) AS harmed, count_if(NOT b AND a) - count_if(b AND NOT a) AS net,
         round(count_if(b AND NOT a) / greatest(count_if(b), 1)::DOUBLE, 6) AS harm_rate
