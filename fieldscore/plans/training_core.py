@@ -37,4 +37,21 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {"p1_found": p1_found, "p3_found": p3_found}
 QUERIES |= {f"p1_{t}": _p1_table(t) for t in ("line_items", "modifiers", "charges", "taxes", "issues", "evidence")}
-ORACLES: dict[str, str] = {}
+_ELEMENTS = "CASE json_type(v) WHEN 'ARRAY' THEN CAST(v AS JSON[]) WHEN 'OBJECT' THEN [v] ELSE [] END"
+_READ = "CASE WHEN json_valid({c}) THEN CASE WHEN starts_with(ltrim({c}), '\"') THEN try_cast(({c}::JSON->>'$') AS JSON) ELSE {c}::JSON END END"
+ORACLES: dict[str, str] = {
+    "p1_found": f"""WITH c AS (SELECT run_id, doc_id, arms, judge FROM (SELECT *, row_number() OVER (PARTITION BY run_id, doc_id ORDER BY written_at DESC NULLS LAST, arms, judge) AS rn FROM doc_results) WHERE rn = 1),
+      top AS MATERIALIZED (SELECT run_id, doc_id, {_READ.format(c="arms")} AS a, {_READ.format(c="judge")} AS j FROM c),
+      named AS MATERIALIZED (SELECT run_id, doc_id, k AS arm, json_extract(a, '$."' || k || '"') AS v FROM top, unnest(json_keys(a)) t(k) WHERE a IS NOT NULL AND NOT starts_with(k, '_')),
+      opened AS MATERIALIZED (SELECT run_id, doc_id, arm, CASE WHEN json_type(v) = 'VARCHAR' THEN try_cast((v->>'$') AS JSON) ELSE v END AS v FROM named),
+      p AS MATERIALIZED (SELECT run_id, doc_id, arm, CASE WHEN len(json_keys(v)) = 1 AND json_keys(v)[1] IN ('invoiceOutputData', 'receiptOutputData') THEN json_extract(v, '$.' || json_keys(v)[1]) ELSE v END AS p FROM opened WHERE json_type(v) = 'OBJECT'),
+      one AS MATERIALIZED (
+        SELECT run_id, doc_id, arm AS parent, arm || '.' || s AS pre, json_extract(p, '$.' || s) AS v, CASE s WHEN 'lineItems' THEN 'modifiers' END AS below FROM p, (VALUES ('lineItems'), ('totals.otherCharges'), ('totals.taxes')) x(s)
+        UNION ALL SELECT run_id, doc_id, 'judge', 'judge.issues.' || k, json_extract(j, '$.issues."' || k || '"'), 'evidence' FROM (SELECT * FROM top WHERE json_type(j, '$.issues') = 'OBJECT'), unnest(json_keys(j, '$.issues')) t(k)),
+      l1 AS MATERIALIZED (SELECT run_id, doc_id, parent, pre, below, {_ELEMENTS} AS l FROM one),
+      n1 AS MATERIALIZED (SELECT run_id, doc_id, parent, pre || '[' || i || ']' AS node, below, l[i + 1] AS e FROM l1, unnest(range(len(l))) t(i) WHERE json_type(l[i + 1]) = 'OBJECT'),
+      two AS MATERIALIZED (SELECT run_id, doc_id, node AS parent, node || '.' || below AS pre, json_extract(e, '$.' || below) AS v FROM n1 WHERE below IS NOT NULL),
+      l2 AS MATERIALIZED (SELECT run_id, doc_id, parent, pre, {_ELEMENTS} AS l FROM two),
+      n2 AS (SELECT run_id, doc_id, parent, pre || '[' || i || ']' AS node FROM l2, unnest(range(len(l))) t(i) WHERE json_type(l[i + 1]) = 'OBJECT')
+      SELECT run_id, doc_id, node AS node_path, parent AS parent_path FROM n1 UNION ALL SELECT run_id, doc_id, node, parent FROM n2""",
+}
