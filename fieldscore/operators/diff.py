@@ -106,14 +106,20 @@ class Reader:
         for name, p in v.items():
             if name.startswith(self.form.hidden):
                 continue
-            p = _open_all(p) if deep else p
-            if isinstance(p, dict) and len(p) == 1 and (k := next(iter(p))) in self.form.wrappers:
-                p = p[k]
-            for path in self.paths:
-                _listed(p, path)
-            out[name] = p
+            out[name] = self._plain(_open_all(p) if deep else p)
         return out
 
+    def _plain(self, p: object) -> object:
+        if isinstance(p, dict) and len(p) == 1 and (k := next(iter(p))) in self.form.wrappers:
+            p = p[k]
+        for path in self.paths:
+            _listed(p, path)
+        return p
+
+    def bare(self, text: str | None) -> object:
+        """One payload that stands alone, without a name."""
+        return self._plain(_open_all(read(text)))
+
     def digest(self, text: str | None) -> int:
         whole = json.dumps(self.payloads(text), sort_keys=True, separators=(",", ":"), default=lambda d: {"\x00": str(d)})
         return xxhash.xxh64_intdigest(whole) - (1 << 63)
@@ -176,6 +182,43 @@ def json_leaves(text: Column, form: PayloadForm = PayloadForm()) -> Column:
     return leaves(text)
 
 
+def bare_leaves(text: Column, name: str, form: PayloadForm = PayloadForm()) -> Column:
+    """The leaves of one payload that stands alone, as if it had a name; null where the text holds nothing."""
+
+    @F.arrow_udf(CELLS)
+    def leaves(texts: pa.Array) -> pa.Array:
+        r = Reader(form)
+        cells: list[list[dict[str, str]] | None] = []
+        for t in texts.to_pylist():
+            out: list[tuple[str, str]] = []
+            if p := r.bare(t):
+                _walk(p, name, out)
+            cells.append([{"leaf_path": q, "leaf": v} for q, v in out] if p else None)
+        return pa.array(cells, type=pa.list_(pa.struct([("leaf_path", pa.string()), ("leaf", pa.string())])))
+
+    return leaves(text)
+
+
+def same_print(a: Column, b: Column) -> Column:
+    """Whether two leaves print alike, though their JSON types or digits differ: 1.0 and "1.0"; null for an absent one."""
+
+    @F.arrow_udf("boolean")
+    def same(xs: pa.Array, ys: pa.Array) -> pa.Array:
+        return pa.array([None if x is None or y is None else _printed(x) == _printed(y) for x, y in zip(xs.to_pylist(), ys.to_pylist(), strict=True)], type=pa.bool_())
+
+    return same(a, b)
+
+
+def _printed(leaf: str) -> str:
+    kind, text = leaf[0], leaf[1:]
+    if kind == "n":
+        try:
+            return str(float(text))
+        except OverflowError:
+            return text
+    return {"null": "None", "true": "True", "false": "False"}[text] if kind == "l" else text
+
+
 def json_differences(
     left: DataFrame,
     right: DataFrame,
@@ -187,6 +230,7 @@ def json_differences(
     left_filter: Column | None = None,
     left_columns: tuple[str, ...] = (),
     form: PayloadForm = PayloadForm(),
+    leaves: bool = False,
 ) -> DataFrame:
     """(keys, leaf_path, diff_kind): keys on one side only (leaf_path '') and the leaves that disagree.
 
@@ -195,6 +239,7 @@ def json_differences(
     diff_kind is only_<name>, leaf_only_<name> or differs. Null, empty or unreadable JSON holds no leaves, so its
     key still counts as present. Null key parts match each other. Two records whose texts are the same are not
     read at all. Extra columns of either side don't reach the result. Empty tables give an empty result.
+    With ``leaves``, <name>_leaf holds each side's leaf (its JSON type before its value), null where it has none.
     """
     a, b = names
 
@@ -222,10 +267,13 @@ def json_differences(
     absent = F.array(F.struct(F.lit("").alias("leaf_path"), F.lit("").alias("leaf"), F.when(F.col("__y").isNull(), 1).otherwise(-1).alias("n")))
     union = cells.select(*keys, F.inline(F.when(paired, F.concat(signed(F.col("__cx"), 1), signed(F.col("__cy"), -1))).otherwise(absent)))
     left_of = union.groupBy(*keys, "leaf_path", "leaf").agg(F.sum("n").alias("n")).filter(F.col("n") != 0)
-    per_path = left_of.groupBy(*keys, "leaf_path").agg(F.max(F.col("n") > 0).alias("in_left"), F.max(F.col("n") < 0).alias("in_right"))
+    per_path = left_of.groupBy(*keys, "leaf_path").agg(
+        F.max(F.col("n") > 0).alias("in_left"), F.max(F.col("n") < 0).alias("in_right"),
+        *([F.max(F.when(F.col("n") > 0, F.col("leaf"))).alias(f"{a}_leaf"), F.max(F.when(F.col("n") < 0, F.col("leaf"))).alias(f"{b}_leaf")] if leaves else []),
+    )
     kind = (
         F.when(F.col("in_left") & F.col("in_right"), "differs")
         .when(F.col("leaf_path") == "", F.when(F.col("in_left"), f"only_{a}").otherwise(f"only_{b}"))
         .otherwise(F.when(F.col("in_left"), f"leaf_only_{a}").otherwise(f"leaf_only_{b}"))
     )
-    return per_path.select(*keys, "leaf_path", kind.alias("diff_kind"))
+    return per_path.select(*keys, "leaf_path", kind.alias("diff_kind"), *([f"{a}_leaf", f"{b}_leaf"] if leaves else []))

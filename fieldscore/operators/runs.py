@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fieldscore.operators.current import current_rows
-from fieldscore.operators.diff import PayloadForm, json_leaves
+from fieldscore.operators.diff import PayloadForm, bare_leaves, json_differences, json_leaves, same_print
 
 LADDER = ("SERVE-LAYER", "FORMAT", "UNATTRIBUTED", "JUDGE+REFINE", "EXTRACTION", "TAIL")
 
@@ -55,18 +55,42 @@ def introduced_nulls(before: DataFrame, after: DataFrame, keys: list[str], colum
     return lost.withColumn("field", field).groupBy("field").agg(F.count("*").alias("n"), F.count_distinct(*keys).alias("n_docs"))
 
 
-def difference_cause(differs_app: Column, same_text: Column, has_stages: Column, refine_differs: Column, extract_differs: Column) -> Column:
+def difference_cause(serve_only: Column, same_text: Column, has_refined: Column, refine_differs: Column, run_as_extracted: Column) -> Column:
     """The first rung of the ladder that explains a difference between an application's value and a run's."""
+    yes = lambda c: F.coalesce(c, F.lit(False))
     return (
-        F.when(~differs_app, None)
-        .when(F.coalesce(same_text, F.lit(False)), "FORMAT")
-        .when(~has_stages, "UNATTRIBUTED")
-        .when(F.coalesce(extract_differs, F.lit(False)), "EXTRACTION")
-        .when(F.coalesce(refine_differs, F.lit(False)), "JUDGE+REFINE")
+        F.when(yes(serve_only), "SERVE-LAYER")
+        .when(yes(same_text), "FORMAT")
+        .when(~yes(has_refined), "UNATTRIBUTED")
+        .when(yes(refine_differs), "JUDGE+REFINE")
+        .when(yes(run_as_extracted), "EXTRACTION")
         .otherwise("TAIL")
     )
 
 
+def attributed_differences(results: DataFrame, app: DataFrame, stage_outputs: DataFrame, arm: str = "FINAL", extract: str = "extract", refine: str = "refine", serve_keys: tuple[str, ...] = ("documentType",)) -> DataFrame:
+    """(run_id, doc_id, leaf_path, diff_kind, cause): the leaves of one arm on which the application and the run differ.
+
+    Each leaf is looked up in the current dumps of extraction and refinement; a leaf that both dumps lack is the same in
+    both. Only documents that differ have their dumps read, one row a document. Documents on one side only differ in no leaf.
+    """
+    keys = ["run_id", "doc_id"]
+    d = json_differences(results, app, keys, "arms", "written_at", "stored_at", left_filter=F.col("ok"), left_columns=("ok",), leaves=True)
+    d = d.filter((F.col("leaf_path") == arm) | F.col("leaf_path").startswith(f"{arm}.") | F.col("leaf_path").startswith(f"{arm}["))
+    d = d.groupBy(*keys).agg(F.collect_list(F.struct("leaf_path", "diff_kind", "run_leaf", "app_leaf")).alias("d"))  # at most the leaves of a document
+    dumps = stage_outputs.filter(F.col("stage").isin(extract, refine)).select(*keys, "stage", "utc", "cached", "stage_ms", "data", "received_at")
+    cur = current_rows(dumps, [*keys, "stage"], "received_at", [F.xxhash64("utc", "cached", "stage_ms", "data")])
+    cur = cur.groupBy(*keys).agg(*[F.max(F.when(F.col("stage") == s, F.col("data"))).alias(n) for s, n in ((extract, "e"), (refine, "r"))])
+    j = d.join(cur, keys, "left").withColumns({n: bare_leaves(F.col(n), arm) for n in "er"})
+    j = j.select(*keys, "e", "r", F.explode("d").alias("d")).select(*keys, "e", "r", "d.*")
+    at = lambda n: F.get(F.filter(F.col(n), lambda z: z["leaf_path"] == F.col("leaf_path")), F.lit(0))["leaf"]
+    j = j.select(*keys, "leaf_path", "diff_kind", "run_leaf", "app_leaf", F.col("r").isNotNull().alias("refined"), at("e").alias("at_extract"), at("r").alias("at_refine"))
+    j = j.withColumn("alike", same_print(F.col("run_leaf"), F.col("app_leaf")))
+    serve = F.substring_index("leaf_path", ".", -1).isin(*serve_keys) & F.col("run_leaf").isNull()
+    cause = difference_cause(serve, F.col("alike"), F.col("refined"), ~F.col("at_extract").eqNullSafe(F.col("at_refine")), F.col("at_extract").eqNullSafe(F.col("run_leaf")))
+    return j.select(*keys, "leaf_path", "diff_kind", cause.alias("cause"))
+
+
 def cost_rollup(results: DataFrame) -> DataFrame:
     """Tokens, cost and attempts by run over current rows; sums of money as decimals, so their order doesn't matter."""
     cur = current_rows(results.select("run_id", "doc_id", "ok", "tokens", "cost_usd", "attempts", "written_at"), ["run_id", "doc_id"], "written_at", [F.col("cost_usd"), F.col("attempts"), F.try_element_at("tokens", F.lit("total"))])

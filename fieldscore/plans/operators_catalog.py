@@ -452,15 +452,9 @@ def leaf_changes(spark, d):  # noqa: ANN001, ANN201
 
 @query()
 def difference_causes(spark, d):  # noqa: ANN001, ANN201
-    """Fields on which the application and the run differ, by the first stage whose value differs."""
-    from fieldscore.plans.training_core import p3_found
-
-    diffs = p3_found(spark, d).filter("leaf_path <> ''")
-    stages = runs.current_stages(table(spark, d, "stage_outputs")).filter("data is not null").select("run_id", "doc_id", "stage").groupBy("run_id", "doc_id").agg(F.collect_set("stage").alias("stages"))
-    j = diffs.join(stages, ["run_id", "doc_id"], "left")
-    arm = F.substring_index("leaf_path", ".", 1)
-    cause = runs.difference_cause(F.lit(True), F.lit(False), F.col("stages").isNotNull(), arm == "RAW_POSTPROCESSED", arm == "RAW")
-    return j.groupBy(cause.alias("cause"), "diff_kind").agg(F.count("*").alias("n"))
+    """Fields of the final arm on which the application and the run differ, by the stage whose value tells why."""
+    c = runs.attributed_differences(table(spark, d, "doc_results"), table(spark, d, "app_results"), table(spark, d, "stage_outputs"))
+    return c.groupBy("cause", "diff_kind").agg(F.count("*").alias("n"))
 
 
 @query()
