@@ -1,8 +1,10 @@
 """Evaluation texts that leak into training text: a distributed positional inverted index.
 
 Terms are runs of three normalised words. The corpus is read once; the postings (term, document, positions) of all
-terms that occur in test items are stored in the shared folder, hashed by term. From the index come the document
-frequencies, which tell stock phrases and the rarest terms of each test passage. Postings of test terms are adjusted by
+terms that occur in test items are stored in the shared folder, hashed by term, and beside them every short stretch of an
+item that a document repeats on its own, with a digest of the words around it: a stretch that stands in many different
+surroundings is a stock phrase. From the index come the document frequencies, which tell the rarest terms of each test
+passage. Postings of test terms are adjusted by
 the term's offset in its item: hits of one passage then lie on one diagonal, within a few words where words were dropped
 or added. Bands with enough hits, one of them on a rare term, are candidates; an exact pass over the candidates' words
 then follows each hit in both directions and counts the item's words that the document repeats.
@@ -34,7 +36,9 @@ _INNER = re.compile(r"[^\w\s]+|_+")
 
 @dataclass(frozen=True)
 class LeakForm:
-    """What counts as a leak. A stock phrase is in more than ``stock_share`` of all documents (and in ``stock_least``).
+    """What counts as a leak. A stock phrase is a stretch of at most ``stock_longest`` words that documents repeat without
+    the item's words around it, in more different surroundings than ``stock_share`` of the distinct texts (and in
+    ``stock_least``); copies of a text, and longer passages however often they leak, make none.
 
     A stretch of eight words with one exchanged word still has three runs of three, so three hits within ``drift``
     diagonals lose none of them.
@@ -45,6 +49,8 @@ class LeakForm:
     term: int = 3
     stock_share: float = 0.005
     stock_least: int = 5
+    stock_shortest: int = 6
+    stock_longest: int = 20
     band: int = 32
     drift: int = 4
     least_hits: int = 3
@@ -107,12 +113,60 @@ def item_terms(items: DataFrame, item: str, text: str, form: LeakForm) -> tuple[
     return items.sparkSession.createDataFrame(out, "term long, item_id long, off int"), held
 
 
-def positional_index(docs: DataFrame, doc: str, text: str, terms: np.ndarray, form: LeakForm) -> DataFrame:
-    """(term, doc_id, positions): where each document has each of the given terms; stored, hashed by term."""
-    shared = docs.sparkSession.sparkContext.broadcast(np.sort(np.unique(terms)))
+class ItemTerms:
+    """The terms of all items: each once and sorted, and where it stands in which items."""
+
+    def __init__(self, held: dict[int, list[str]], n: int):
+        per = [term_hashes(ws, n) for ws in held.values()]
+        sizes = np.array([len(h) for h in per])
+        flat = np.concatenate([np.zeros(0, np.int64), *per])
+        order = np.argsort(flat, kind="stable")
+        self.item = np.repeat(np.fromiter(held, np.int64, len(held)), sizes)[order]
+        self.off = (np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)).astype(np.int64)[order]
+        self.known, self.first, self.count = np.unique(flat[order], return_index=True, return_counts=True)
+
+
+def lone_stretches(t: ItemTerms, h: np.ndarray, sizes: np.ndarray, row: np.ndarray, hit: np.ndarray, at: np.ndarray, form: LeakForm) -> pd.DataFrame:
+    """(item_id, off, n, around): short stretches of items that stand in a text without more of the item beside them.
+
+    ``h`` are the words of all texts, ``hit`` the places of terms in them and ``at`` which terms these are. A misread word
+    doesn't end a stretch; what goes on a few words further on isn't alone.
+    """
+    gap = 2 * form.term + 2
+    count = t.count[at]
+    k = np.repeat(t.first[at] - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))
+    pos, item, off = np.repeat(hit, count), t.item[k], t.off[k]
+    text, diag = row[pos], pos - off
+    order = np.lexsort((pos, diag, item, text))
+    pos, item, off, text, diag = (x[order] for x in (pos, item, off, text, diag))
+    new = np.r_[True, (text[1:] != text[:-1]) | (item[1:] != item[:-1]) | (diag[1:] != diag[:-1]) | (pos[1:] - pos[:-1] > gap)]
+    a = np.flatnonzero(new)
+    b = np.r_[a[1:], len(pos)] - 1
+    f = pd.DataFrame({"text": text[a], "item_id": item[a], "off": off[a], "start": pos[a], "end": pos[b] + form.term, "diag": diag[a]})
+    f = f.sort_values(["text", "item_id", "start"], kind="stable")
+    x, y = f.iloc[:-1], f.iloc[1:]
+    on = (x["text"].to_numpy() == y["text"].to_numpy()) & (x["item_id"].to_numpy() == y["item_id"].to_numpy())
+    on &= (y["start"].to_numpy() - x["end"].to_numpy() <= gap) & (np.abs(y["diag"].to_numpy() - x["diag"].to_numpy()) <= form.drift)
+    f["n"] = f["end"] - f["start"]
+    f = f[~(np.r_[on, False] | np.r_[False, on]) & f["n"].between(form.stock_shortest, form.stock_longest).to_numpy()]
+    s, e, ends = f["start"].to_numpy(), f["end"].to_numpy(), np.cumsum(sizes)
+    hi = ends[f["text"].to_numpy()]
+    lo = hi - sizes[f["text"].to_numpy()]
+    around = np.zeros(len(f), np.uint64)
+    for i in [s - 3, s - 2, s - 1, e, e + 1, e + 2]:
+        there = (i >= lo) & (i < hi)
+        around = (around ^ (around >> np.uint64(31))) * _STEPS[0] + np.where(there, h[np.where(there, i, 0)], np.uint64(0))
+    return pd.DataFrame({"item_id": f["item_id"], "off": f["off"].astype(np.int32), "n": f["n"].astype(np.int32), "around": around.view(np.int64)})
+
+
+def positional_index(docs: DataFrame, doc: str, text: str, held: dict[int, list[str]], form: LeakForm) -> tuple[DataFrame, DataFrame]:
+    """(term, doc_id, positions): where each document has each term of the items; (item_id, off, n, around): their lone
+    stretches. Read in one pass and stored, the postings hashed by term."""
+    shared = docs.sparkSession.sparkContext.broadcast(ItemTerms(held, form.term))
+    columns = ["term", "doc_id", "positions", "item_id", "off", "n", "around"]
 
     def postings(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known, hashes = shared.value, WordHashes()
+        known, hashes = shared.value.known, WordHashes()
         for b in batches:
             held = [words(t) for t in b["text"]]
             sizes = np.array([len(ws) for ws in held])
@@ -126,15 +180,25 @@ def positional_index(docs: DataFrame, doc: str, text: str, terms: np.ndarray, fo
             hit = np.flatnonzero((known[at] == runs) & (row[: len(runs)] == row[last]))  # runs within one text
             if not len(hit):
                 continue
+            if len(lone := lone_stretches(shared.value, h, sizes, row, hit, at[hit], form)):
+                yield lone.assign(term=None, doc_id=None, positions=None)[columns]
             starts = np.cumsum(sizes) - sizes
             r = row[hit]
             f = pd.DataFrame({"term": runs[hit], "doc_id": b["doc_id"].to_numpy()[r], "pos": (hit - starts[r]).astype(np.int32)})
             f = f.sort_values(["term", "doc_id", "pos"], kind="stable")
             new = np.flatnonzero(np.r_[True, (f["term"].to_numpy()[1:] != f["term"].to_numpy()[:-1]) | (f["doc_id"].to_numpy()[1:] != f["doc_id"].to_numpy()[:-1])])
-            yield pd.DataFrame({"term": f["term"].to_numpy()[new], "doc_id": f["doc_id"].to_numpy()[new], "positions": np.split(f["pos"].to_numpy(), new[1:])})
+            yield pd.DataFrame({"term": f["term"].to_numpy()[new], "doc_id": f["doc_id"].to_numpy()[new], "positions": np.split(f["pos"].to_numpy(), new[1:])}).assign(item_id=None, off=None, n=None, around=None)[columns]
 
     read = docs.select(F.col(doc).cast("long").alias("doc_id"), F.col(text).alias("text")).filter("doc_id is not null and text is not null")
-    return cut(read.mapInPandas(postings, "term long, doc_id long, positions array<int>").repartition("term"))
+    both = read.mapInPandas(postings, "term long, doc_id long, positions array<int>, item_id long, off int, n int, around long")
+    both = cut(both.repartition(F.coalesce("term", "around")))
+    return both.filter("term is not null").select("term", "doc_id", "positions"), both.filter("term is null").select("item_id", "off", "n", "around")
+
+
+def stock_phrases(lone: DataFrame, n_texts: int, form: LeakForm) -> DataFrame:
+    """(item_id, off, n): the stretches that stand in many different surroundings."""
+    least = max(form.stock_least, math.floor(form.stock_share * n_texts) + 1)
+    return lone.groupBy("item_id", "off", "n").agg(F.count_distinct("around").alias("places")).filter(F.col("places") >= least).select("item_id", "off", "n")
 
 
 def near_words(a: str, b: str) -> bool:
@@ -220,16 +284,17 @@ def leaked_items(docs: DataFrame, items: DataFrame, doc: str = "doc_id", text: s
     empty = spark.createDataFrame([], "doc_id long, item_id long")
     if not held:
         return empty
-    n_docs = docs.count()
-    hashes = np.array([h for ws in held.values() for h in term_hashes(ws, form.term)], dtype=np.int64)
-    index = positional_index(docs, doc, text, hashes, form)
-    stock_df = max(form.stock_least, math.floor(form.stock_share * n_docs) + 1)
+    n_texts = docs.select(F.xxhash64(text)).distinct().count()
+    index, lone = positional_index(docs, doc, text, held, form)
+    phrases = [tuple(r) for r in stock_phrases(lone, n_texts, form).collect()]  # a few an item
+    stock: dict[int, set[int]] = {}
+    for i, o, n in phrases:
+        stock.setdefault(i, set()).update(range(o, o + n))
     # at most one row a test term, so bounded by the checked number of items
     frequency = terms.select("term").distinct().join(index.groupBy("term").agg(F.count("*").alias("df")), "term", "left").withColumn("df", F.coalesce("df", F.lit(0)))
-    stock = frequency.filter(F.col("df") >= stock_df).select("term")
-    stock_terms = {r[0] for r in stock.collect()}
+    inside = spark.createDataFrame([(i, o + k) for i, o, n in phrases for k in range(n - form.term + 1)], "item_id long, off int").distinct()
     w = Window.partitionBy("item_id").orderBy("off").rowsBetween(-(form.stretch - form.term), form.stretch - form.term)
-    live = terms.join(frequency, "term").filter((F.col("df") > 0) & (F.col("df") < stock_df))
+    live = terms.join(frequency, "term").filter(F.col("df") > 0).join(inside, ["item_id", "off"], "left_anti")
     seeded = live.withColumn("seed", F.col("df") <= F.percentile("df", F.lit(0.7)).over(w))  # the rarest of each passage
     hits = index.join(seeded.select("term", "item_id", "off", "seed"), "term").select("item_id", "doc_id", "off", "seed", F.explode("positions").alias("pos"))
     diag = F.col("pos") - F.col("off")
@@ -238,7 +303,7 @@ def leaked_items(docs: DataFrame, items: DataFrame, doc: str = "doc_id", text: s
     banded = hits.select("item_id", "doc_id", "off", "seed", F.explode(bands).alias("band"))
     found = banded.groupBy("item_id", "doc_id", "band").agg(F.count_distinct("off").alias("n"), F.max("seed").alias("seed")).filter((F.col("n") >= form.least_hits) & F.col("seed"))
     pairs = found.groupBy("doc_id").agg(F.collect_set("item_id").alias("items"))  # at most one entry a test item
-    kept = {i: (ws, _stock_offsets(ws, stock_terms, form)) for i, ws in held.items()}
+    kept = {i: (ws, stock.get(i, set())) for i, ws in held.items()}
     shared = spark.sparkContext.broadcast(kept)
 
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -256,18 +321,3 @@ def leaked_items(docs: DataFrame, items: DataFrame, doc: str = "doc_id", text: s
 
     texts = docs.select(F.col(doc).cast("long").alias("doc_id"), F.col(text).alias("text"))
     return texts.join(pairs, "doc_id").mapInPandas(verify, "doc_id long, item_id long").distinct()
-
-
-def _stock_offsets(ws: list[str], stock: set[int], form: LeakForm) -> set[int]:
-    """The item's words inside stock phrases: runs of at least four terms that are each in many documents."""
-    flags = [h in stock for h in term_hashes(ws, form.term)]
-    out: set[int] = set()
-    start = None
-    for i, f in enumerate([*flags, False]):
-        if f and start is None:
-            start = i
-        elif not f and start is not None:
-            if i - start >= 4:
-                out.update(range(start, i - 1 + form.term))
-            start = None
-    return out
