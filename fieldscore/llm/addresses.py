@@ -53,13 +53,15 @@ _FOLD = str.maketrans({"o": "0", "l": "1", "i": "1", "s": "5", "b": "8"})
 
 @dataclass(frozen=True)
 class AddressForm:
-    """Parameters: the n-gram length, the cosine a candidate needs, and when a word counts as known (addresses
-    that hold it, by share and number, and the house numbers it is seen with)."""
+    """Parameters: the n-gram length, the cosine a candidate needs, and when a word counts as known (addresses that
+    hold it and house numbers it is seen with) and isn't a misprint (``far_rarer`` times rarer than a word an edit away,
+    at whose places at least ``at_places`` of its own are)."""
 
     gram: int = 3
     cosine: float = 0.15
-    known_share: float = 1e-4
     known_least: int = 3
+    far_rarer: int = 5
+    at_places: float = 0.25
     hashed_grams: int = 1 << 18
 
 
@@ -196,6 +198,7 @@ def read_address(text: str) -> Reading:
 
 
 PARTS = ("number", "unit", "direction", "street", "kind", "first", "town", "region", "postcode")
+ROOTS = ("street_root", "town_root")
 READING = ", ".join(f"{p} string" for p in PARTS)
 
 
@@ -228,17 +231,21 @@ def edits(a: str, b: str, most: int) -> int:
     return prev[-1]
 
 
-def same_word(a: str, b: str, known: set[str]) -> bool:
-    """Equal, or one a misprint: a known word is never a misprint of another known word."""
+def same_word(a: str, b: str, roots: dict[str, str]) -> bool:
+    """Equal, or one a misprint: a known word is never a misprint of another known word. ``roots`` holds the known words,
+    each by itself, and frequent misprints by the word they stand for."""
     if a == b:
         return True
-    if min(len(a), len(b)) < 4 or (a in known and b in known):
+    x, y = roots.get(a), roots.get(b)
+    if x and y:
+        return x == y
+    if min(len(a), len(b)) < 4:
         return False
-    most = 1 if a in known or b in known else 2
-    return edits(a, b, most) <= most
+    most = 1 if x or y else 2
+    return edits(x or a, y or b, most) <= most
 
 
-def same_place(a: Reading, b: Reading, known: set[str]) -> bool:
+def same_place(a: Reading, b: Reading, known: dict[str, str]) -> bool:
     """Whether two readings with one number and unit name one place; a part left out on one side doesn't tell."""
     if a.number != b.number or a.unit != b.unit:
         return False
@@ -290,6 +297,28 @@ class GramWeights:
         return sum(w * d.get(g, 0.0) for g, w in a)
 
 
+def word_roots(members: DataFrame, form: AddressForm) -> DataFrame:
+    """(word, root): the names seen often enough to be known, each its own root unless it is a frequent misprint.
+
+    A misprint stands at the places of the name it was meant to be, and is far rarer; another name has its own places.
+    """
+    parts = F.array(F.struct(F.lit("s").alias("part"), F.col("street").alias("word"), F.col("town").alias("other")), F.struct(F.lit("t").alias("part"), F.col("town").alias("word"), F.col("street").alias("other")))
+    words = members.select("number", "unit", F.inline(parts)).filter("word <> ''")
+    often = words.groupBy("word").agg(F.count("*").alias("n"), F.approx_count_distinct("number").alias("numbers"))
+    often = often.filter((F.col("n") >= form.known_least) & (F.col("numbers") >= form.known_least)).select("word")
+    places = cut(words.filter("number <> '' and other <> ''").distinct().join(often, "word"))
+    n_places = places.groupBy("word").agg(F.count("*").alias("places"))
+    pairs = places.alias("b").join(places.withColumnRenamed("word", "root").alias("a"), ["part", "number", "unit", "other"])
+    letters = lambda c: F.array_sort(F.split(c, ""))
+    far = F.levenshtein("word", "root", 2)
+    near = (F.col("word") != F.col("root")) & (F.abs(F.length("word") - F.length("root")) <= 1) & (F.least(F.length("word"), F.length("root")) >= 4) & ((far == 1) | ((far == 2) & (letters("word") == letters("root"))))
+    shared = pairs.filter(near).groupBy("word", "root").agg(F.count("*").alias("shared"))
+    shared = shared.join(n_places, "word").join(n_places.select(F.col("word").alias("root"), F.col("places").alias("of_root")), "root")
+    meant = shared.filter((F.col("shared") >= F.col("places") * form.at_places) & (F.col("places") * form.far_rarer <= F.col("of_root")))
+    meant = meant.groupBy("word").agg(F.max_by("root", F.struct("shared", "of_root", "root")).alias("root"))
+    return often.join(meant, "word", "left").select("word", F.coalesce("root", "word").alias("root"))
+
+
 def same_addresses(addresses: DataFrame, ident: str = "addr", text: str = "text", form: AddressForm = AddressForm()) -> DataFrame:
     """(addr_a, addr_b): all pairs of identifiers whose addresses name one place, addr_a < addr_b.
 
@@ -303,9 +332,9 @@ def same_addresses(addresses: DataFrame, ident: str = "addr", text: str = "text"
     members = cut(rows.withColumn("r", read("text")).select("addr", "r.*").withColumn("rep", F.concat_ws("\x1f", *PARTS)))
     reps = members.groupBy("rep", *PARTS).agg(F.count("*").alias("n"))
     total = members.count()
-    least = max(form.known_least, math.ceil(form.known_share * total))  # so at most 2 / known_share words are known
-    counted = members.select("number", F.explode(F.array("street", "town")).alias("word")).filter("word <> ''").groupBy("word").agg(F.count("*").alias("n"), F.approx_count_distinct("number").alias("numbers"))
-    known = {r[0] for r in counted.filter((F.col("n") >= least) & (F.col("numbers") >= form.known_least)).collect()}
+    roots = cut(word_roots(members, form))
+    for p in ("street", "town"):
+        reps = reps.join(roots.select(F.col("word").alias(p), F.col("root").alias(f"{p}_root")), p, "left")
     blank = GramWeights(form, np.zeros(1), 1)
 
     @F.pandas_udf("array<int>")
@@ -315,7 +344,7 @@ def same_addresses(addresses: DataFrame, ident: str = "addr", text: str = "text"
     df = np.zeros(form.hashed_grams, dtype=np.int64)
     for g, n in reps.select(F.explode(grams("street", "town")).alias("g")).groupBy("g").count().collect():  # at most form.hashed_grams rows
         df[g] = n
-    shared = spark.sparkContext.broadcast((df, total, known))
+    shared = spark.sparkContext.broadcast((df, total))
 
     def postings(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         weights = GramWeights(form, shared.value[0], shared.value[1])
@@ -323,8 +352,8 @@ def same_addresses(addresses: DataFrame, ident: str = "addr", text: str = "text"
             b["prefix"] = [sorted(weights.prefix(weights.vector(s, t))) for s, t in zip(b["street"], b["town"], strict=True)]
             yield b
 
-    held = reps.select("rep", *PARTS).mapInPandas(postings, f"rep string, {READING}, prefix array<int>")
-    index = held.select("number", "unit", F.explode("prefix").alias("gram"), F.struct("rep", *PARTS[2:], "prefix").alias("x"))
+    held = reps.select("rep", *PARTS, *ROOTS).mapInPandas(postings, f"rep string, {READING}, street_root string, town_root string, prefix array<int>")
+    index = held.select("number", "unit", F.explode("prefix").alias("gram"), F.struct("rep", *PARTS[2:], *ROOTS, "prefix").alias("x"))
     pairs = index.alias("a").join(index.withColumnRenamed("x", "y").alias("b"), ["number", "unit", "gram"])
     first = F.array_min(F.array_intersect("x.prefix", "y.prefix"))
     pairs = pairs.filter((F.col("x.rep") < F.col("y.rep")) & (F.col("gram") == first)).select("number", "unit", F.col("x").dropFields("prefix").alias("x"), F.col("y").dropFields("prefix").alias("y"))
@@ -333,11 +362,13 @@ def same_addresses(addresses: DataFrame, ident: str = "addr", text: str = "text"
 
     @F.pandas_udf("boolean")
     def verified(number: pd.Series, unit: pd.Series, x: pd.DataFrame, y: pd.DataFrame) -> pd.Series:
-        df, total, known = shared.value
+        df, total = shared.value
         weights = GramWeights(form, df, total)
         cols = [c for c in PARTS if c not in ("number", "unit")]
         out = []
-        for n, u, *v in zip(number, unit, *[x[c] for c in cols], *[y[c] for c in cols], strict=True):
+        roots_of = zip(*[z[w] for z in (x, y) for w in ("street", "town")], *[z[r] for z in (x, y) for r in ROOTS], strict=True)
+        for n, u, r, *v in zip(number, unit, roots_of, *[x[c] for c in cols], *[y[c] for c in cols], strict=True):
+            known = {w: k for w, k in zip(r[:4], r[4:], strict=True) if isinstance(k, str)}
             a, b = (Reading(n, u, **dict(zip(cols, part, strict=True))) for part in (v[: len(cols)], v[len(cols) :]))
             out.append(same_place(a, b, known) and weights.cosine(weights.vector(a.street, a.town), weights.vector(b.street, b.town)) >= form.cosine)
         return pd.Series(out, dtype=bool)
