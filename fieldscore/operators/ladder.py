@@ -27,7 +27,7 @@ def with_levels(verdicts: DataFrame) -> DataFrame:
     return v.withColumn("L4", F.col("L3") | ((r == "phone") & yes(text.phone_digits(w) == text.phone_digits(t))))
 
 
-def strict_ladder(verdicts: DataFrame, levels: tuple[str, ...] = ("L0", "L1", "L2")) -> DataFrame:
+def strict_ladder(verdicts: DataFrame, levels: tuple[str, ...] = LEVELS) -> DataFrame:
     """(arm, level, n, n_ok, accuracy)."""
     v = with_levels(verdicts)
     long = v.select("arm", F.explode(F.array(*[F.struct(F.lit(x).alias("level"), F.col(x).alias("ok")) for x in levels])).alias("z")).select("arm", "z.*")

@@ -109,6 +109,13 @@ def review_by_field(spark, d):  # noqa: ANN001, ANN201
 
 
 def strict_ladder(spark, d):  # noqa: ANN001, ANN201
+    """Accuracy under the three strictest comparators, those that its SQL has; `strict_ladder_levels` has all five."""
+    from fieldscore.operators.ladder import strict_ladder as ladder
+
+    return ladder(_v(spark, d), ("L0", "L1", "L2"))
+
+
+def strict_ladder_levels(spark, d):  # noqa: ANN001, ANN201
     """Accuracy under five comparators of falling strictness."""
     from fieldscore.operators.ladder import strict_ladder as ladder
 
@@ -130,7 +137,7 @@ def comparison_forms(spark, d):  # noqa: ANN001, ANN201
 
 QUERIES = {f.__name__: f for f in (
     flagship_field_accuracy, verdict_states, verdict_rows, hallucination_counts, correct_null_rate, macro_micro, headline_accuracy, stage_lift, judge_confusion, arm_denominators, no_tax_slice,
-    cluster_sufficient_stats, cluster_bootstrap_ci, score_by_run, text_scores, review_pivot, review_by_file, review_by_field, strict_ladder, strict_gaps, comparison_forms,
+    cluster_sufficient_stats, cluster_bootstrap_ci, score_by_run, text_scores, review_pivot, review_by_file, review_by_field, strict_ladder, strict_ladder_levels, strict_gaps, comparison_forms,
 )}
 
 _OK = "state IN ('correct', 'correct_null')"
