@@ -181,27 +181,51 @@ def brute_check(lengths, capacity, windows):
 def test_packing_keeps_every_token(capacity):
     r = np.random.default_rng(3)
     lengths = np.r_[r.integers(1, 120, 200), [0, 0, 900]]
-    terms = [np.unique(r.integers(0, 400, max(1, n // 3))) for n in lengths]
-    terms[-3] = terms[-2] = np.zeros(0, np.int64)
-    tfs = [np.ones(len(t), np.uint16) for t in terms]
-    index = packing.ShardIndex(terms, tfs, lengths, np.full(401, 1.5, np.float32), 60.0, packing.PackForm())
-    windows = packing.pack_shard(lengths, capacity, index, 32)
+    windows = packing.pack_shard(lengths, capacity, r.random((203, 203), np.float32)).windows
     brute_check(lengths, capacity, windows)
     if capacity == 500:
         assert lengths.sum() / (len(windows) * capacity) > 0.97
 
 
-def test_bm25_scores_equal_the_formula():
+def test_the_nearest_neighbours_come_first():
+    """With room to spare no size is in the way: a window holds its seed's neighbours by falling score, all of them."""
+    r = np.random.default_rng(8)
+    score = r.random((400, 400), np.float32)
+    lengths = r.integers(5, 9, 400)
+    lengths[7] = 50
+    got = packing.pack_shard(lengths, 10_000, score)
+    order = [p[0] for p in got.windows[0]]
+    assert order == [7, *[j for j in np.argsort(-score[7]).tolist() if j != 7]] and got.retrieved == 399
+
+
+@pytest.mark.parametrize("long", [0, 4, 1000])
+def test_bm25_scores_equal_the_formula(long, monkeypatch):
+    monkeypatch.setattr(packing.ShardIndex, "LONG", long)
+    monkeypatch.setattr(packing.ShardIndex, "BLOCK", 8)
     r = np.random.default_rng(5)
     terms = [np.unique(r.integers(0, 30, 8)) for _ in range(12)]
-    tfs = [r.integers(1, 4, len(t)).astype(np.uint16) for t in terms]
+    tfs = [r.integers(1, 4, len(t)) for t in terms]
     n = np.array([int(x.sum()) for x in tfs])
     idf = r.random(31).astype(np.float32)
     f = packing.PackForm()
-    got = packing.ShardIndex(terms, tfs, n, idf, n.mean(), f).scores(0)
-    for d in range(12):
-        want = sum(idf[t] * tf * (f.k1 + 1) / (tf + f.k1 * (1 - f.b + f.b * n[d] / n.mean())) for t, tf in zip(terms[d], tfs[d].astype(float)) if t in terms[0])
-        assert abs(got[d] - want) < 1e-4
+    got = packing.ShardIndex(terms, tfs, n, idf, n.mean(), f).score
+    for i, d in itertools.product(range(12), range(12)):
+        want = sum(idf[t] * tf * (f.k1 + 1) / (tf + f.k1 * (1 - f.b + f.b * n[d] / n.mean())) for t, tf in zip(terms[d], tfs[d].astype(float)) if t in terms[i])
+        assert i == d or abs(got[i, d] - want) < 1e-4
+
+
+def test_windows_do_not_depend_on_the_cluster(spark):
+    r = random.Random(6)
+    rows = [(i, " ".join(r.choice("red mop lamp soap fee tax sum bar".split()) for _ in range(r.randint(1, 90))), f"s{i % 7 if i % 3 else 1}") for i in range(900)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, cluster_id string")
+    boxes = spark.createDataFrame([("small", 64), ("large", 700)], "container string, capacity int")
+    form, got = packing.PackForm(shard=100), []
+    was = spark.conf.get("spark.sql.shuffle.partitions")
+    for n in ("3", "11"):
+        spark.conf.set("spark.sql.shuffle.partitions", n)
+        got.append(set(packing.pack_windows(docs.repartition(int(n)), boxes, series="cluster_id", form=form).collect()))
+    spark.conf.set("spark.sql.shuffle.partitions", was)
+    assert got[0] == got[1] and len({x.doc_id for x in got[0]}) == 900
 
 
 def test_windows_of_texts(spark):
