@@ -8,25 +8,31 @@ decoding is Viterbi over batches of texts of similar length.
 
 from __future__ import annotations
 
+import io
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 
 NEG = np.float32(-1e4)
-_TOP = 0x3000
+_TOP = 0x10000  # code points from here on are one symbol
 _U = np.uint64
 _DASHES, _QUOTES = set("‐‑‒–—−"), set("’‘`´")
 
 
+def _alone(c: int) -> bool:
+    """Scripts written without spaces: each sign is a token."""
+    return 0x3040 <= c < 0x3100 or 0x3400 <= c < 0xA000 or 0xF900 <= c < 0xFB00
+
+
 def _tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     kind, fold, shape = np.full(_TOP + 1, 1, np.uint8), np.zeros(_TOP + 1, np.uint32), np.full(_TOP + 1, 2, np.uint8)
     for c in range(_TOP):
         x = chr(c)
         low = x.lower()
-        kind[c] = 0 if x.isspace() or c == 0 else 2 if x.isdigit() else 1 if x.isalpha() else 3
+        kind[c] = 0 if x.isspace() or c == 0 else 2 if x.isdigit() else 3 if _alone(c) else 1 if x.isalpha() else 3
         fold[c] = ord("-") if x in _DASHES else ord("'") if x in _QUOTES else ord("0") if x.isdigit() else ord(low) if len(low) == 1 else c
-        shape[c] = 3 if x.isdigit() else 1 if x.isupper() else 2 if x.isalpha() else 4
+        shape[c] = 3 if x.isdigit() else 5 if _alone(c) else 1 if x.isupper() else 2 if x.isalpha() else 4
     fold[_TOP] = _TOP
     kind[0xAD], shape[0xAD] = 1, 2  # a soft hyphen is a part of its word
     return kind, fold, shape
@@ -92,7 +98,7 @@ def tokenize(texts: list[str]) -> Tokens:
     number, distinct = pd.factorize(cased)
     some = np.empty(len(distinct), np.int64)
     some[number[::-1]] = np.arange(len(number))[::-1]  # the first token of each kind
-    word, shape, suffix = _kinds([whole[a:b] for a, b in zip(starts[some].tolist(), ends[some].tolist(), strict=True)])
+    word, shape, suffix = _kinds([whole[a:b].replace("\xad", "") or "\xad" for a, b in zip(starts[some].tolist(), ends[some].tolist(), strict=True)])
     doc = np.repeat(np.arange(len(texts)), np.diff(np.searchsorted(starts, np.r_[offsets, len(cp)])))
     line = np.cumsum((cp == 10) | (cp == 13), dtype=np.int32)
     gap = np.zeros(len(starts), np.uint8)
@@ -128,7 +134,7 @@ _SALT = [_U(x) for x in _rng.integers(1, 2**63, 64, dtype=np.uint64)]
 class Crf:
     """Labels, hashed weights (``2**bits`` rows) and transitions."""
 
-    def __init__(self, kinds: list[str], bits: int = 17):
+    def __init__(self, kinds: list[str], bits: int = 19):
         self.kinds = kinds
         self.labels = ["O", *[f"{p}-{k}" for k in kinds for p in "BI"]]
         n = len(self.labels)
@@ -235,45 +241,36 @@ class Crf:
             spans[t.doc[i]].append((int(t.start[i]), int(t.end[j - 1]), self.kinds[(y - 1) // 2]))
         return spans
 
-    #: long texts are decoded in blocks that overlap by far more than the length of any value
-    BLOCK, OVERLAP = 320, 64
+    MOST_BACK = 1 << 28  # bytes of back pointers held at once
 
     def viterbi(self, e: np.ndarray, doc: np.ndarray, n_docs: int) -> np.ndarray:
+        """The best labels of every text as a whole; texts of half to full length of the longest go together."""
         counts = np.bincount(doc, minlength=n_docs)
         starts = np.cumsum(counts) - counts
-        step = self.BLOCK - 2 * self.OVERLAP
-        parts = np.maximum(1, -(-(counts - 2 * self.OVERLAP) // step))
-        d = np.repeat(np.arange(n_docs), parts)
-        k = np.arange(len(d)) - np.repeat(np.cumsum(parts) - parts, parts)
-        low, last = k * step, k == parts[d] - 1
-        size = np.where(last, counts[d] - low, self.BLOCK)
-        keep_from, keep_to = np.where(k == 0, 0, self.OVERLAP), np.where(last, size, self.BLOCK - self.OVERLAP)
-        begin = starts[d] + low
-        order = np.argsort(-size, kind="stable")
-        order = order[size[order] > 0]
-        out = np.zeros(len(e), np.int8)
+        order = np.argsort(-counts, kind="stable")
+        order = order[counts[order] > 0]
+        out = np.zeros(len(e), np.int64)
         i = 0
         while i < len(order):
-            longest = size[order[i]]
-            j = max(i + 1, int(np.searchsorted(-size[order], -max(0.8 * longest, longest - 40), side="right")))
-            for a in range(i, j, 1024):
-                g = order[a : min(a + 1024, j)]
-                y = self._viterbi_group(e, begin[g], size[g], k[g] == 0)
-                t = np.arange(y.shape[0])[:, None]
-                ok = (t >= keep_from[g]) & (t < keep_to[g])
-                out[(begin[g] + t)[ok]] = y[ok]
+            longest = int(counts[order[i]])
+            j = int(np.searchsorted(-counts[order], -(longest // 2 if longest > 64 else 0), side="left"))
+            j = max(i + 1, min(j, i + min(1024, self.MOST_BACK // (longest * len(self.labels)))))
+            g = order[i:j]
+            y = self._viterbi_group(e, starts[g], counts[g])
+            t = np.arange(longest)[:, None]
+            ok = t < counts[g]
+            out[(starts[g] + t)[ok]] = y[ok]
             i = j
-        return out.astype(np.int64)
+        return out
 
-    def _viterbi_group(self, e: np.ndarray, starts: np.ndarray, counts: np.ndarray, at_start: np.ndarray) -> np.ndarray:
+    def _viterbi_group(self, e: np.ndarray, starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
         """(steps, sequences): the best labels of sequences sorted by falling length; each step looks at those that go on.
 
         I-labels are only reached from their own B and I, so those steps compare two labels and not all.
         """
         longest, n, m = int(counts[0]), len(self.labels), len(counts)
         back = np.zeros((longest, n, m), np.uint8)
-        first = np.where(at_start[None, :], np.where(self.first_banned, NEG, self.first)[:, None], np.float32(0))
-        score = e[starts].T + first
+        score = e[starts].T + np.where(self.first_banned, NEG, self.first)[:, None]
         alive = np.searchsorted(-counts, -np.arange(1, longest + 1), side="right")
         opens = np.array([0, *range(1, n, 2)])  # O and the B labels, reached from anywhere
         to_open = self.moves[:, opens].T.copy()[:, :, None]
@@ -286,11 +283,13 @@ class Crf:
             b = through.argmax(1)
             x, y = s[inner - 1] + from_b, s[inner] + from_i
             new = np.empty((n, m), np.float32)
-            new[opens] = through.max(1)
+            new[opens] = np.take_along_axis(through, b[:, None, :], 1)[:, 0]
             new[inner] = np.maximum(x, y)
             back[k, opens, :m] = b
             back[k, inner, :m] = np.where(y > x, inner[:, None], inner[:, None] - 1)
             new += e[starts[:m] + k].T
+            if not k % 64:
+                new -= new.max(0)  # only differences count; sums of long texts would lose digits
             score[:, :m] = new
         y = score.argmax(0)
         out = np.zeros((longest, len(counts)), np.int8)
@@ -302,6 +301,19 @@ class Crf:
                 y[:m] = back[k, y[:m], rows[:m]]
         return out
 
+    # storing ------------------------------------------------------------------------------------------------------
+    def to_bytes(self) -> bytes:
+        held = io.BytesIO()
+        np.savez_compressed(held, kinds=np.array(self.kinds), bits=self.bits, weights=self.weights, moves=self.moves, first=self.first)
+        return held.getvalue()
+
+    @classmethod
+    def from_bytes(cls, blob: bytes) -> Crf:
+        x = np.load(io.BytesIO(blob), allow_pickle=False)
+        m = cls([str(k) for k in x["kinds"]], int(x["bits"]))
+        m.weights, m.moves, m.first = x["weights"], x["moves"], x["first"]
+        return m
+
     # training -----------------------------------------------------------------------------------------------------
     def fit(self, texts: list[str], spans: list[list[tuple[int, int, str]]], epochs: int = 10, rate: float = 0.25, l2: float = 2e-6, batch: int = 96, seed: int = 5) -> Crf:
         """Maximum likelihood over labelled texts; spans are (start, end, kind) in code points."""
@@ -314,24 +326,22 @@ class Crf:
         used = np.flatnonzero(counts)
         n = len(self.labels)
         g_w, g_m, g_f = np.full_like(self.weights, 1e-2), np.full_like(self.moves, 1e-2), np.full_like(self.first, 1e-2)
+        rng.shuffle(used)
+        by_len = np.concatenate([c[np.argsort(counts[c])] for c in np.array_split(used, max(1, len(used) // (batch * 8)))])
+        batches = []
+        for i in range(0, len(by_len), batch):
+            group = by_len[i : i + batch]
+            rows = np.concatenate([np.arange(starts[d], starts[d] + counts[d]) for d in group])
+            ids = slots[rows].ravel()
+            order = np.argsort(ids, kind="stable")
+            first = np.flatnonzero(np.r_[True, ids[order][1:] != ids[order][:-1]])
+            batches.append((rows, counts[group], ids[order][first], (order // slots.shape[1]).astype(np.int32), first))
         for _ in range(epochs):
-            rng.shuffle(used)
-            by_len = np.concatenate([c[np.argsort(counts[c])] for c in np.array_split(used, max(1, len(used) // (batch * 8)))])
-            groups = [by_len[i : i + batch] for i in range(0, len(by_len), batch)]
-            rng.shuffle(groups := list(map(list, groups)))
-            for group in groups:
-                rows = np.concatenate([np.arange(starts[d], starts[d] + counts[d]) for d in group])
-                cnt = counts[group]
-                e = self.weights[slots[rows]].sum(1)
-                grad, gm, gf = self._gradient(e, cnt, gold[rows])
-                ids = slots[rows].ravel()
-                u, inv = np.unique(ids, return_inverse=True)
-                gw = np.empty((len(u), n), np.float32)
-                rep = np.repeat(grad, slots.shape[1], axis=0)
-                for y in range(n):
-                    gw[:, y] = np.bincount(inv, weights=rep[:, y], minlength=len(u))
-                gw = gw / len(group) - l2 * self.weights[u]
-                for w, g, acc in ((self.moves, gm / len(group), g_m), (self.first, gf / len(group), g_f)):
+            for k in rng.permutation(len(batches)):
+                rows, cnt, u, token, first = batches[k]
+                grad, gm, gf = self._gradient(self.weights[slots[rows]].sum(1), cnt, gold[rows])
+                gw = np.add.reduceat(grad[token], first, axis=0) / len(cnt) - l2 * self.weights[u]
+                for w, g, acc in ((self.moves, gm / len(cnt), g_m), (self.first, gf / len(cnt), g_f)):
                     acc += g * g
                     w += rate * g / np.sqrt(acc)
                 g_w[u] += gw * gw

@@ -1,22 +1,26 @@
 """Personal information inside free text: found by a conditional random field, checked exactly, replaced by placeholders.
 
-The model is trained on the driver from the small labelled table of `pii_examples` (its size is a parameter), shared
-with all tasks (its weights have a fixed size), and run over whole texts; nothing is shuffled. What the model marks is
+The model is trained on the driver from the small labelled table of `pii_examples` (its size is a parameter), stored,
+shared with all tasks (its weights have a fixed size), and run over whole texts; nothing is shuffled. What the model marks is
 then checked and cut exactly: an e-mail address has to be one, numbers lose the words around them.
 """
 
 from __future__ import annotations
 
+import inspect
 import re
 from collections.abc import Iterator
 from functools import lru_cache
 
 import pandas as pd
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fieldscore.llm import crf, pii_examples
 from fieldscore.llm.crf import Crf
 from fieldscore.llm.pii_examples import ROWS, labelled_rows
+from fieldscore.session import checkpoint_dir
 
 KINDS = ["email", "phone", "id_number", "street_address", "person_name"]
 
@@ -26,6 +30,8 @@ _EMAIL = re.compile(rf"[^\W_](?:[\w.+'’\-]|{_DOT}(?=\w+\s+at\s))*(?:\s?@\s?|\s
 _PHONE = re.compile(rf"[+(]{{0,2}}\d[\d ()/.{_DASH}\xa0]*\d(?:,?\s?(?:ext\.?|extn\.?|x|extension|Durchwahl|poste|toestel)\s?\d{{1,6}})?", re.I)
 _ID = re.compile(rf"(?<!\w)(?:[A-Z]{{1,3}}[ {_DASH}]?)?\d[\d .{_DASH}]*\d(?:[ {_DASH}]?[A-Z]\b(?: \d{{3}})?)?", re.I)
 _PRICES = re.compile(r"\d+[.,]\d\d\s+\d+[.,]\d\d$")
+# Words of family names that are printed in small letters.
+PARTICLES = frozenset("van von de der den di da del della du des la le ten ter zu dos bin ibn al el".split())
 _EDGE = " \t\r\n.,;:|\"'“”()<>"
 
 
@@ -69,7 +75,20 @@ def checked(text: str, a: int, b: int, kind: str) -> list[tuple[int, int]]:
     lines = [(a + m.start(), a + m.end()) for m in re.finditer(r"[^\r\n]+", s)]
     if len(lines) > 1 and (whole := [x for x in lines if _is_name(text[x[0] : x[1]])]):
         return [_trimmed(text, *x) for x in whole]
-    return [(a, b)] if _is_name(s) else []
+    a, b = _cased(text, a, b)
+    return [(a, b)] if _is_name(text[a:b]) else []
+
+
+def _cased(text: str, a: int, b: int) -> tuple[int, int]:
+    """A name with capitals begins and ends with a word that has one; particles may stand before or within."""
+    words = [(a + m.start(), a + m.end()) for m in re.finditer(r"\S+", text[a:b])]
+    has = [any(c.isupper() for c in text[x:y]) for x, y in words]
+    if not any(has):
+        return a, b
+    first, last = has.index(True), len(has) - 1 - has[::-1].index(True)
+    while first and text[slice(*words[first - 1])].lower() in PARTICLES:
+        first -= 1
+    return _trimmed(text, words[first][0], words[last][1])
 
 
 def _trimmed(text: str, a: int, b: int) -> tuple[int, int]:
@@ -82,7 +101,7 @@ def _trimmed(text: str, a: int, b: int) -> tuple[int, int]:
 
 def _is_name(s: str) -> bool:
     words = re.findall(r"[^\W\d_]+", s)
-    return len(words) >= 2 and "\xad" not in s and not any(c.isdigit() for c in s) and max(map(len, words)) >= 2
+    return len(words) >= 2 and bool(re.search(r"[\s.,]", s)) and not any(c.isdigit() for c in s) and max(map(len, words)) >= 2
 
 
 @lru_cache(maxsize=2)
@@ -92,6 +111,26 @@ def trained_model(rows: int = ROWS, epochs: int = 8, seed: int = 11) -> Crf:
     return Crf(KINDS).fit([t for t, _ in table], [s for _, s in table], epochs=epochs)
 
 
+_STORED: dict[str, Crf] = {}
+
+
+def stored_model(spark: SparkSession, rows: int = ROWS, folder: str | None = None) -> Crf:
+    """The model from ``folder`` (by default in the shared folder of the cluster), trained and written there if it isn't yet.
+
+    Its name holds a digest of the code that makes and trains it, so that a changed table isn't answered by an old model.
+    """
+    digest = xxhash.xxh3_64_hexdigest("\n".join([str(rows), *(inspect.getsource(m) for m in (crf, pii_examples))]))
+    path = f"{(folder or checkpoint_dir(spark)).rstrip('/')}/pii-model-{digest}"
+    if path not in _STORED:
+        p = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+        if p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p):
+            _STORED[path] = Crf.from_bytes(bytes(spark.read.parquet(path).first()[0]))
+        else:
+            _STORED[path] = trained_model(rows)
+            spark.createDataFrame([(bytearray(_STORED[path].to_bytes()),)], "model binary").coalesce(1).write.mode("overwrite").parquet(path)
+    return _STORED[path]
+
+
 def find(model: Crf, texts: list[str]) -> list[list[tuple[int, int, str]]]:
     """The checked spans of each text, in order and not overlapping."""
     out = []
@@ -104,7 +143,7 @@ def find(model: Crf, texts: list[str]) -> list[list[tuple[int, int, str]]]:
 
 
 def _shared_model(df: DataFrame, rows: int):  # noqa: ANN202
-    return df.sparkSession.sparkContext.broadcast(trained_model(rows))
+    return df.sparkSession.sparkContext.broadcast(stored_model(df.sparkSession, rows))
 
 
 def pii_values(docs: DataFrame, doc: str = "doc_id", text: str = "text", rows: int = ROWS) -> DataFrame:

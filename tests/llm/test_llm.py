@@ -306,11 +306,17 @@ def model():
     return pii.trained_model()
 
 
-def test_held_out_accuracy(model):
-    rows = pii_examples.labelled_rows(600, seed=1234)
+def test_held_out_patterns():
+    """A model of two thirds of the patterns, on values in the other third, which it has never seen."""
+    kept = lambda ps, k: [p for i, p in enumerate(ps) if (i % 3 == 0) == k]
+    table = pii_examples.labelled_rows(5000, 3, kept(pii_examples.PATTERNS, False), kept(pii_examples.PLAIN, False))
+    model = crf.Crf(pii.KINDS).fit([t for t, _ in table], [s for _, s in table], epochs=6)
+    rows = pii_examples.labelled_rows(600, 1234, kept(pii_examples.PATTERNS, True), kept(pii_examples.PLAIN, True))
     found = pii.find(model, [t for t, _ in rows])
     hit = sum(len(set(s) & set(f)) for (_, s), f in zip(rows, found))
-    assert hit / sum(len(s) for _, s in rows) > 0.97 and hit / sum(len(f) for f in found) > 0.97
+    recall, precision = hit / sum(len(s) for _, s in rows), hit / sum(len(f) for f in found)
+    print(f"held-out patterns: recall {recall:.3f}, precision {precision:.3f}")
+    assert recall > 0.7 and precision > 0.75
 
 
 def test_found_values(model):
@@ -319,16 +325,40 @@ def test_found_values(model):
     assert got == {("Anna Smith", "person_name"), ("anna.smith@firm.example", "email"), ("+1 (555) 555-0123 ext. 12", "phone"), ("12 North Oakfield Ave, Fort Hillville, AB 12345", "street_address"), ("123-45-6789", "id_number")}
 
 
-def test_blocks_change_nothing(model):
-    rows = [t for t, _ in pii_examples.labelled_rows(300, seed=77)]
-    apart = pii.find(model, rows)
-    joined = "\n".join(rows)
-    at, want = 0, set()
-    for t, spans in zip(rows, apart):
-        want |= {(at + a, at + b, k) for a, b, k in spans}
-        at += len(t) + 1
-    got = set(pii.find(model, [joined])[0])
-    assert len(got & want) / len(got | want) > 0.97
+@pytest.mark.parametrize("size", [1, 63, 64, 65, 700, 5000])
+def test_long_texts_are_decoded_whole(size):
+    """Equal to plain Viterbi in double precision, beside texts of other lengths."""
+    r = np.random.default_rng(size)
+    m = crf.Crf(["x", "y"])
+    n = len(m.labels)
+    m.moves, m.first = r.normal(size=(n, n)).astype(np.float32), r.normal(size=n).astype(np.float32)
+    sizes = [size, 3, max(1, size // 2), size, 1]
+    e = r.normal(scale=2, size=(sum(sizes), n)).astype(np.float32)
+    got = m.viterbi(e, np.repeat(np.arange(5), sizes), 5)
+    moves, at = np.where(m.banned, -1e9, m.moves.astype(float)), 0
+    for k in sizes:
+        score, back = np.where(m.first_banned, -1e9, m.first.astype(float)) + e[at], []
+        for x in e[at + 1 : at + k]:
+            through = score[:, None] + moves
+            back.append(through.argmax(0))
+            score = through.max(0) + x
+        best = [int(score.argmax())]
+        for b in reversed(back):
+            best.append(int(b[best[-1]]))
+        assert got[at : at + k].tolist() == best[::-1]
+        at += k
+
+
+def test_no_script_is_one_symbol():
+    t = crf.tokenize(["东京 大阪", "Σοφία Παππά"])
+    assert len(set(t.word[t.kind[t.doc == 0]].tolist())) == 4 and (t.doc == 1).sum() == 2
+
+
+def test_a_stored_model_is_the_trained_one(spark, tmp_path):
+    a = pii.stored_model(spark, 300, str(tmp_path))
+    pii._STORED.clear()
+    b = pii.stored_model(spark, 300, str(tmp_path))
+    assert a is not b and (a.weights == b.weights).all() and a.labels == b.labels and len(list(tmp_path.iterdir())) == 1
 
 
 def test_viterbi_equals_brute_force():
