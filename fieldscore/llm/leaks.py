@@ -1,28 +1,33 @@
 """Evaluation texts that leak into training text: a distributed positional inverted index.
 
-Terms are runs of three normalised words. The corpus is read once; the postings (term, document, positions) of all
-terms that occur in test items are stored in the shared folder, hashed by term, and beside them every short stretch of an
-item that a document repeats on its own, with a digest of the words around it: a stretch that stands in many different
-surroundings is a stock phrase. From the index come the document frequencies, which tell the rarest terms of each test
-passage. Postings of test terms are adjusted by
-the term's offset in its item: hits of one passage then lie on one diagonal, within a few words where words were dropped
-or added. Bands with enough hits, one of them on a rare term, are candidates; an exact pass over the candidates' words
-then follows each hit in both directions and counts the item's words that the document repeats.
+The index knows nothing of the test items and serves any number of them. It stands in segments: a segment holds some
+thousand documents, and a row of it is a term (the hash of a normalised word) with all its positions in the segment as
+gaps, in a numbering that runs through the segment's documents; a row of its own lists the documents and where each
+begins. Segments are written where the text is read, so building the index shuffles nothing.
+
+A query takes the postings of the test items' terms from all segments and brings those of one segment together. In the
+segment each test passage starts from its rarest terms: their lists, less the term's offset in its item, are the places
+where the item could begin, and the lists of the other terms are intersected with them, offset by offset. What holds on
+one diagonal is a phrase, diagonals a word or two apart that go on where the other ends are proximity matches. Pairs that
+reach the share by these are the result; pairs a few words short of it, where a misread word may stand at the edge of
+a stretch, are settled by reading the two texts.
 """
 
 from __future__ import annotations
 
 import html
-import math
 import re
 import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark import TaskContext
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fieldscore.session import cut
@@ -36,25 +41,26 @@ _INNER = re.compile(r"[^\w\s]+|_+")
 
 @dataclass(frozen=True)
 class LeakForm:
-    """What counts as a leak. A stock phrase is a stretch of at most ``stock_longest`` words that documents repeat without
-    the item's words around it, in more different surroundings than ``stock_share`` of the distinct texts (and in
-    ``stock_least``); copies of a text, and longer passages however often they leak, make none.
+    """What counts as a leak, and the sizes the work is cut to.
 
-    A stretch of eight words with one exchanged word still has three runs of three, so three hits within ``drift``
-    diagonals lose none of them.
+    A stock phrase is a stretch of ``stock_shortest`` to ``stock_longest`` words, always cut alike, that stands without the
+    item's words around it in ``stock_least`` different texts, as often as the item's long passages (and in ``stock_share`` of the distinct texts, if
+    that's set); copies of a text count once, and longer passages are never stock however often they leak. A
+    segment has at least ``segment`` words, items are taken in blocks of about ``block`` words. ``seeds`` are the rarest
+    terms of each stretch that are looked up, so a stretch is lost only if all of them are misread.
     """
 
     stretch: int = 8
     share: float = 1 / 3
-    term: int = 3
-    stock_share: float = 0.005
-    stock_least: int = 5
+    stock_share: float = 0.0
+    stock_least: int = 10
     stock_shortest: int = 6
     stock_longest: int = 20
-    band: int = 32
-    drift: int = 4
-    least_hits: int = 3
-    most_items: int = 200_000
+    seeds: int = 3
+    drift: int = 2
+    near: float = 0.5
+    segment: int = 400_000
+    block: int = 400_000
 
 
 def words(text: str | None) -> list[str]:
@@ -83,122 +89,213 @@ class WordHashes(dict):
         return h
 
 
-def term_hashes(ws: list[str], n: int, known: WordHashes | None = None) -> np.ndarray:
-    """The hashes of all runs of n words."""
-    known = WordHashes() if known is None else known
-    h = np.fromiter(map(known.__getitem__, ws), dtype=np.uint64, count=len(ws))
-    return run_hashes(h, n)
+GAP = 8  # free places between two documents of a segment
+DIRECTORY = 0  # the term of a segment's list of documents
+INDEX = "segment long, term long, gaps array<int>, ids array<string>, digests array<long>"
 
 
-def run_hashes(h: np.ndarray, n: int) -> np.ndarray:
-    m = len(h) - n + 1
-    if m <= 0:
-        return np.zeros(0, np.int64)
-    out = np.zeros(m, np.uint64)
-    for k in range(n):
-        out = (out ^ (out >> np.uint64(31))) * _STEPS[0] + h[k : k + m] * _STEPS[k % 5]
-    return out.view(np.int64)
+def positional_index(docs: DataFrame, doc: str = "doc_id", text: str = "text", form: LeakForm = LeakForm()) -> DataFrame:
+    """(segment, term, gaps, ids, digests): the postings of every word of every document, and each segment's documents.
 
-
-def item_terms(items: DataFrame, item: str, text: str, form: LeakForm) -> tuple[DataFrame, dict[int, list[str]]]:
-    """(term, item_id, off) of all items, and their words. The set of test items is small by its nature; it is checked."""
-    rows = items.select(item, text).filter(F.col(item).isNotNull()).limit(form.most_items + 1).collect()
-    if len(rows) > form.most_items:
-        raise ValueError(f"more than {form.most_items} test items: run them in blocks")
-    held: dict[int, list[str]] = {}
-    for i, t in rows:
-        if ws := words(t):
-            held[i] = ws if i not in held else max(held[i], ws, key=len)
-    out = [(int(h), i, o) for i, ws in held.items() for o, h in enumerate(term_hashes(ws, form.term))]
-    return items.sparkSession.createDataFrame(out, "term long, item_id long, off int"), held
-
-
-class ItemTerms:
-    """The terms of all items: each once and sorted, and where it stands in which items."""
-
-    def __init__(self, held: dict[int, list[str]], n: int):
-        per = [term_hashes(ws, n) for ws in held.values()]
-        sizes = np.array([len(h) for h in per])
-        flat = np.concatenate([np.zeros(0, np.int64), *per])
-        order = np.argsort(flat, kind="stable")
-        self.item = np.repeat(np.fromiter(held, np.int64, len(held)), sizes)[order]
-        self.off = (np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)).astype(np.int64)[order]
-        self.known, self.first, self.count = np.unique(flat[order], return_index=True, return_counts=True)
-
-
-def lone_stretches(t: ItemTerms, h: np.ndarray, sizes: np.ndarray, row: np.ndarray, hit: np.ndarray, at: np.ndarray, form: LeakForm) -> pd.DataFrame:
-    """(item_id, off, n, around): short stretches of items that stand in a text without more of the item beside them.
-
-    ``h`` are the words of all texts, ``hit`` the places of terms in them and ``at`` which terms these are. A misread word
-    doesn't end a stretch; what goes on a few words further on isn't alone.
+    Nothing is shuffled. A row of the directory has the documents' ids (as text), their first positions (as gaps) and
+    digests of their words, which tell copies.
     """
-    gap = 2 * form.term + 2
-    count = t.count[at]
-    k = np.repeat(t.first[at] - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))
-    pos, item, off = np.repeat(hit, count), t.item[k], t.off[k]
-    text, diag = row[pos], pos - off
-    order = np.lexsort((pos, diag, item, text))
-    pos, item, off, text, diag = (x[order] for x in (pos, item, off, text, diag))
-    new = np.r_[True, (text[1:] != text[:-1]) | (item[1:] != item[:-1]) | (diag[1:] != diag[:-1]) | (pos[1:] - pos[:-1] > gap)]
-    a = np.flatnonzero(new)
-    b = np.r_[a[1:], len(pos)] - 1
-    f = pd.DataFrame({"text": text[a], "item_id": item[a], "off": off[a], "start": pos[a], "end": pos[b] + form.term, "diag": diag[a]})
-    f = f.sort_values(["text", "item_id", "start"], kind="stable")
-    x, y = f.iloc[:-1], f.iloc[1:]
-    on = (x["text"].to_numpy() == y["text"].to_numpy()) & (x["item_id"].to_numpy() == y["item_id"].to_numpy())
-    on &= (y["start"].to_numpy() - x["end"].to_numpy() <= gap) & (np.abs(y["diag"].to_numpy() - x["diag"].to_numpy()) <= form.drift)
-    f["n"] = f["end"] - f["start"]
-    f = f[~(np.r_[on, False] | np.r_[False, on]) & f["n"].between(form.stock_shortest, form.stock_longest).to_numpy()]
-    s, e, ends = f["start"].to_numpy(), f["end"].to_numpy(), np.cumsum(sizes)
-    hi = ends[f["text"].to_numpy()]
-    lo = hi - sizes[f["text"].to_numpy()]
-    around = np.zeros(len(f), np.uint64)
-    for i in [s - 3, s - 2, s - 1, e, e + 1, e + 2]:
-        there = (i >= lo) & (i < hi)
-        around = (around ^ (around >> np.uint64(31))) * _STEPS[0] + np.where(there, h[np.where(there, i, 0)], np.uint64(0))
-    return pd.DataFrame({"item_id": f["item_id"], "off": f["off"].astype(np.int32), "n": f["n"].astype(np.int32), "around": around.view(np.int64)})
-
-
-def positional_index(docs: DataFrame, doc: str, text: str, held: dict[int, list[str]], form: LeakForm) -> tuple[DataFrame, DataFrame]:
-    """(term, doc_id, positions): where each document has each term of the items; (item_id, off, n, around): their lone
-    stretches. Read in one pass and stored, the postings hashed by term."""
-    shared = docs.sparkSession.sparkContext.broadcast(ItemTerms(held, form.term))
-    columns = ["term", "doc_id", "positions", "item_id", "off", "n", "around"]
-
-    def postings(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known, hashes = shared.value.known, WordHashes()
-        for b in batches:
-            held = [words(t) for t in b["text"]]
-            sizes = np.array([len(ws) for ws in held])
-            h = np.fromiter((hashes[w] for ws in held for w in ws), dtype=np.uint64, count=int(sizes.sum()))
-            runs = run_hashes(h, form.term)
-            if not len(known) or not len(runs):
-                continue
-            row = np.repeat(np.arange(len(sizes)), sizes)
-            at = np.minimum(np.searchsorted(known, runs), len(known) - 1)
-            last = np.arange(len(runs)) + form.term - 1
-            hit = np.flatnonzero((known[at] == runs) & (row[: len(runs)] == row[last]))  # runs within one text
-            if not len(hit):
-                continue
-            if len(lone := lone_stretches(shared.value, h, sizes, row, hit, at[hit], form)):
-                yield lone.assign(term=None, doc_id=None, positions=None)[columns]
-            starts = np.cumsum(sizes) - sizes
-            r = row[hit]
-            f = pd.DataFrame({"term": runs[hit], "doc_id": b["doc_id"].to_numpy()[r], "pos": (hit - starts[r]).astype(np.int32)})
-            f = f.sort_values(["term", "doc_id", "pos"], kind="stable")
-            new = np.flatnonzero(np.r_[True, (f["term"].to_numpy()[1:] != f["term"].to_numpy()[:-1]) | (f["doc_id"].to_numpy()[1:] != f["doc_id"].to_numpy()[:-1])])
-            yield pd.DataFrame({"term": f["term"].to_numpy()[new], "doc_id": f["doc_id"].to_numpy()[new], "positions": np.split(f["pos"].to_numpy(), new[1:])}).assign(item_id=None, off=None, n=None, around=None)[columns]
 
-    read = docs.select(F.col(doc).cast("long").alias("doc_id"), F.col(text).alias("text")).filter("doc_id is not null and text is not null")
-    both = read.mapInPandas(postings, "term long, doc_id long, positions array<int>, item_id long, off int, n int, around long")
-    both = cut(both.repartition(F.coalesce("term", "around")))
-    return both.filter("term is not null").select("term", "doc_id", "positions"), both.filter("term is null").select("item_id", "off", "n", "around")
+    def segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number, hashes = TaskContext.get().partitionId() << 32, WordHashes()
+        ids: list[str] = []
+        held: list[np.ndarray] = []
+        size = 0
+
+        def written() -> pa.RecordBatch:
+            lengths = np.array([len(x) for x in held])
+            starts = GAP + np.cumsum(lengths + GAP) - (lengths + GAP)
+            h = np.concatenate(held)
+            pos = np.arange(len(h)) + np.repeat(starts - (np.cumsum(lengths) - lengths), lengths)
+            order = np.argsort(h, kind="stable")
+            h, pos = h[order], pos[order]
+            first = np.flatnonzero(np.r_[True, h[1:] != h[:-1]]) if len(h) else np.zeros(0, np.int64)
+            gaps = np.diff(pos, prepend=0)
+            gaps[first] = pos[first]
+            n = len(first) + 1
+            lists = pa.ListArray.from_arrays(pa.array(np.r_[0, len(starts), len(starts) + np.r_[first[1:], len(h)]][: n + 1].astype(np.int32)), pa.array(np.r_[np.diff(starts, prepend=0), gaps].astype(np.int32)))
+            only = pa.array(np.r_[0, np.full(n, len(ids))].astype(np.int32))  # of the directory's row
+            names = pa.ListArray.from_arrays(only, pa.array(ids, pa.string()))
+            digests = pa.ListArray.from_arrays(only, pa.array(np.array([xxhash.xxh3_64_intdigest(x.tobytes()) for x in held], np.uint64).view(np.int64)))
+            return pa.RecordBatch.from_arrays([pa.array(np.full(n, number)), pa.array(np.r_[DIRECTORY, h[first].view(np.int64)]), lists, names, digests], names=["segment", "term", "gaps", "ids", "digests"])
 
-
-def stock_phrases(lone: DataFrame, n_texts: int, form: LeakForm) -> DataFrame:
-    """(item_id, off, n): the stretches that stand in many different surroundings."""
-    least = max(form.stock_least, math.floor(form.stock_share * n_texts) + 1)
-    return lone.groupBy("item_id", "off", "n").agg(F.count_distinct("around").alias("places")).filter(F.col("places") >= least).select("item_id", "off", "n")
+        for b in batches:
+            for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                ws = words(t)
+                if not ws:
+                    continue
+                ids.append(i)
+                held.append(np.fromiter(map(hashes.__getitem__, ws), dtype=np.uint64, count=len(ws)))
+                size += len(ws)
+                if size >= form.segment:
+                    yield written()
+                    ids, held, size, number = [], [], 0, number + 1
+        if ids:
+            yield written()
+
+    read = docs.select(F.col(doc).cast("string").alias("id"), F.col(text).alias("text")).filter("id is not null and text is not null")
+    return cut(read.mapInArrow(segments, INDEX))
+
+
+class Items:
+    """A block of test items as numbers: the sorted terms of all, and each item's words as places among them."""
+
+    def __init__(self, ids: list[object], texts: list[list[str]]):
+        hashes = WordHashes()
+        self.ids, self.words = ids, texts
+        self.size = np.array([len(ws) for ws in texts], dtype=np.int64)
+        self.first = np.cumsum(self.size) - self.size
+        flat = np.fromiter((hashes[w] for ws in texts for w in ws), dtype=np.uint64, count=int(self.size.sum())).view(np.int64)
+        self.terms, self.word = np.unique(flat, return_inverse=True)
+        self.item = np.repeat(np.arange(len(texts)), self.size)
+        self.off = np.arange(len(flat)) - np.repeat(self.first, self.size)
+
+
+def _expand(first: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For runs (first, count): which run each entry is of, and the entries."""
+    of = np.repeat(np.arange(len(count)), count)
+    return of, np.repeat(first - (np.cumsum(count) - count), count) + np.arange(len(of))
+
+
+class Segment:
+    """The postings of a segment that test items ask for, and the intersection of their lists."""
+
+    def __init__(self, q: Items, form: LeakForm, terms: np.ndarray, offsets: np.ndarray, gaps: np.ndarray, starts: np.ndarray):
+        self.q, self.form, self.starts = q, form, starts
+        term = np.searchsorted(q.terms, terms)
+        count = np.diff(offsets)
+        run = np.cumsum(gaps)
+        first = offsets[:-1] - offsets[0]
+        gaps = gaps.astype(np.int64)
+        self.pos = run - np.repeat(run[first] - gaps[first], count)
+        self.first, self.count = np.zeros(len(q.terms), np.int64), np.zeros(len(q.terms), np.int64)
+        self.first[term], self.count[term] = first, count
+        self.margin = int(q.size.max(initial=0)) + 16
+        top = int(max(self.pos.max(initial=0), starts[-1])) + 1
+        self.at = np.full(top + 2 * self.margin, -1, np.int64)  # position -> the term whose list holds it
+        self.at[self.pos + self.margin] = np.repeat(term, count)
+
+    def seeds(self) -> np.ndarray:
+        """The places (in the items' words) of the rarest terms of every stretch that are in the segment at all."""
+        q, k = self.q, self.form.stretch
+        often = self.count[q.word]
+        if len(often) < k:
+            return np.zeros(0, np.int64)
+        rank = np.where(often > 0, often, 1 << 40)
+        w = np.lib.stride_tricks.sliding_window_view(rank, k)
+        inside = q.item[: len(w)] == q.item[k - 1 :]
+        best = np.argpartition(w, self.form.seeds - 1, axis=1)[:, : self.form.seeds]
+        chosen = np.unique((best + np.arange(len(w))[:, None])[inside])
+        return chosen[often[chosen] > 0]
+
+    def same(self, place: np.ndarray, pos: np.ndarray, k: int) -> np.ndarray:
+        """Whether the word k on from an item's place stands k on from a position."""
+        other = np.clip(place + k, 0, len(self.q.word) - 1)
+        return (self.at[pos + k + self.margin] == self.q.word[other]) & (self.q.item[other] == self.q.item[place]) & (other == place + k)
+
+    def begins(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(item, document, position of the item's first word): where enough words stand around a rare one."""
+        q, seed = self.q, self.seeds()
+        of, entry = _expand(self.first[q.word[seed]], self.count[q.word[seed]])
+        place, pos = seed[of], self.pos[entry]
+        close = np.zeros(len(pos), np.int8)
+        for k in (-3, -2, -1, 1, 2, 3):
+            close += self.same(place, pos, k)
+        place, pos = place[close >= 2], pos[close >= 2]
+        doc = np.searchsorted(self.starts, pos, side="right") - 1
+        key = np.unique(np.stack([q.item[place], doc, pos - q.off[place]], axis=1), axis=0)
+        return key[:, 0], key[:, 1], key[:, 2]
+
+    def stretches(self) -> pd.DataFrame:
+        """item, doc, off, last (item words from-to), start, end (positions): passages the documents repeat."""
+        item, doc, begin = self.begins()
+        q = self.q
+        of, place = _expand(q.first[item], q.size[item])
+        off = q.off[place]
+        pos = begin[of] + off
+        bound = np.r_[self.starts[1:], 1 << 60] - GAP
+        hit = (self.at[pos + self.margin] == q.word[place]) & (pos >= self.starts[doc[of]]) & (pos < bound[doc[of]])
+        of, off, pos = of[hit], off[hit], pos[hit]
+        def runs(of: np.ndarray, low: np.ndarray, high: np.ndarray, step: int) -> tuple[np.ndarray, np.ndarray]:
+            new = np.ones(len(of), bool)
+            new[1:] = (of[1:] != of[:-1]) | (low[1:] - high[:-1] > step)
+            a = np.flatnonzero(new)
+            return a, np.r_[a[1:], len(of)] - 1 if len(of) else a
+
+        a, z = runs(of, off, off, 1)  # words in a row
+        a, z = a[z > a], z[z > a]  # a word on its own says nothing
+        i, k = runs(of[a], off[a], off[z], 2)  # rows with a single exchanged word between them
+        longest = np.maximum.reduceat(z - a + 1, i) if len(i) else i
+        a, z = a[i], z[k]
+        f = pd.DataFrame({"item": item[of[a]], "doc": doc[of[a]], "off": off[a], "last": off[z], "start": pos[a], "end": pos[z], "begin": begin[of[a]], "n": longest})
+        f = f[f["n"] >= 3].sort_values(["item", "doc", "start", "end"], kind="stable")
+        x, y = f.iloc[:-1], f.iloc[1:]
+        v = lambda g, c: g[c].to_numpy()
+        goes_on = (v(x, "item") == v(y, "item")) & (v(x, "doc") == v(y, "doc")) & (np.abs(v(x, "begin") - v(y, "begin")) <= self.form.drift)
+        for lo, hi in (("off", "last"), ("start", "end")):
+            step = v(y, lo) - v(x, hi)
+            goes_on &= (step >= -2) & (step <= 4)
+        f["g"] = np.cumsum(np.r_[True, ~goes_on][: len(f)])
+        return f.groupby("g").agg(item=("item", "first"), doc=("doc", "first"), off=("off", "min"), last=("last", "max"), start=("start", "min"), end=("end", "max")).reset_index(drop=True)
+
+
+FOUND = "place int, id string, parts array<int>, off int, n int, copy long"
+
+
+def matches(index: DataFrame, block: Items, form: LeakForm) -> DataFrame:
+    """For each pair of a document and an item (its number in the block) the item's words in its stretches, as pairs of
+    first and last; beside them the short passages that stand alone (off, n), each with its document's digest."""
+    spark = index.sparkSession
+    shared = spark.sparkContext.broadcast(block)
+    asked = spark.createDataFrame(pd.DataFrame({"term": np.r_[DIRECTORY, block.terms]}))  # bounded by form.block
+
+    def segment(table: pa.Table) -> pa.Table:
+        q = shared.value
+        table = table.combine_chunks()
+        term = table.column("term").to_numpy()
+        lists = table.column("gaps").chunk(0)
+        offsets, gaps = lists.offsets.to_numpy(), lists.values.to_numpy()
+        top = int(np.flatnonzero(term == DIRECTORY)[0])
+        starts = np.cumsum(gaps[offsets[top] : offsets[top + 1]].astype(np.int64))
+        ids, digests = (table.column(c).chunk(0)[top].as_py() for c in ("ids", "digests"))
+        digests = np.array(digests)
+        keep = np.flatnonzero(term != DIRECTORY)
+        count = np.diff(offsets)[keep]
+        _, entry = _expand(offsets[keep], count)
+        out = {k: [] for k in ("place", "id", "parts", "off", "n", "copy")}
+        if len(keep):
+            s = Segment(q, form, term[keep], np.r_[0, np.cumsum(count)], gaps[entry], starts)
+            f = s.stretches()
+            f["n"] = f["last"] - f["off"] + 1
+            f = f[f["n"] >= 5]
+            alone = f[f["n"].between(form.stock_shortest, form.stock_longest)]
+            copy = digests[alone["doc"].to_numpy(dtype=np.int64)]
+            for i, o, n, h in zip(alone["item"].tolist(), alone["off"].tolist(), alone["n"].tolist(), copy.tolist(), strict=True):
+                for k, v in zip(out, (i, None, None, o, n, h), strict=True):
+                    out[k].append(v)
+            long = f.groupby(["item", "doc"])
+            enough = f[long["n"].transform("sum").to_numpy() >= form.near * form.share * q.size[f["item"].to_numpy(dtype=np.int64)]]
+            for (i, d), g in enough.groupby(["item", "doc"]):
+                for k, v in zip(out, (i, ids[d], g[["off", "last"]].to_numpy().ravel().tolist(), None, None, None), strict=True):
+                    out[k].append(v)
+        kinds = (pa.int32(), pa.string(), pa.list_(pa.int32()), pa.int32(), pa.int32(), pa.int64())
+        return pa.table({k: pa.array(v, t) for (k, v), t in zip(out.items(), kinds, strict=True)})
+
+    return index.join(F.broadcast(asked), "term", "left_semi").groupBy("segment").applyInArrow(segment, FOUND)
+
+
+def stock_phrases(found: DataFrame, least: int, longest: int) -> DataFrame:
+    """(place, off, n): the passages that stand alone in many different documents (copies count once), and in no fewer than there are
+    documents with long passages of their item: what is cut alike by chance is rarer than what it is cut from."""
+    spans = F.transform(F.sequence(F.lit(0), F.size("parts") - 2, F.lit(2)), lambda k: F.get("parts", k + 1) - F.get("parts", k))
+    long = found.filter(F.col("id").isNotNull() & F.exists(spans, lambda n: n >= longest)).groupBy("place").agg(F.count("*").alias("long"))
+    alone = found.filter("id is null").groupBy("place", "off", "n").agg(F.count_distinct("copy").alias("places")).filter(F.col("places") >= least)
+    return alone.join(long, "place", "left").filter(F.col("places") >= F.coalesce("long", F.lit(0))).select("place", "off", "n")
 
 
 def near_words(a: str, b: str) -> bool:
@@ -272,52 +369,64 @@ def repeated_words(item: list[str], doc: list[str], n: int, least: int) -> set[i
     return covered
 
 
-def leaked_items(docs: DataFrame, items: DataFrame, doc: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", form: LeakForm = LeakForm()) -> DataFrame:
+def item_blocks(items: DataFrame, item: str, text: str, form: LeakForm) -> Iterator[Items]:
+    """The items in blocks of about ``form.block`` words; an item in several texts stands for each of them."""
+    rows = items.select(F.col(item).cast("string").alias("id"), F.col(text).alias("text")).filter("id is not null and trim(text) <> ''").distinct()
+    total = rows.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
+    blocks = 1 + total // (5 * form.block)
+    for b in range(blocks):
+        held = [(i, ws) for i, t in rows.filter(F.pmod(F.xxhash64("id"), F.lit(blocks)) == b).sort("id", "text").collect() if len(ws := words(t)) >= form.stretch]
+        if held:
+            yield Items([i for i, _ in held], [ws for _, ws in held])
+
+
+def leaked_items(docs: DataFrame, items: DataFrame, doc: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", form: LeakForm = LeakForm(), index: DataFrame | None = None) -> DataFrame:
     """(doc_id, item_id): documents that repeat at least ``form.share`` of an item's words in long stretches.
 
     Blank and null items and texts never match; items that repeat each other are all reported; repeated documents are
-    reported each, rows with a null id not at all. Items shorter than a term can't match. Stock phrases neither make a
-    candidate nor count among the repeated words. Columns beside the four named ones don't matter.
+    reported each, rows with a null id not at all. Items shorter than a stretch can't match. Stock phrases don't count
+    among the repeated words. Ids keep their type. Columns beside the four named ones don't matter. ``index`` is a stored
+    `positional_index` of the documents; without one it is made.
     """
-    terms, held = item_terms(items, item, item_text, form)
+    kinds = dict(docs.dtypes)[doc], dict(items.dtypes)[item]
+    index = positional_index(docs, doc, text, form) if index is None else index
+    least = form.stock_least
+    if form.stock_share:
+        least = max(least, int(form.stock_share * docs.select(F.xxhash64(text)).distinct().count()) + 1)
+    parts = [_block(docs, doc, text, index, b, least, form) for b in item_blocks(items, item, item_text, form)]
+    if not parts:
+        return docs.sparkSession.createDataFrame([], f"doc_id {kinds[0]}, item_id {kinds[1]}")
+    found = reduce(DataFrame.unionByName, parts).distinct()
+    return found.select(F.col("id").cast(kinds[0]).alias("doc_id"), F.col("item").cast(kinds[1]).alias("item_id"))
+
+
+def _block(docs: DataFrame, doc: str, text: str, index: DataFrame, block: Items, least: int, form: LeakForm) -> DataFrame:
+    """(id, item) of one block of items."""
     spark = docs.sparkSession
-    empty = spark.createDataFrame([], "doc_id long, item_id long")
-    if not held:
-        return empty
-    n_texts = docs.select(F.xxhash64(text)).distinct().count()
-    index, lone = positional_index(docs, doc, text, held, form)
-    phrases = [tuple(r) for r in stock_phrases(lone, n_texts, form).collect()]  # a few an item
+    found = cut(matches(index, block, form))
     stock: dict[int, set[int]] = {}
-    for i, o, n in phrases:
-        stock.setdefault(i, set()).update(range(o, o + n))
-    # at most one row a test term, so bounded by the checked number of items
-    frequency = terms.select("term").distinct().join(index.groupBy("term").agg(F.count("*").alias("df")), "term", "left").withColumn("df", F.coalesce("df", F.lit(0)))
-    inside = spark.createDataFrame([(i, o + k) for i, o, n in phrases for k in range(n - form.term + 1)], "item_id long, off int").distinct()
-    w = Window.partitionBy("item_id").orderBy("off").rowsBetween(-(form.stretch - form.term), form.stretch - form.term)
-    live = terms.join(frequency, "term").filter(F.col("df") > 0).join(inside, ["item_id", "off"], "left_anti")
-    seeded = live.withColumn("seed", F.col("df") <= F.percentile("df", F.lit(0.7)).over(w))  # the rarest of each passage
-    hits = index.join(seeded.select("term", "item_id", "off", "seed"), "term").select("item_id", "doc_id", "off", "seed", F.explode("positions").alias("pos"))
-    diag = F.col("pos") - F.col("off")
-    band = F.floor(diag / form.band)  # hits just behind a band's start count for the band before too
-    bands = F.when(F.pmod(diag, F.lit(form.band)) < form.drift, F.array(band, band - 1)).otherwise(F.array(band))
-    banded = hits.select("item_id", "doc_id", "off", "seed", F.explode(bands).alias("band"))
-    found = banded.groupBy("item_id", "doc_id", "band").agg(F.count_distinct("off").alias("n"), F.max("seed").alias("seed")).filter((F.col("n") >= form.least_hits) & F.col("seed"))
-    pairs = found.groupBy("doc_id").agg(F.collect_set("item_id").alias("items"))  # at most one entry a test item
-    kept = {i: (ws, stock.get(i, set())) for i, ws in held.items()}
-    shared = spark.sparkContext.broadcast(kept)
-
-    def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known = shared.value
+    for p, o, n in stock_phrases(found, least, form.stock_longest).collect():  # a few an item
+        stock.setdefault(p, set()).update(range(o, o + n))
+    names = spark.createDataFrame([(k, i, len(ws), sorted(stock.get(k, ()))) for k, (i, ws) in enumerate(zip(block.ids, block.words, strict=True))], "place int, item string, size int, stock array<int>")
+    pairs = found.filter("id is not null").select("place", "id", "parts").join(F.broadcast(names), "place")  # one row an item of the block
+    ranges = F.transform(F.sequence(F.lit(0), (F.size("parts") / 2).cast("int") - 1), lambda k: F.sequence(F.get("parts", (2 * k).cast("int")), F.get("parts", (2 * k + 1).cast("int"))))
+    covered = lambda least: F.size(F.array_except(F.array_distinct(F.flatten(F.filter(ranges, lambda r: F.size(r) >= least))), "stock"))
+    pairs = pairs.withColumns({"sure": covered(form.stretch) >= form.share * F.col("size"), "maybe": covered(5) >= form.near * form.share * F.col("size")})
+    sure = pairs.filter("sure").select("id", "item")
+    doubtful = pairs.filter("maybe and not sure").groupBy("id").agg(F.collect_set("place").alias("places"))  # at most one entry an item
+    shared = spark.sparkContext.broadcast((block, stock))
+
+    def settle(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        q, phrases = shared.value
         for b in batches:
             out = []
-            for d, t, of in zip(b["doc_id"], b["text"], b["items"], strict=True):
+            for d, t, of in zip(b["id"], b["text"], b["places"], strict=True):
                 ws = words(t)
                 for i in of:
-                    iw, off = known[i]
-                    got = repeated_words(iw, ws, form.term, form.stretch) - off
-                    if len(got) >= form.share * len(iw):
-                        out.append((d, i))
-            yield pd.DataFrame(out, columns=["doc_id", "item_id"])
-
-    texts = docs.select(F.col(doc).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    return texts.join(pairs, "doc_id").mapInPandas(verify, "doc_id long, item_id long").distinct()
+                    got = repeated_words(q.words[i], ws, 3, form.stretch) - phrases.get(i, set())
+                    if len(got) >= form.share * len(q.words[i]):
+                        out.append((d, q.ids[i]))
+            yield pd.DataFrame(out, columns=["id", "item"], dtype=object)
+
+    texts = docs.select(F.col(doc).cast("string").alias("id"), F.col(text).alias("text"))
+    return sure.unionByName(texts.join(doubtful, "id").mapInPandas(settle, "id string, item string"))
