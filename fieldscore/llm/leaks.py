@@ -154,6 +154,9 @@ class Items:
         self.terms, self.word = np.unique(flat, return_inverse=True)
         self.item = np.repeat(np.arange(len(texts)), self.size)
         self.off = np.arange(len(flat)) - np.repeat(self.first, self.size)
+        # with two free places around each item: what stands beside a word, without asking whose it is
+        self.padded = np.full(len(flat) + 2 * len(texts) + 2, -2, np.int32)
+        self.padded[np.arange(len(flat)) + 2 * self.item + 2] = self.word
 
 
 def _expand(first: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -177,7 +180,7 @@ class Segment:
         self.first[term], self.count[term] = first, count
         self.margin = int(q.size.max(initial=0)) + 16
         top = int(max(self.pos.max(initial=0), starts[-1])) + 1
-        self.at = np.full(top + 2 * self.margin, -1, np.int64)  # position -> the term whose list holds it
+        self.at = np.full(top + 2 * self.margin, -1, np.int32)  # position -> the term whose list holds it
         self.at[self.pos + self.margin] = np.repeat(term, count)
 
     def seeds(self) -> np.ndarray:
@@ -193,46 +196,44 @@ class Segment:
         chosen = np.unique((best + np.arange(len(w))[:, None])[inside])
         return chosen[often[chosen] > 0]
 
-    def same(self, place: np.ndarray, pos: np.ndarray, k: int) -> np.ndarray:
-        """Whether the word k on from an item's place stands k on from a position."""
-        other = np.clip(place + k, 0, len(self.q.word) - 1)
-        return (self.at[pos + k + self.margin] == self.q.word[other]) & (self.q.item[other] == self.q.item[place]) & (other == place + k)
-
-    def begins(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(item, document, position of the item's first word): where enough words stand around a rare one."""
+    def begins(self) -> tuple[np.ndarray, np.ndarray]:
+        """(item, position of the item's first word): where a rare word stands in three or more in a row."""
         q, seed = self.q, self.seeds()
         of, entry = _expand(self.first[q.word[seed]], self.count[q.word[seed]])
-        place, pos = seed[of], self.pos[entry]
-        close = np.zeros(len(pos), np.int8)
-        for k in (-3, -2, -1, 1, 2, 3):
-            close += self.same(place, pos, k)
-        place, pos = place[close >= 2], pos[close >= 2]
-        doc = np.searchsorted(self.starts, pos, side="right") - 1
-        key = np.unique(np.stack([q.item[place], doc, pos - q.off[place]], axis=1), axis=0)
-        return key[:, 0], key[:, 1], key[:, 2]
+        place, pos = seed[of].astype(np.int32), self.pos[entry].astype(np.int32) + self.margin
+        word, at = q.padded, self.at
+        inner = (place + 2 * q.item[place] + 2).astype(np.int32)
+        left, right = at[pos - 1] == word[inner - 1], at[pos + 1] == word[inner + 1]
+        some = np.flatnonzero(left | right)
+        place, pos, inner, left, right = place[some], pos[some], inner[some], left[some], right[some]
+        row = (left & right) | (left & (at[pos - 2] == word[inner - 2])) | (right & (at[pos + 2] == word[inner + 2]))
+        place, pos = place[row].astype(np.int64), pos[row].astype(np.int64) - self.margin
+        key = np.unique((q.item[place] << 40) + (pos - q.off[place] + self.margin))
+        item, begin = key >> 40, (key & ((1 << 40) - 1)) - self.margin
+        return item, begin
 
     def stretches(self) -> pd.DataFrame:
         """item, doc, off, last (item words from-to), start, end (positions): passages the documents repeat."""
-        item, doc, begin = self.begins()
+        item, begin = self.begins()
         q = self.q
         of, place = _expand(q.first[item], q.size[item])
         off = q.off[place]
         pos = begin[of] + off
-        bound = np.r_[self.starts[1:], 1 << 60] - GAP
-        hit = (self.at[pos + self.margin] == q.word[place]) & (pos >= self.starts[doc[of]]) & (pos < bound[doc[of]])
+        hit = np.flatnonzero(self.at[pos + self.margin] == q.word[place])
         of, off, pos = of[hit], off[hit], pos[hit]
-        def runs(of: np.ndarray, low: np.ndarray, high: np.ndarray, step: int) -> tuple[np.ndarray, np.ndarray]:
+        doc = np.searchsorted(self.starts, pos, side="right") - 1
+        def runs(of: np.ndarray, doc: np.ndarray, low: np.ndarray, high: np.ndarray, step: int) -> tuple[np.ndarray, np.ndarray]:
             new = np.ones(len(of), bool)
-            new[1:] = (of[1:] != of[:-1]) | (low[1:] - high[:-1] > step)
+            new[1:] = (of[1:] != of[:-1]) | (doc[1:] != doc[:-1]) | (low[1:] - high[:-1] > step)
             a = np.flatnonzero(new)
             return a, np.r_[a[1:], len(of)] - 1 if len(of) else a
 
-        a, z = runs(of, off, off, 1)  # words in a row
+        a, z = runs(of, doc, off, off, 1)  # words in a row
         a, z = a[z > a], z[z > a]  # a word on its own says nothing
-        i, k = runs(of[a], off[a], off[z], 2)  # rows with a single exchanged word between them
+        i, k = runs(of[a], doc[a], off[a], off[z], 2)  # rows with a single exchanged word between them
         longest = np.maximum.reduceat(z - a + 1, i) if len(i) else i
         a, z = a[i], z[k]
-        f = pd.DataFrame({"item": item[of[a]], "doc": doc[of[a]], "off": off[a], "last": off[z], "start": pos[a], "end": pos[z], "begin": begin[of[a]], "n": longest})
+        f = pd.DataFrame({"item": item[of[a]], "doc": doc[a], "off": off[a], "last": off[z], "start": pos[a], "end": pos[z], "begin": begin[of[a]], "n": longest})
         f = f[f["n"] >= 3].sort_values(["item", "doc", "start", "end"], kind="stable")
         x, y = f.iloc[:-1], f.iloc[1:]
         v = lambda g, c: g[c].to_numpy()
