@@ -1,10 +1,14 @@
 """Postal addresses of the same place, written differently.
 
-Each address text is read into number, unit, direction, street, kind, town, region and postcode; equal readings are one
-representative. Representatives are weighted character n-grams of their names (street and town); candidates come from an
-inverted index whose entries are the n-grams of a prefix, cut so that two addresses above the cosine threshold must
-share one, kept apart by house number and unit, which have to agree anyway. Candidates are verified by cosine, house
-number and the other parts that make a place.
+An address is read into house number, unit, direction and kind of the street, and two sets of words: the street's name,
+which stands beside the number, and the rest (town, region, country, whatever else is printed), in any order and
+without any list of places. Names are weighted character n-grams: an n-gram weighs what it tells, so what many addresses
+share (regions, countries, common endings) weighs little, and a name that is well attested is one more n-gram of its
+own, which keeps real names an edit apart from each other but not a misprint from its name.
+
+Equal readings are one representative. Candidates come from an inverted index of the street's n-grams, cut to the prefix
+that two names above the cosine must share and kept apart by house number and unit, which have to agree anyway. They
+are verified by the cosine of the streets and that of the towns, which are the rarest words of the rest, by direction and kind.
 """
 
 from __future__ import annotations
@@ -18,7 +22,7 @@ from dataclasses import dataclass, field
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fieldscore.session import cut
@@ -34,8 +38,6 @@ TOWN_FIRST = {"saint": "saint st", "fort": "fort ft", "mount": "mount mt", "nort
 UNITS = "unit u apt apartment suite ste floor fl flr room rm # no".split()
 NUMBER_WORDS = "no nr num number".split()
 SIDE_WORDS = "attn attention accounts account dept department payable receivable receivables loading dock goods receiving c o care of mailroom reception po box the".split()
-REGIONS = {"av": "arvonia", "bm": "belmora", "cd": "cordane", "dr": "dorrin", "es": "estovia", "fw": "farrow", "gd": "galdor", "hm": "hestmark", "iv": "ivaris", "jl": "jorland"}
-COUNTRIES = "up|united provinces|u p|nl|nor|norlandia|ovl|ovelle|kingdom of ovelle|tsm|tesmar|republic of tesmar".split("|")
 
 
 def _lookup(table: dict[str, str]) -> dict[str, str]:
@@ -43,8 +45,6 @@ def _lookup(table: dict[str, str]) -> dict[str, str]:
 
 
 _KIND, _DIRECTION, _FIRST = _lookup(KINDS), _lookup(DIRECTIONS), _lookup(TOWN_FIRST)
-_REGION = {**{k: k for k in REGIONS}, **{v: k for k, v in REGIONS.items()}}
-_COUNTRY_WORDS = {w for c in COUNTRIES for w in c.split()} | {"republic", "kingdom", "united", "provinces"}
 _UNIT, _NUMBER_WORD, _SIDE = set(UNITS) - {"no"}, set(NUMBER_WORDS), set(SIDE_WORDS)
 _UNIT_VALUE = re.compile(r"[a-z]?\d{1,4}[a-z]?$")
 _HOUSE = re.compile(r"\d{1,5}[a-z]?$")
@@ -53,12 +53,17 @@ _FOLD = str.maketrans({"o": "0", "l": "1", "i": "1", "s": "5", "b": "8"})
 
 @dataclass(frozen=True)
 class AddressForm:
-    """Parameters: the n-gram length, the cosine a candidate needs, and when a word counts as known (addresses that
-    hold it and house numbers it is seen with) and isn't a misprint (``far_rarer`` times rarer than a word an edit away,
-    at whose places at least ``at_places`` of its own are)."""
-
-    gram: int = 3
-    cosine: float = 0.15
+    """Parameters: the n-gram length; the cosine that two streets and two towns need; the weight of a known name as a
+    whole, against its n-grams; when a name is known (addresses that hold it and house numbers it is seen with) and
+    isn't a misprint (``far_rarer`` times rarer than a word an edit away, at whose places at least ``at_places`` of its
+    own are); and how much more common than the other side's town a word must be to be no town but a region or country."""
+
+    gram: int = 2
+    street: float = 0.22
+    town: float = 0.2
+    whole: float = 3.0
+    wider: float = 4.0
+    smooth: float = 5.0
     known_least: int = 3
     far_rarer: int = 5
     at_places: float = 0.25
@@ -74,8 +79,6 @@ class Reading:
     kind: str = ""
     first: str = ""
     town: str = ""
-    region: str = ""
-    postcode: str = ""
     rest: list[str] = field(default_factory=list)
 
 
@@ -93,7 +96,7 @@ def _tokens(text: str) -> list[str]:
 
 
 def _open_word(w: str) -> bool:
-    return w not in _KIND and w not in _COUNTRY_WORDS and w not in _REGION
+    return w not in _KIND
 
 
 def _street_ahead(house: int, at: Callable[[int], str], plain: Callable[[int], bool]) -> tuple[list[int], int, int]:
@@ -149,13 +152,14 @@ def read_address(text: str) -> Reading:
                 r.unit = at(j).lstrip("0") or "0"
                 for k in range(i, j + 1):
                     used[k] = True
+    postcode = False
     for i, w in enumerate(ts):  # a postcode has five digits, at times with a gap
-        if used[i] or r.postcode:
+        if used[i] or postcode:
             continue
         if w.isdigit() and len(w) == 5:
-            r.postcode, used[i] = w, True
+            postcode = used[i] = True
         elif w.isdigit() and len(w) == 3 and at(i + 1).isdigit() and len(at(i + 1)) == 2 and not used[i + 1]:
-            r.postcode, used[i], used[i + 1] = w + ts[i + 1], True, True
+            postcode = used[i] = used[i + 1] = True
     house = next((i for i, w in enumerate(ts) if not used[i] and _HOUSE.match(w)), -1)
     if house >= 0:
         r.number, used[house] = ts[house].lstrip("0") or "0", True
@@ -178,123 +182,92 @@ def read_address(text: str) -> Reading:
         if direction >= 0:
             r.direction, used[direction] = _DIRECTION[ts[direction]], True
     rest = [i for i in range(n) if plain(i)]
-    names = []
+    behind = []  # whether each word of the rest stands behind the street
     for k, i in enumerate(rest):
         w = ts[i]
-        follows = k + 1 < len(rest) and rest[k + 1] == i + 1 and ts[i + 1] not in _REGION and ts[i + 1] not in _COUNTRY_WORDS
-        if w in _FIRST and follows and not r.first and not names:
+        follows = k + 1 < len(rest) and rest[k + 1] == i + 1 and len(ts[i + 1]) > 3
+        if w in _FIRST and follows and not r.first:
             r.first = _FIRST[w]
-        elif w in _REGION:
-            r.region = r.region or _REGION[w]
-        elif w in _COUNTRY_WORDS or w in _NUMBER_WORD:
+        elif w in _NUMBER_WORD:
             continue
-        elif w in _KIND and not r.kind and len(w) > 1 and at(i - 1) != "," and not names:
+        elif w in _KIND and not r.kind and len(w) > 1 and at(i - 1) != "," and not r.rest:
             r.kind = _KIND[w]
         elif len(w) > 1:
-            names.append(w)
-    r.town = "".join(names[:2]) if len(names) == 2 and min(map(len, names)) <= 4 else (names[0] if names else "")
-    r.rest = names
+            r.rest.append(w)
+            behind.append(i > house)
+    names = [w for w, b in zip(r.rest, behind, strict=True) if b and len(w) > 3] or [w for w in r.rest if len(w) > 3]
+    r.town = names[0] if names else ""  # most likely; only used to see which names share their places
     return r
 
 
-PARTS = ("number", "unit", "direction", "street", "kind", "first", "town", "region", "postcode")
-ROOTS = ("street_root", "town_root")
-READING = ", ".join(f"{p} string" for p in PARTS)
+PARTS = ("number", "unit", "direction", "street", "kind", "first", "rest")
+READING = ", ".join(f"{p} string" for p in PARTS) + ", town string"
 
 
 def _read_all(texts: pd.Series) -> pd.DataFrame:
-    rows = []
-    for t in texts:
-        r = read_address(t)
-        place = r.town != ""  # region and postcode only matter where the town is left out
-        rows.append((r.number, r.unit, r.direction, r.street, r.kind, r.first, r.town, "" if place else r.region, "" if place else r.postcode))
-    return pd.DataFrame(rows, columns=list(PARTS))
-
-
-def edits(a: str, b: str, most: int) -> int:
-    """Edits between two words (a swap of neighbours is one), or most + 1 if there are more."""
-    if a == b:
-        return 0
-    if abs(len(a) - len(b)) > most:
-        return most + 1
-    before, prev = [], list(range(len(b) + 1))
-    for i, x in enumerate(a, 1):
-        cur = [i]
-        for j, y in enumerate(b, 1):
-            c = min(prev[j] + 1, cur[-1] + 1, prev[j - 1] + (x != y))
-            if i > 1 and j > 1 and x == b[j - 2] and a[i - 2] == y:
-                c = min(c, before[j - 2] + 1)
-            cur.append(c)
-        if min(cur) > most:
-            return most + 1
-        before, prev = prev, cur
-    return prev[-1]
-
-
-def same_word(a: str, b: str, roots: dict[str, str]) -> bool:
-    """Equal, or one a misprint: a known word is never a misprint of another known word. ``roots`` holds the known words,
-    each by itself, and frequent misprints by the word they stand for."""
-    if a == b:
+    rows = [(r.number, r.unit, r.direction, r.street, r.kind, r.first, " ".join(sorted(set(r.rest))), r.town) for r in map(read_address, texts)]
+    return pd.DataFrame(rows, columns=[*PARTS, "town"])
+
+
+def same_town(a: list[dict], b: list[dict], near: Callable[[dict, dict], bool], wider: float) -> bool:
+    """Whether the rests of two addresses may hold the same town; each word comes with whether it is known and how common.
+
+    The rarest word of each side tells most. If neither stands on the other side, the towns differ, unless one side's
+    rarest is so much more common than the other's that it is no town: then the town is left out there.
+    """
+    if not a or not b:
+        return True
+    x, y = (min(ws, key=lambda w: (w["known"], w["n"], w["word"])) for ws in (a, b))
+    if any(near(x, w) for w in b) or any(near(y, w) for w in a):
         return True
-    x, y = roots.get(a), roots.get(b)
-    if x and y:
-        return x == y
-    if min(len(a), len(b)) < 4:
-        return False
-    most = 1 if x or y else 2
-    return edits(x or a, y or b, most) <= most
-
-
-def same_place(a: Reading, b: Reading, known: dict[str, str]) -> bool:
-    """Whether two readings with one number and unit name one place; a part left out on one side doesn't tell."""
-    if a.number != b.number or a.unit != b.unit:
-        return False
-    if any(x and y and x != y for x, y in ((a.direction, b.direction), (a.kind, b.kind), (a.first, b.first))):
-        return False
-    if a.town and b.town:
-        if same_word(a.street, b.street, known) and same_word(a.town, b.town, known):
-            return True
-        x, y = a.street + a.town, b.street + b.town  # a name printed in two words may be cut elsewhere
-        return len(a.street) != len(b.street) and edits(x, y, 1) <= 1
-    if a.town or b.town:  # a town before the street, with nothing between them, reads as a part of its name
-        x, y = (a, b) if a.town else (b, a)
-        if len(y.street) > len(x.street) + 2 and edits(x.town + x.street, y.street, 1) <= 1:
-            return True
-    if not same_word(a.street, b.street, known) or (a.region and b.region and a.region != b.region):
-        return False
-    return not a.postcode or not b.postcode or edits(a.postcode, b.postcode, 2) <= 1
-
-
-class GramWeights:
-    """Weighted character n-grams of an address's names, from the number of addresses that hold each n-gram."""
-
-    def __init__(self, form: AddressForm, df: np.ndarray, n: int):
+    return x["known"] and y["known"] and max(x["n"], y["n"]) >= wider * min(x["n"], y["n"])
+
+
+class NameGrams:
+    """Weighted character n-grams of names, from the number of addresses that hold each n-gram (all alike without it)."""
+
+    def __init__(self, form: AddressForm = AddressForm(), df: np.ndarray | None = None, n: int = 1):
         self.form, self.df, self.n = form, df, max(1, n)
 
-    def grams(self, street: str, town: str) -> list[int]:
-        k, mask = self.form.gram, self.form.hashed_grams - 1
-        return [xxhash.xxh32_intdigest(w[i : i + k]) & mask for w in (f"^{street}$", f"^{town}$") if len(w) > 2 for i in range(max(1, len(w) - k + 1))]
+    def grams(self, word: str) -> set[int]:
+        k, w = self.form.gram, f"^{word}$"
+        return {xxhash.xxh32_intdigest(w[i : i + k]) & (self.form.hashed_grams - 1) for i in range(max(1, len(w) - k + 1))}
+
+    def weight(self, g: int) -> float:
+        return 1.0 if self.df is None else math.log(1 + self.n / (self.form.smooth + self.df[g]))
+
+    def vector(self, words: list[str], roots: dict[str, str]) -> dict[int, float]:
+        """Squared weight by n-gram, which is what the n-gram tells. A word that stands for another (``roots``) is that one; a known one, which has itself
+        as root, is an n-gram as a whole too."""
+        out: dict[int, float] = {}
+        for w in words:
+            root = roots.get(w)
+            own = {g: self.weight(g) for g in self.grams(root or w)}
+            if root:
+                own[self.form.hashed_grams + xxhash.xxh32_intdigest(root)] = self.form.whole * sum(own.values())
+            out |= own
+        return out
+
+    def prefix(self, v: dict[int, float], least: float) -> list[int]:
+        """The n-grams of which two names of a cosine of ``least`` must share one: all others together weigh too little."""
+        rest = sum(v.values())
+        bound, out = least * least * rest, []
+        for g in sorted(v, key=lambda g: (-v[g], g)):
+            if rest < bound:
+                break
+            out.append(g)
+            rest -= v[g]
+        return out
 
-    def vector(self, street: str, town: str) -> list[tuple[int, float]]:
-        """(n-gram, weight) of length 1, the rarest n-grams first."""
-        gs = self.grams(street, town)
-        out = {g: gs.count(g) * math.log(1 + self.n / (1 + self.df[g])) for g in set(gs)}
-        norm = math.sqrt(sum(w * w for w in out.values())) or 1.0
-        return sorted(((g, w / norm) for g, w in out.items()), key=lambda x: (self.df[x[0]], x[0]))
 
-    def prefix(self, v: list[tuple[int, float]]) -> list[int]:
-        """The n-grams of which two addresses above the cosine must share one: the rest is shorter than the cosine."""
-        rest = 1.0
-        for i, (_, w) in enumerate(v):
-            if rest < self.form.cosine**2:
-                return [g for g, _ in v[:i]]
-            rest -= w * w
-        return [g for g, _ in v]
+def cosine(a: dict[int, float], b: dict[int, float]) -> float:
+    return sum(w for g, w in a.items() if g in b) / (math.sqrt(sum(a.values()) * sum(b.values())) or 1.0)
 
-    @staticmethod
-    def cosine(a: list[tuple[int, float]], b: list[tuple[int, float]]) -> float:
-        d = dict(b)
-        return sum(w * d.get(g, 0.0) for g, w in a)
+
+def same_word(a: str, b: str, roots: dict[str, str], form: AddressForm = AddressForm()) -> bool:
+    """Whether two names of streets are one by the cosine of their n-grams, all of one weight."""
+    n = NameGrams(form)
+    return cosine(n.vector([a], roots), n.vector([b], roots)) >= form.street
 
 
 def word_roots(members: DataFrame, form: AddressForm) -> DataFrame:
@@ -319,62 +292,95 @@ def word_roots(members: DataFrame, form: AddressForm) -> DataFrame:
     return often.join(meant, "word", "left").select("word", F.coalesce("root", "word").alias("root"))
 
 
-def same_addresses(addresses: DataFrame, ident: str = "addr", text: str = "text", form: AddressForm = AddressForm()) -> DataFrame:
-    """(addr_a, addr_b): all pairs of identifiers whose addresses name one place, addr_a < addr_b.
+VECTOR = "struct<keys:array<long>,squares:array<double>,total:double>"
+WORDS = "array<struct<word:string,known:boolean,n:long>>"
+
 
-    Null and blank texts and null identifiers are left out; equal rows count once; an identifier with several texts
-    pairs by each of them. Addresses without a house number only match each other. Empty tables give an empty result;
-    columns beside the two named ones don't matter. Equal readings are compared once, as one representative.
+def _shared(a: Column, b: Column) -> Column:
+    """The squared weights of the n-grams that two names share."""
+    return F.aggregate(F.zip_with(a["keys"], a["squares"], lambda g, w: F.when(F.array_contains(b["keys"], g), w).otherwise(0.0)), F.lit(0.0), lambda t, w: t + w)
+
+
+def same_places(addresses: DataFrame, ident: str = "addr", text: str = "text", form: AddressForm = AddressForm()) -> tuple[DataFrame, DataFrame]:
+    """(addr, rep): the representative reading of each address; (ra, rb): pairs of representatives of one place, ra < rb.
+
+    Null and blank texts and null identifiers are left out; equal rows count once. Addresses without a house number or
+    without a street only match those that lack it too.
     """
     spark = addresses.sparkSession
     rows = addresses.select(F.col(ident).alias("addr"), F.col(text).alias("text")).filter("addr is not null and trim(text) <> ''")
     read = F.pandas_udf(_read_all, READING)
-    members = cut(rows.withColumn("r", read("text")).select("addr", "r.*").withColumn("rep", F.concat_ws("\x1f", *PARTS)))
-    reps = members.groupBy("rep", *PARTS).agg(F.count("*").alias("n"))
-    total = members.count()
+    members = cut(rows.distinct().withColumn("r", read("text")).select("addr", "r.*").withColumn("rep", F.concat_ws("\x1f", *PARTS)))
     roots = cut(word_roots(members, form))
-    for p in ("street", "town"):
-        reps = reps.join(roots.select(F.col("word").alias(p), F.col("root").alias(f"{p}_root")), p, "left")
-    blank = GramWeights(form, np.zeros(1), 1)
+    reps = members.groupBy("rep", *PARTS).agg(F.count("*").alias("n"))
+    named = members.select(F.explode(F.filter(F.split("rest", " "), lambda w: w != "")).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+    lexicon = roots.join(named, "word", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    words = reps.select("rep", F.explode(F.filter(F.concat(F.array("street"), F.split("rest", " ")), lambda w: w != "")).alias("word"))
+    rooted = words.join(lexicon, "word").groupBy("rep").agg(F.collect_set(F.struct("word", "root", "n")).alias("roots"))  # as many as an address has words
+    reps = cut(reps.join(rooted, "rep", "left"))
+    blank = NameGrams(form)
 
     @F.pandas_udf("array<int>")
-    def grams(street: pd.Series, town: pd.Series) -> pd.Series:
-        return pd.Series([list(set(blank.grams(s, t))) for s, t in zip(street, town, strict=True)])
+    def grams(street: pd.Series, rest: pd.Series) -> pd.Series:
+        return pd.Series([sorted(set().union(*(blank.grams(w) for w in [s, *r.split()] if w))) for s, r in zip(street, rest, strict=True)])
 
     df = np.zeros(form.hashed_grams, dtype=np.int64)
-    for g, n in reps.select(F.explode(grams("street", "town")).alias("g")).groupBy("g").count().collect():  # at most form.hashed_grams rows
+    total = 0
+    for g, n in reps.select(F.explode(grams("street", "rest")).alias("g")).groupBy("g").count().collect():  # at most form.hashed_grams rows
         df[g] = n
+    total = reps.count()
     shared = spark.sparkContext.broadcast((df, total))
 
-    def postings(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        weights = GramWeights(form, shared.value[0], shared.value[1])
+    def vectors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        weights = NameGrams(form, *shared.value)
+
+        def packed(v: dict[int, float]) -> dict:
+            return {"keys": list(v), "squares": list(v.values()), "total": sum(v.values())}
+
         for b in batches:
-            b["prefix"] = [sorted(weights.prefix(weights.vector(s, t))) for s, t in zip(b["street"], b["town"], strict=True)]
-            yield b
-
-    held = reps.select("rep", *PARTS, *ROOTS).mapInPandas(postings, f"rep string, {READING}, street_root string, town_root string, prefix array<int>")
-    index = held.select("number", "unit", F.explode("prefix").alias("gram"), F.struct("rep", *PARTS[2:], *ROOTS, "prefix").alias("x"))
-    pairs = index.alias("a").join(index.withColumnRenamed("x", "y").alias("b"), ["number", "unit", "gram"])
-    first = F.array_min(F.array_intersect("x.prefix", "y.prefix"))
-    pairs = pairs.filter((F.col("x.rep") < F.col("y.rep")) & (F.col("gram") == first)).select("number", "unit", F.col("x").dropFields("prefix").alias("x"), F.col("y").dropFields("prefix").alias("y"))
+            out = {"prefix": [], "s": [], "r": []}
+            for street, rest, held in zip(b["street"], b["rest"], b["roots"], strict=True):
+                known = {r["word"]: (r["root"], r["n"]) for r in held} if held is not None else {}
+                v = weights.vector([street], {w: r for w, (r, _) in known.items()})
+                out["prefix"].append(weights.prefix(v, form.street))
+                out["s"].append(packed(v))
+                out["r"].append([{"word": known[w][0] if w in known else w, "known": w in known, "n": known[w][1] if w in known else 0} for w in rest.split() if len(w) > 2 or w in known])
+            yield b.drop(columns=["roots", "street", "rest"]).assign(**out)
+
+    fields = "rep string, number string, unit string, direction string, kind string, first string"
+    held = reps.select("rep", *PARTS, "roots").mapInPandas(vectors, f"{fields}, prefix array<long>, s {VECTOR}, r {WORDS}")
+    index = held.select("number", "unit", F.explode("prefix").alias("gram"), F.struct("rep", "direction", "kind", "first", "prefix", "s", "r").alias("x"))
+    pairs = index.join(index.withColumnRenamed("x", "y"), ["number", "unit", "gram"])
     agree = lambda p: (F.col(f"x.{p}") == "") | (F.col(f"y.{p}") == "") | (F.col(f"x.{p}") == F.col(f"y.{p}"))
-    pairs = pairs.filter(agree("direction") & agree("kind") & agree("first"))
+    once = F.col("gram") == F.array_min(F.array_intersect("x.prefix", "y.prefix"))
+    pairs = pairs.filter((F.col("x.rep") < F.col("y.rep")) & agree("direction") & agree("kind") & agree("first") & once)
+    street = _shared(F.col("x.s"), F.col("y.s")) >= form.street * F.sqrt(F.col("x.s.total") * F.col("y.s.total"))
 
     @F.pandas_udf("boolean")
-    def verified(number: pd.Series, unit: pd.Series, x: pd.DataFrame, y: pd.DataFrame) -> pd.Series:
-        df, total = shared.value
-        weights = GramWeights(form, df, total)
-        cols = [c for c in PARTS if c not in ("number", "unit")]
-        out = []
-        roots_of = zip(*[z[w] for z in (x, y) for w in ("street", "town")], *[z[r] for z in (x, y) for r in ROOTS], strict=True)
-        for n, u, r, *v in zip(number, unit, roots_of, *[x[c] for c in cols], *[y[c] for c in cols], strict=True):
-            known = {w: k for w, k in zip(r[:4], r[4:], strict=True) if isinstance(k, str)}
-            a, b = (Reading(n, u, **dict(zip(cols, part, strict=True))) for part in (v[: len(cols)], v[len(cols) :]))
-            out.append(same_place(a, b, known) and weights.cosine(weights.vector(a.street, a.town), weights.vector(b.street, b.town)) >= form.cosine)
-        return pd.Series(out, dtype=bool)
-
-    linked = pairs.filter(verified("number", "unit", "x", "y")).select(F.col("x.rep").alias("ra"), F.col("y.rep").alias("rb"))
-    ids = members.select("addr", "rep").distinct()
-    across = linked.join(ids.select(F.col("addr").alias("p"), F.col("rep").alias("ra")), "ra").join(ids.select(F.col("addr").alias("q"), F.col("rep").alias("rb")), "rb")
-    within = ids.select(F.col("addr").alias("p"), "rep").join(ids.select(F.col("addr").alias("q"), "rep"), "rep").filter("p < q")
-    return across.select("p", "q").union(within.select("p", "q")).filter("p <> q").select(F.least("p", "q").alias("addr_a"), F.greatest("p", "q").alias("addr_b")).distinct()
+    def towns(x: pd.Series, y: pd.Series) -> pd.Series:
+        weights, seen = NameGrams(form, *shared.value), {}
+
+        def near(a: dict, b: dict) -> bool:
+            key = (a["word"], a["known"], b["word"], b["known"])
+            if key not in seen:
+                v, w = (weights.vector([z["word"]], {z["word"]: z["word"]} if z["known"] else {}) for z in (a, b))
+                seen[key] = cosine(v, w) >= form.town
+            return seen[key]
+
+        return pd.Series([same_town(list(a), list(b), near, form.wider) for a, b in zip(x, y, strict=True)], dtype=bool)
+
+    return members.select("addr", "rep").distinct(), pairs.filter(street).filter(towns(F.col("x.r"), F.col("y.r"))).select(F.col("x.rep").alias("ra"), F.col("y.rep").alias("rb"))
+
+
+def same_addresses(addresses: DataFrame, ident: str = "addr", text: str = "text", form: AddressForm = AddressForm()) -> DataFrame:
+    """(addr_a, addr_b): all pairs of identifiers whose addresses name one place, addr_a < addr_b, from `same_places`.
+
+    This is as large as the groups' sizes squared; who can do with representatives takes those. An identifier with several
+    texts pairs by each of them. Empty tables give an empty result; columns beside the two named ones don't matter.
+    """
+    members, linked = same_places(addresses, ident, text, form)
+    members = cut(members)
+    p, q = (members.select(F.col("addr").alias(n), F.col("rep").alias(r)) for n, r in (("p", "ra"), ("q", "rb")))
+    across = linked.join(p, "ra").join(q, "rb").select("p", "q")
+    within = p.join(q.withColumnRenamed("rb", "ra"), "ra").filter("p < q").select("p", "q")
+    return across.union(within).filter("p <> q").select(F.least("p", "q").alias("addr_a"), F.greatest("p", "q").alias("addr_b")).distinct()

@@ -148,17 +148,17 @@ def test_same_addresses(spark):
 def test_prefix_filter_loses_nothing():
     r = random.Random(2)
     names = ["".join(r.choice("abcd") for _ in range(6)) for _ in range(60)]
-    form = addresses.AddressForm(cosine=0.5)
+    form = addresses.AddressForm()
     df = np.zeros(form.hashed_grams, dtype=np.int64)
-    blank = addresses.GramWeights(form, df, 1)
     for n in names:
-        for g in set(blank.grams(n, "")):
+        for g in addresses.NameGrams(form).grams(n):
             df[g] += 1
-    w = addresses.GramWeights(form, df, len(names))
-    vs = [w.vector(n, "") for n in names]
-    for a, b in itertools.combinations(range(60), 2):
-        if w.cosine(vs[a], vs[b]) >= 0.5:
-            assert set(w.prefix(vs[a])) & set(w.prefix(vs[b]))
+    w = addresses.NameGrams(form, df, len(names))
+    vs = [w.vector([n], {n: n} if i % 2 else {}) for i, n in enumerate(names)]
+    for least in (form.street, 0.5):
+        for a, b in itertools.combinations(vs, 2):
+            if addresses.cosine(a, b) >= least:
+                assert set(w.prefix(a, least)) & set(w.prefix(b, least))
 
 
 # packing
