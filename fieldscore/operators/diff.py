@@ -1,9 +1,10 @@
 """Differences between two copies of JSON records, leaf by leaf.
 
 Both sides are unpivoted to key-field-value cells, joined in one union with signed counts and grouped; what does not
-cancel is a difference. Records are cells too: before the leaves, one cell per record that holds a digest of all its
-leaves is counted in the same way, so only records that do not cancel are unpivoted. Their leaves never leave the
-partition of their key.
+cancel is a difference. This is done twice with the same means: first each record is one cell, a digest of all its
+leaves, and the records whose signed counts cancel are done; the others are unpivoted to their leaves. Both sides are
+distributed by their key when current rows are chosen, which serves the union and the records' counts too; only the leaves of
+records that don't cancel move once more.
 """
 
 from __future__ import annotations
@@ -13,10 +14,9 @@ import re
 from dataclasses import dataclass
 from decimal import Decimal
 
-import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fieldscore.operators.current import current_rows
@@ -120,9 +120,9 @@ class Reader:
         """One payload that stands alone, without a name."""
         return self._plain(_open_all(read(text)))
 
-    def digest(self, text: str | None) -> int:
+    def digest(self, text: str | None) -> str:
         whole = json.dumps(self.payloads(text), sort_keys=True, separators=(",", ":"), default=lambda d: {"\x00": str(d)})
-        return xxhash.xxh64_intdigest(whole) - (1 << 63)
+        return f"{xxhash.xxh3_128_hexdigest(whole)}{len(whole)}"
 
     def leaves(self, text: str | None) -> list[tuple[str, str]]:
         out: list[tuple[str, str]] = []
@@ -159,15 +159,15 @@ def _walk(v: object, path: str, out: list[tuple[str, str]]) -> None:
         out.append((path, "s" + v if isinstance(v, str) else "l" + json.dumps(v) if v is None or isinstance(v, bool) else f"n{v}"))
 
 
-def json_digest(text: Column, form: PayloadForm = PayloadForm()) -> Column:
-    """One 64-bit number for all leaves of a record: equal for equal leaves however the text is laid out."""
+def record_cell(text: Column, form: PayloadForm = PayloadForm()) -> Column:
+    """A record as one cell: 128 bits and the length of all its leaves, equal however the text is laid out."""
 
-    @F.pandas_udf("long")
-    def digest(texts: pd.Series) -> pd.Series:
+    @F.arrow_udf("string")
+    def cell(texts: pa.Array) -> pa.Array:
         r = Reader(form)
-        return pd.Series([r.digest(t) for t in texts], dtype="int64")
+        return pa.array([r.digest(t) for t in texts.to_pylist()], pa.string())
 
-    return digest(text)
+    return cell(text)
 
 
 def json_leaves(text: Column, form: PayloadForm = PayloadForm()) -> Column:
@@ -237,40 +237,33 @@ def json_differences(
     The current row of each key counts (`current_rows`), equal rows once; ``left_filter``, over
     ``left_columns`` too, is applied to current rows.
     diff_kind is only_<name>, leaf_only_<name> or differs. Null, empty or unreadable JSON holds no leaves, so its
-    key still counts as present. Null key parts match each other. Two records whose texts are the same are not
-    read at all. Extra columns of either side don't reach the result. Empty tables give an empty result.
+    key still counts as present. Null key parts match each other. Extra columns of either side don't reach the result. Empty tables give an empty result.
     With ``leaves``, <name>_leaf holds each side's leaf (its JSON type before its value), null where it has none.
     """
     a, b = names
 
-    marks = [f"__k{i}{m}" for i in range(len(keys)) for m in "vn"]  # null-safe keys that window and join can share
+    marks = [f"__k{i}{m}" for i in range(len(keys)) for m in "vn"]  # null-safe keys
 
-    def side(df: DataFrame, version: str, kept: Column | None, name: str) -> DataFrame:
+    def side(df: DataFrame, version: str, kept: Column | None, sign: int) -> DataFrame:
         cols = list(dict.fromkeys([*keys, version, value, *([] if kept is None else left_columns)]))
         df = df.select(*cols)
         for i, k in enumerate(keys):
             plain = F.col(k).cast("string")
             df = df.withColumns({f"__k{i}v": F.coalesce(plain, F.lit("")), f"__k{i}n": plain.isNull()})
+        df = df.withColumn("__cell", record_cell(F.col(value), form))  # where the text is read: beyond here nothing that loses the partitioning
         cur = current_rows(df, marks, version, [F.xxhash64(F.col(value))])
-        return (cur if kept is None else cur.filter(kept)).select(*marks, F.struct(*keys).alias(f"__keys{name}"), F.struct(F.col(value).alias("v")).alias(f"__{name}"))
-
-    both = side(left, left_version, left_filter, "x").join(side(right, right_version, None, "y"), marks, "full_outer")
-    both = both.withColumn("__keys", F.coalesce("__keysx", "__keysy")).select("__keys.*", "__x", "__y")
-    paired = F.col("__x").isNotNull() & F.col("__y").isNotNull()
-    same_text = F.col("__x.v").eqNullSafe(F.col("__y.v"))
-    differ = both.filter(~(paired & same_text)).withColumns(
-        {"__dx": F.when(paired, json_digest(F.when(paired, F.col("__x.v")), form)), "__dy": F.when(paired, json_digest(F.when(paired, F.col("__y.v")), form))}
-    )
-    differ = differ.filter(~F.coalesce(F.col("__dx") == F.col("__dy"), F.lit(False)))
-    cells = differ.withColumns({"__cx": json_leaves(F.when(paired, F.col("__x.v")), form), "__cy": json_leaves(F.when(paired, F.col("__y.v")), form)})
-    signed = lambda c, sign: F.transform(c, lambda z: F.struct(z["leaf_path"].alias("leaf_path"), z["leaf"].alias("leaf"), F.lit(sign).alias("n")))
-    absent = F.array(F.struct(F.lit("").alias("leaf_path"), F.lit("").alias("leaf"), F.when(F.col("__y").isNull(), 1).otherwise(-1).alias("n")))
-    union = cells.select(*keys, F.inline(F.when(paired, F.concat(signed(F.col("__cx"), 1), signed(F.col("__cy"), -1))).otherwise(absent)))
-    left_of = union.groupBy(*keys, "leaf_path", "leaf").agg(F.sum("n").alias("n")).filter(F.col("n") != 0)
-    per_path = left_of.groupBy(*keys, "leaf_path").agg(
+        return (cur if kept is None else cur.filter(kept)).select(*marks, F.struct(*keys).alias("__keys"), F.lit(sign).alias("__sign"), "__cell", F.col(value).alias("__text"))
+
+    records = side(left, left_version, left_filter, 1).union(side(right, right_version, None, -1))
+    counts = records.withColumn("__n", F.sum("__sign").over(Window.partitionBy(*marks, "__cell")))
+    differ = counts.withColumn("__both", F.count("*").over(Window.partitionBy(*marks)) == 2).filter(F.col("__n") != 0)
+    absent = F.array(F.struct(F.lit("").alias("leaf_path"), F.lit("").alias("leaf")))
+    cells = differ.select("__keys", "__sign", F.inline(F.when(F.col("__both"), json_leaves(F.when(F.col("__both"), F.col("__text")), form)).otherwise(absent)))
+    counted = cells.groupBy("__keys", "leaf_path", "leaf").agg(F.sum("__sign").alias("n")).filter(F.col("n") != 0)
+    per_path = counted.groupBy("__keys", "leaf_path").agg(
         F.max(F.col("n") > 0).alias("in_left"), F.max(F.col("n") < 0).alias("in_right"),
         *([F.max(F.when(F.col("n") > 0, F.col("leaf"))).alias(f"{a}_leaf"), F.max(F.when(F.col("n") < 0, F.col("leaf"))).alias(f"{b}_leaf")] if leaves else []),
-    )
+    ).select("__keys.*", "*")
     kind = (
         F.when(F.col("in_left") & F.col("in_right"), "differs")
         .when(F.col("leaf_path") == "", F.when(F.col("in_left"), f"only_{a}").otherwise(f"only_{b}"))
