@@ -475,9 +475,9 @@ def ground_truth_roundtrip(spark, d):  # noqa: ANN001, ANN201
     return r.filter("cluster_id is not null").select("doc_id", "cluster_id", F.size("annotated_fields").cast("long").alias("n_annotated"), F.try_element_at("gt", F.lit("currency")).alias("currency")).distinct()
 
 
-@query()
+@query(S.over_verdicts("SELECT arm, path, rule, state, count(*) AS n FROM verdicts GROUP BY ALL"))
 def streaming_verdicts(spark, d):  # noqa: ANN001, ANN201
     """The verdict states of results that arrive as files, by micro-batches; the same as over the whole table."""
     from fieldscore.streaming.verdict_stream import run_to_table
 
-    return run_to_table(spark, f"{d}/doc_results.parquet", table(spark, d, "gt_records")).groupBy("arm", "state").agg(F.count("*").alias("n"))
+    return run_to_table(spark, f"{d}/doc_results.parquet", table(spark, d, "gt_records")).groupBy("arm", "path", "rule", "state").agg(F.count("*").alias("n"))

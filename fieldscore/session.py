@@ -14,7 +14,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder of the cluster (spark.checkpoint.dir); a temporary one only where none is set."""
+    """The shared folder of the cluster (spark.checkpoint.dir); a temporary one only where driver and tasks are one process."""
     sc = spark.sparkContext
     told = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if told:
@@ -22,6 +22,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
             sc.setCheckpointDir(told)
         return told
     if not sc._jsc.sc().getCheckpointDir().isDefined():
+        if not sc._jsc.sc().isLocal():
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="fieldscore-checkpoint-"))
     return sc._jsc.sc().getCheckpointDir().get()
 
