@@ -11,9 +11,17 @@ LEVELS = ("L0", "L1", "L2", "L3", "L4")
 
 
 def wire(v: Column) -> Column:
-    """What a field prints as: the printed string of a number, else its number, else the scalar's own text."""
-    own = F.when(~F.is_variant_null(v), F.try_variant_get(v, "$", "string"))
-    return F.when(F.schema_of_variant(v).startswith("OBJECT"), F.coalesce(F.try_variant_get(v, "$.originalValue", "string"), F.try_variant_get(v, "$.normalizedValue", "string"))).otherwise(own)
+    """What a field prints as: the printed string of a number, else its number, else the scalar's own text.
+
+    A number with a point keeps one: 4.0 and 4.00 print as 4.0, 4.60 as 4.6 and 4 as 4.
+    """
+
+    def printed(x: Column) -> Column:
+        text = F.try_variant_get(x, "$", "string")
+        return F.when(~F.is_variant_null(x), F.when(F.schema_of_variant(x).rlike(r"^DECIMAL\(\d+,0\)$"), F.concat(text, F.lit(".0"))).otherwise(text))
+
+    part = lambda k: printed(F.try_variant_get(v, f"$.{k}", "variant"))
+    return F.when(F.schema_of_variant(v).startswith("OBJECT"), F.coalesce(part("originalValue"), part("normalizedValue"))).otherwise(printed(v))
 
 
 def with_levels(verdicts: DataFrame) -> DataFrame:

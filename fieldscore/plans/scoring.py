@@ -184,7 +184,7 @@ ORACLES = {
       FROM verdicts GROUP BY run_id, doc_id, path, truth"""),
     "strict_ladder": S.over_verdicts(f"""SELECT arm, level, count(*) AS n, count_if(ok) AS n_ok, {S.rate('count_if(ok)', 'count(*)')} AS accuracy FROM (
       SELECT arm, unnest(['L0', 'L1', 'L2']) AS level, unnest([coalesce(w = truth, false), coalesce({S.norm('w')} = {S.norm('truth')}, false), coalesce({S.norm('w')} = {S.norm('truth')}, false) OR (rule = 'numeric' AND coalesce({S.money('w')} = {S.money('truth')}, false))]) AS ok
-      FROM (SELECT *, CASE WHEN json_type(pv) = 'OBJECT' THEN coalesce(pv->>'originalValue', pv->>'normalizedValue') WHEN json_type(pv) <> 'NULL' THEN pv->>'$' END AS w FROM verdicts WHERE rule <> 'address' AND truth <> '__ABSENT__')) GROUP BY ALL"""),
+      FROM (SELECT *, CASE WHEN json_type(pv) = 'OBJECT' THEN coalesce(CASE WHEN json_type((pv->'originalValue')) = 'DOUBLE' THEN CAST(CAST((pv->'originalValue') AS DOUBLE) AS VARCHAR) ELSE (pv->'originalValue')->>'$' END, CASE WHEN json_type((pv->'normalizedValue')) = 'DOUBLE' THEN CAST(CAST((pv->'normalizedValue') AS DOUBLE) AS VARCHAR) ELSE (pv->'normalizedValue')->>'$' END) WHEN json_type(pv) <> 'NULL' THEN CASE WHEN json_type(pv) = 'DOUBLE' THEN CAST(CAST(pv AS DOUBLE) AS VARCHAR) ELSE pv->>'$' END END AS w FROM verdicts WHERE rule <> 'address' AND truth <> '__ABSENT__')) GROUP BY ALL"""),
     "comparison_forms": "SELECT '' AS run_id, '' AS arm, '' AS doc_id, '' AS path WHERE false",
 }
 for _name, _keys in (("review_by_file", "run_id, doc_id"), ("review_by_field", "path")):
