@@ -215,15 +215,17 @@ class Crf:
 
     # decoding -----------------------------------------------------------------------------------------------------
     def decode(self, texts: list[str], most_chars: int = 2_000_000) -> list[list[tuple[int, int, str]]]:
-        """The spans (start, end, kind) of each text; texts are taken together up to ``most_chars``."""
-        out: list[list[tuple[int, int, str]]] = []
+        """The spans (start, end, kind) of each text; texts of like length are taken together up to ``most_chars``."""
+        out: list[list[tuple[int, int, str]]] = [[] for _ in texts]
+        order = sorted(range(len(texts)), key=lambda i: -len(texts[i]))
         at = 0
-        while at < len(texts):
+        while at < len(order):
             size, end = 0, at
-            while end < len(texts) and (end == at or size + len(texts[end]) <= most_chars):
-                size += len(texts[end])
+            while end < len(order) and (end == at or size + len(texts[order[end]]) <= most_chars):
+                size += len(texts[order[end]])
                 end += 1
-            out += self._decode(texts[at:end])
+            for i, spans in zip(order[at:end], self._decode([texts[i] for i in order[at:end]]), strict=True):
+                out[i] = spans
             at = end
         return out
 
@@ -274,6 +276,7 @@ class Crf:
         alive = np.searchsorted(-counts, -np.arange(1, longest + 1), side="right")
         opens = np.array([0, *range(1, n, 2)])  # O and the B labels, reached from anywhere
         to_open = self.moves[:, opens].T.copy()[:, :, None]
+        each, columns = np.arange(len(opens))[:, None], np.arange(m)
         inner = np.arange(2, n, 2)
         from_b, from_i = self.moves[inner - 1, inner][:, None], self.moves[inner, inner][:, None]
         for k in range(1, longest):
@@ -283,7 +286,7 @@ class Crf:
             b = through.argmax(1)
             x, y = s[inner - 1] + from_b, s[inner] + from_i
             new = np.empty((n, m), np.float32)
-            new[opens] = np.take_along_axis(through, b[:, None, :], 1)[:, 0]
+            new[opens] = through[each, b, columns[:m]]
             new[inner] = np.maximum(x, y)
             back[k, opens, :m] = b
             back[k, inner, :m] = np.where(y > x, inner[:, None], inner[:, None] - 1)
