@@ -21,19 +21,38 @@ MAP, LIST = "map<string,variant>", "array<variant>"
 
 @dataclass(frozen=True)
 class Section:
-    """A repeated section: its table, its dotted path below the parent (``*`` is any key), and its own sections."""
+    """A repeated section: its table, its dotted path below the parent (``*`` is any key), its own sections, and the
+    columns of its table as (name, dotted path below the element, type)."""
 
     table: str
     path: str
     children: tuple[Section, ...] = ()
+    columns: tuple[tuple[str, str, str], ...] = ()
 
 
+def _numeric(name: str, path: str) -> tuple[tuple[str, str, str], ...]:
+    """A number as printed and as read."""
+    return (f"{name}_printed", f"{path}.originalValue", "string"), (f"{name}_value", f"{path}.normalizedValue", "double")
+
+
+KEYED = (("key", "key", "string"), *_numeric("amount", "value"))
 ARM_SECTIONS = (
-    Section("line_items", "lineItems", (Section("modifiers", "modifiers"),)),
-    Section("charges", "totals.otherCharges"),
-    Section("taxes", "totals.taxes"),
-)
-JUDGE_SECTIONS = (Section("issues", "issues.*", (Section("evidence", "evidence"),)),)
+    Section(
+        "line_items", "lineItems", (Section("modifiers", "modifiers", columns=KEYED),),
+        (
+            ("description", "description", "string"), ("item_code", "itemCode", "string"), *_numeric("quantity", "quantity"), *_numeric("unit_price", "unitPrice"),
+            *_numeric("total_excluding_tax", "lineTotalExcludingTax"), *_numeric("total_including_tax", "lineTotalIncludingTax"),
+        ),
+    ),
+    Section("charges", "totals.otherCharges", columns=KEYED),
+    Section("taxes", "totals.taxes", columns=(*KEYED, *_numeric("percentage", "percentage"))),
+)
+JUDGE_SECTIONS = (
+    Section(
+        "issues", "issues.*", (Section("evidence", "evidence", columns=(("arm", "arm", "string"), ("seen", "seen", "string"))),),
+        (("field", "field", "string"), ("issue_type", "issue_type", "string"), ("corrected_printed", "corrected_value.originalValue", "string"), ("corrected_text", "corrected_value", "scalar")),
+    ),
+)
 
 
 def read_json(text: Column) -> Column:
@@ -165,6 +184,59 @@ def nested_tables(df: DataFrame, keys: list[str], roots: dict[str, tuple[Column,
     return out
 
 
+def _columns(sections: tuple[Section, ...]) -> dict[str, tuple[tuple[str, str, str], ...]]:
+    return {k: v for s in sections for k, v in ((s.table, s.columns), *_columns(s.children).items())}
+
+
+def typed_tables(df: DataFrame, keys: list[str], roots: dict[str, tuple[Column, tuple[Section, ...]]]) -> dict[str, DataFrame]:
+    """`nested_tables` with the declared columns of each section in place of the element: flat, typed, null where a value is
+    missing or of another kind. ``scalar`` is the text of a value that is neither object nor array."""
+    declared = _columns(tuple(s for _, sections in roots.values() for s in sections))
+
+    def typed(name: str, path: str, kind: str) -> Column:
+        if kind != "scalar":
+            return F.try_variant_get("node", f"$.{path}", kind).alias(name)
+        v = F.try_variant_get("node", f"$.{path}", "variant")
+        nested = F.schema_of_variant(v).rlike("^(OBJECT|ARRAY)")
+        return F.when(~nested & ~F.is_variant_null(v), F.try_variant_get(v, "$", "string")).alias(name)
+
+    return {t: d.select(*keys, "node_path", "parent_path", "root", "position", *[typed(*c) for c in declared[t]]) for t, d in nested_tables(df, keys, roots).items()}
+
+
+def scalar_elements(df: DataFrame, keys: list[str], roots: dict[str, tuple[Column, tuple[Section, ...]]]) -> DataFrame:
+    """(keys, node_path, parent_path, value): elements of the declared sections that are no objects, which have no row in
+    the sections' tables; nulls have none here either. Sections below such an element don't exist."""
+    built, _ = with_sections(df.select(*keys, *[c.alias(f"__in_{n}") for n, (c, _) in roots.items()]), {n: (F.col(f"__in_{n}"), s) for n, (_, s) in roots.items()})
+
+    def plain(holders: str, s: Section) -> list[Column]:
+        def of(r: Column, v: Column) -> Column:
+            return F.filter(
+                F.transform(
+                    F.coalesce(as_elements(v["value"]), F.array().cast(LIST)),
+                    lambda x, i: F.struct(F.concat(v["prefix"], F.lit("["), i.cast("string"), F.lit("]")).alias("node_path"), r["node_path"].alias("parent_path"), F.when(as_object(x).isNull() & ~F.is_variant_null(x), F.to_json(x)).alias("value")),
+                ),
+                lambda n: n["value"].isNotNull(),
+            )
+
+        own = F.flatten(F.transform(F.col(holders), lambda r: F.flatten(F.transform(_values(r["node"], s.path, r["node_path"]), lambda v: of(r, v)))))
+        return [own, *[c for child in s.children for c in plain(f"__t_{s.table}", child)]]
+
+    parts = [c for n, (_, sections) in roots.items() for s in sections for c in plain(f"__root_{n}", s)]
+    return built.select(*keys, F.inline(F.concat(*parts)))
+
+
+def array_paths(texts: DataFrame, column: str, declared: tuple[str, ...]) -> DataFrame:
+    """(array_path, n_elements, declared): every array that holds something, its index stripped, with how many elements it
+    has in all records and whether a table is declared for it: what is not isn't lost unseen."""
+    from fieldscore.operators.diff import PayloadForm, json_leaves
+
+    leaves = texts.select(F.monotonically_increasing_id().alias("row"), F.explode(json_leaves(F.col(column), PayloadForm(hidden="\x00"))).alias("c")).select("row", F.col("c.leaf_path").alias("p"))
+    ends = F.filter(F.sequence(F.lit(1), F.length("p")), lambda i: F.substr("p", i, F.lit(1)) == "]")
+    at = leaves.select("row", F.explode(F.transform(ends, lambda i: F.substr("p", F.lit(1), i))).alias("e")).distinct()
+    path = F.regexp_replace(F.regexp_replace("e", r"\[\d+\]$", ""), r"\[\d+\]", "[]")
+    return at.groupBy(path.alias("array_path")).agg(F.count("*").alias("n_elements")).withColumn("declared", F.regexp_replace("array_path", r"^[^.]*\.", "").isin(*declared))
+
+
 def doc_result_roots() -> dict[str, tuple[Column, tuple[Section, ...]]]:
     return {"arms": (arm_roots(read_json(F.col("arms"))), ARM_SECTIONS), "judge": (report_root(read_json(F.col("judge"))), JUDGE_SECTIONS)}
 

@@ -82,3 +82,40 @@ def test_numbers_by_value():
     assert len({r.digest(t) for t in same}) == 1
     assert r.digest('{"A": {"x": 0.1}}') != r.digest('{"A": {"x": 0.10000000000000000001}}')
     assert r.digest('{"A": {"x": 123456789012345678901}}') != r.digest('{"A": {"x": 123456789012345678902}}')
+
+
+def test_typed_tables_scalars_and_undeclared_arrays(spark):
+    from fieldscore.operators import nested as N
+
+    arms = '{"RAW": {"lineItems": [{"description": "a", "quantity": {"originalValue": "2", "normalizedValue": 2}, "modifiers": ["extra", {"key": "k"}]}, "loose", null, 7], "parties": {"seller": {"phones": ["1", "2"]}}}, "_x": {"parts": [{"n": 1}]}}'
+    judge = '{"issues": {"totals": [{"field": "f", "corrected_value": {"originalValue": "3"}}, {"field": "g", "corrected_value": "4"}]}}'
+    df = spark.createDataFrame([("r", arms, judge, 5), ("s", None, "", 6)], "run string, arms string, judge string, position int")
+    t = N.typed_tables(df, ["run"], N.doc_result_roots())
+    (row,) = t["line_items"].collect()
+    assert (row.node_path, row.description, row.quantity_printed, row.quantity_value, row.position) == ("RAW.lineItems[0]", "a", "2", 2.0, 0)
+    assert [(x.parent_path, x.key, x.position) for x in t["modifiers"].collect()] == [("RAW.lineItems[0]", "k", 1)]
+    assert {(x.field, x.corrected_printed, x.corrected_text) for x in t["issues"].collect()} == {("f", "3", None), ("g", None, "4")}
+    got = {(x.node_path, x.parent_path, x.value) for x in N.scalar_elements(df, ["run"], N.doc_result_roots()).collect()}
+    assert got == {("RAW.lineItems[1]", "RAW", '"loose"'), ("RAW.lineItems[3]", "RAW", "7"), ("RAW.lineItems[0].modifiers[0]", "RAW.lineItems[0]", '"extra"')}
+    paths = {x.array_path: (x.n_elements, x.declared) for x in N.array_paths(df, "arms", ("lineItems", "lineItems[].modifiers")).collect()}
+    assert paths == {"RAW.lineItems": (4, True), "RAW.lineItems[].modifiers": (2, True), "RAW.parties.seller.phones": (2, False), "_x.parts": (1, False)}
+
+
+def test_stream_equals_batch(spark, tmp_path):
+    """Rows that are replaced in the same file and in a later one, by rows that are ok and by such that aren't."""
+    from fieldscore.operators.verdicts import verdicts
+    from fieldscore.streaming.verdict_stream import run_to_table
+
+    gt = spark.createDataFrame([("d", "c", "invoice", "s", {"currency": "EUR"}, ["currency"], {}, "{}", 1), ("e", "c", "invoice", "s", {"currency": "USD"}, ["currency"], {}, "{}", 1)], "doc_id string, cluster_id string, doc_type string, source_dataset string, gt map<string,string>, annotated_fields array<string>, excluded_fields map<string,string>, meta string, received_at int")
+    one = lambda d, c, t, ok=True: ("r", d, ok, f'{{"FINAL": {{"currency": "{c}"}}}}', t)
+    files = [[one("d", "EUR", 1), one("d", "USD", 2), one("e", "USD", 5)], [one("d", "EUR", 3), one("e", "GBP", 4)], [one("e", "USD", 6, False)], [one("d", "GBP", 1)]]
+    schema = "run_id string, doc_id string, ok boolean, arms string, written_at int"
+    for i, rows in enumerate(files):
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / "in" / f"{i}.parquet"))
+    flat = tmp_path / "flat"
+    flat.mkdir()
+    for i in range(len(files)):
+        next((tmp_path / "in" / f"{i}.parquet").glob("*.parquet")).rename(flat / f"{i}.parquet")
+    got = sorted((x.doc_id, x.path, x.state) for x in run_to_table(spark, str(flat), gt).collect())
+    want = sorted((x.doc_id, x.path, x.state) for x in verdicts(gt, spark.read.parquet(str(flat))).collect())
+    assert got == want == [("d", "currency", "correct")]
