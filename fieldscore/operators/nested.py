@@ -230,7 +230,7 @@ def array_paths(texts: DataFrame, column: str, declared: tuple[str, ...]) -> Dat
     has in all records and whether a table is declared for it: what is not isn't lost unseen."""
     from fieldscore.operators.diff import PayloadForm, json_leaves
 
-    leaves = texts.select(F.monotonically_increasing_id().alias("row"), F.explode(json_leaves(F.col(column), PayloadForm(hidden="\x00"))).alias("c")).select("row", F.col("c.leaf_path").alias("p"))
+    leaves = texts.select(F.col(column).alias("t")).withColumn("row", F.monotonically_increasing_id()).select("row", F.explode(json_leaves(F.col("t"), PayloadForm(hidden="\x00"))).alias("c")).select("row", F.col("c.leaf_path").alias("p"))
     ends = F.filter(F.sequence(F.lit(1), F.length("p")), lambda i: F.substr("p", i, F.lit(1)) == "]")
     at = leaves.select("row", F.explode(F.transform(ends, lambda i: F.substr("p", F.lit(1), i))).alias("e")).distinct()
     path = F.regexp_replace(F.regexp_replace("e", r"\[\d+\]$", ""), r"\[\d+\]", "[]")
