@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import uuid
+import hashlib
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,24 +16,29 @@ from fieldscore.llm.stable_sample import NumberStore, seed_array, stable_sample
 from fieldscore.session import checkpoint_dir, cut, table
 
 
+def _store(spark: SparkSession, d: str, name: str) -> NumberStore:
+    """The store of one set of tables in the shared folder: a later call finds what an earlier one has seen."""
+    return NumberStore(spark, f"{checkpoint_dir(spark).rstrip('/')}/numbers-{name}-{hashlib.md5(d.encode()).hexdigest()}")
+
+
 def p2_stable_sample(spark: SparkSession, d: str) -> DataFrame:
-    """The documents drawn by each plan over documents, the deliveries seen one after another."""
-    store = NumberStore(spark, f"{checkpoint_dir(spark)}/numbers-{uuid.uuid4().hex}")
+    """The documents drawn by each plan over documents; each is seen with its first delivery, all in one pass."""
+    store = _store(spark, d, "documents")
     plans = table(spark, d, "plans").filter("dataset = 'documents'").select("plan_name", "seed", "share")
-    docs = table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("id"), "batch_no")
-    seeds = seed_array(plans)
-    last = docs.agg(F.max("batch_no")).first()[0] or 1
-    for k in range(1, last + 1):
-        store.see(docs.filter(F.coalesce("batch_no", F.lit(1)) == k).select("id", F.explode(seeds).alias("seed")), k)
-    return stable_sample(store, plans).select("plan_name", F.col("doc_id").cast("bigint").alias("doc_id"), F.round("u", 9).alias("u"))
+    docs = table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("id"), F.coalesce("batch_no", F.lit(1)).alias("batch"))
+    store.see(docs.select("id", "batch", F.explode(seed_array(plans)).alias("seed")), "batch")
+    store.keep(plans)
+    drawn = stable_sample(store, plans).join(docs.select(F.col("id").alias("doc_id")), "doc_id", "left_semi")
+    return drawn.select("plan_name", F.col("doc_id").cast("bigint").alias("doc_id"), F.round("u", 9).alias("u"))
 
 
 def p2_record_sample(spark: SparkSession, d: str) -> DataFrame:
     """The records drawn by each plan over records; repeated rows of a record fare alike."""
-    store = NumberStore(spark, f"{checkpoint_dir(spark)}/numbers-{uuid.uuid4().hex}")
+    store = _store(spark, d, "records")
     plans = table(spark, d, "plans").filter("dataset is null or dataset <> 'documents'")
     records = table(spark, d, "gt_records").select(F.col("doc_id").alias("id"), "source_dataset")
-    store.see(records.select("id").distinct().select("id", F.explode(seed_array(plans)).alias("seed")), 1)
+    store.see(records.select("id", F.explode(seed_array(plans)).alias("seed")), 1)
+    store.keep(plans)
     drawn = stable_sample(store, plans.select("plan_name", "seed", "share"))
     of = plans.select("plan_name", F.col("dataset").alias("__of"))
     rows = records.withColumnRenamed("id", "doc_id").join(drawn, "doc_id").join(F.broadcast(of), "plan_name")
@@ -57,6 +62,14 @@ def p5_splits(spark: SparkSession, d: str) -> DataFrame:
     return split_groups(groups, table(spark, d, "split_targets")).select(F.col("record").alias("doc_id"), F.col("split").alias("split_name"))
 
 
+def p5_split_totals(spark: SparkSession, d: str) -> DataFrame:
+    """How many documents each split has, and how many groups are in more than one: none."""
+    g = cut(_document_groups(spark, d))
+    placed = split_groups(g, table(spark, d, "split_targets"))
+    torn = placed.groupBy("root").agg(F.count_distinct("split").alias("k"), F.first("split").alias("split_name")).groupBy("split_name").agg(F.count_if(F.col("k") > 1).alias("n_torn_groups"))
+    return placed.groupBy(F.col("split").alias("split_name")).agg(F.count("*").alias("n_docs")).join(torn, "split_name")
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     """Which document repeats which test item."""
     return leaked_items(table(spark, d, "documents"), table(spark, d, "eval_items"))
@@ -84,7 +97,7 @@ def p6_windows(spark: SparkSession, d: str) -> DataFrame:
     return pack_windows(table(spark, d, "documents"), table(spark, d, "containers"), series="cluster_id")
 
 
-QUERIES = {"p6_windows": p6_windows, "p8_found": p8_found, "p8_redacted": p8_redacted, "p4_found": p4_found, "p7_found": p7_found, "p2_stable_sample": p2_stable_sample, "p2_record_sample": p2_record_sample, "p5_found": p5_found, "p5_splits": p5_splits}
+QUERIES = {"p6_windows": p6_windows, "p8_found": p8_found, "p8_redacted": p8_redacted, "p4_found": p4_found, "p7_found": p7_found, "p2_stable_sample": p2_stable_sample, "p2_record_sample": p2_record_sample, "p5_found": p5_found, "p5_splits": p5_splits, "p5_split_totals": p5_split_totals}
 
 _NUMBER = "CAST(('0x' || substr(md5(coalesce(p.seed, '') || ':' || CAST({id} AS VARCHAR)), 1, 13)) AS BIGINT)::DOUBLE / 4503599627370496.0"
 ORACLES = {
@@ -97,6 +110,11 @@ ORACLES = {
           SELECT p.plan_name, p.share, d.doc_id, d.n_rows, {_NUMBER.format(id="d.doc_id")} AS u
           FROM (SELECT doc_id, source_dataset, count(*) AS n_rows FROM gt_records GROUP BY ALL) d, plans p
           WHERE p.dataset IS DISTINCT FROM 'documents' AND (p.dataset IS NULL OR p.dataset = d.source_dataset)) WHERE u < share""",
+    # the nearest totals there can be: the share of all documents, rounded; the largest split takes the rest
+    "p5_split_totals": """
+        WITH n AS (SELECT count(*) AS n FROM documents), t AS (SELECT split_name, share / sum(share) OVER () AS share, row_number() OVER (ORDER BY share DESC, split_name) AS r FROM split_targets),
+        small AS (SELECT split_name, CAST(round_even(share * n, 0) AS BIGINT) AS n_docs FROM t, n WHERE r > 1)
+        SELECT split_name, n_docs, 0 AS n_torn_groups FROM small UNION ALL SELECT split_name, n - (SELECT sum(n_docs) FROM small), 0 FROM t, n WHERE r = 1""",
     "p5_found": """
         WITH RECURSIVE k AS (
           SELECT doc_id, lower(regexp_replace(cluster_id, '[^\\p{L}\\p{N}]+', '', 'g')) AS c, lower(regexp_replace(entity_key, '[^\\p{L}\\p{N}]+', '', 'g')) AS e FROM documents),

@@ -11,6 +11,7 @@ and read again; the rounds before are deleted.
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,16 +19,15 @@ from fieldscore.session import cut, forget
 
 # Keys that say a key is not known, reduced to lower-case letters and digits.
 UNKNOWN_KEYS = (
-    "", "na", "nan", "nil", "none", "noneknown", "nokey", "nokeyknown", "notapplicable", "notavailable", "notgiven", "notknown",
-    "notprovided", "notset", "notspecified", "null", "missing", "pending", "tba", "tbc", "tbd", "tobeconfirmed", "tobedetermined",
-    "undefined", "undetermined", "unk", "unknown", "unspecified", "empty", "blank", "void", "invalid", "xxx",
+    "", "na", "nan", "nil", "none", "notapplicable", "notavailable", "notgiven", "notknown", "notprovided", "notspecified", "null", "missing",
+    "tba", "tbc", "tbd", "undefined", "undetermined", "unk", "unknown", "unspecified",
 )
 
 
-def reduced_key(key: Column) -> Column:
+def reduced_key(key: Column, unknown: tuple[str, ...] = UNKNOWN_KEYS) -> Column:
     """A key's letters and digits in lower case; null for blank keys and words saying that it isn't known."""
     k = F.lower(F.regexp_replace(key.cast("string"), r"[^\p{L}\p{N}]+", ""))
-    return F.when(~k.isin(*UNKNOWN_KEYS), k)
+    return F.when(~k.isin(*unknown), k)
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
@@ -62,14 +62,14 @@ def _step(p: DataFrame) -> DataFrame:
     return p.join(q, "up", "left").select("node", F.coalesce("up2", "up").alias("up"))
 
 
-def linked_groups(df: DataFrame, record: str, keys: list[str]) -> DataFrame:
+def linked_groups(df: DataFrame, record: str, keys: list[str], unknown: tuple[str, ...] = UNKNOWN_KEYS) -> DataFrame:
     """(record, root): the least key of each record's group, as ``<number of the key column>:<reduced key>``.
 
     Keys of the first column are less than those of the second, so a root that starts with ``0:`` is the least key of
     the first kind in its group. A record without any known key is a group of its own: root ``~<record>``. A record
-    given in several rows has the keys of all of them. Null records are left out; other columns don't matter.
+    given in several rows has the keys of all of them; ``unknown`` are the reduced keys that link nothing. Null records are left out; other columns don't matter.
     """
-    kinds = [F.concat(F.lit(f"{i}:"), reduced_key(F.col(k))) for i, k in enumerate(keys)]
+    kinds = [F.concat(F.lit(f"{i}:"), reduced_key(F.col(k), unknown)) for i, k in enumerate(keys)]
     held = df.filter(F.col(record).isNotNull()).select(F.col(record).alias("record"), F.array_compact(F.array(*kinds)).alias("keys"))
     # edges: keys of one row with each other; rows of one record (it may be delivered again) link through their keys too
     star = held.filter(F.size("keys") > 0).select(F.get("keys", F.lit(0)).alias("a"), F.explode("keys").alias("b")).distinct()
@@ -81,53 +81,88 @@ def linked_groups(df: DataFrame, record: str, keys: list[str]) -> DataFrame:
     return known.select("record", F.coalesce("root", F.concat(F.lit("~"), F.col("record").cast("string"))).alias("root"))
 
 
-def choose_totals(sizes: list[tuple[int, int]], targets: list[float]) -> list[dict[int, int]]:
+def reachable(sizes: list[tuple[int, int]], limit: int) -> int:
+    """A bitset of the sums up to ``limit`` that can be made of sizes with multiplicities, which are split into powers of two."""
+    mask, bits = (1 << (limit + 1)) - 1, 1
+    for s, m in sizes:
+        m, k = min(m, limit // s), 1
+        while m > 0:
+            k = min(k, m)
+            bits |= (bits << (s * k)) & mask
+            m -= k
+            k *= 2
+    return bits
+
+
+def _meeting(a: int, b: int, goal: int, step: int = 1 << 20) -> int:
+    """The least x with bit x in ``a`` and bit goal - x in ``b``, looked for in blocks."""
+
+    def block(bits: int, low: int) -> np.ndarray:
+        part = (bits >> low) & ((1 << step) - 1) if low >= 0 else (bits << -low) & ((1 << step) - 1)
+        return np.unpackbits(np.frombuffer(part.to_bytes(step // 8, "little"), np.uint8), bitorder="little")
+
+    for low in range(0, goal + 1, step):
+        hit = np.flatnonzero(block(a, low) & block(b, goal - low - step + 1)[::-1])
+        if len(hit):
+            return low + int(hit[0])
+    raise ValueError("the sum can't be made")
+
+
+def exact_choice(sizes: list[tuple[int, int]], goal: int) -> dict[int, int]:
+    """How many of each size make up ``goal``, which can be made: halves of the sizes are asked for two sums that meet, and
+    so on. At any time two bitsets are held, however many sizes there are."""
+    if goal == 0:
+        return {}
+    if len(sizes) == 1:
+        return {sizes[0][0]: goal // sizes[0][0]}
+    half = len(sizes) // 2
+    x = _meeting(reachable(sizes[:half], goal), reachable(sizes[half:], goal), goal)
+    return exact_choice(sizes[:half], x) | exact_choice(sizes[half:], goal - x)
+
+
+def choose_totals(sizes: list[tuple[int, int]], targets: list[float], exact: int = 1 << 27) -> list[dict[int, int]]:
     """How many groups of each size go to each target so that the totals come as near to the targets as they can.
 
     ``sizes`` are (size, how many groups); there are at most sqrt(2 N) different sizes for N records. Targets are
-    filled from the smallest on; each by a bitset of all reachable sums (bit s says that s can be made), where the
-    multiplicity of a size is split into powers of two, and the last gets the rest. Sums are exact up to 2**22 and
-    beyond that counted in units of N / 2**22 records, of which each group's rounding is less than one.
+    filled from the smallest on, each to the nearest sum that can be made of what is left, and the last gets the rest.
+    Sums are exact for up to ``exact`` records (bitsets of 16 MB). Beyond that groups are
+    counted in units of N / exact records, and what the units are off is made up by groups taken by falling size.
     """
     left = dict(sizes)
     total = sum(s * m for s, m in sizes)
-    unit = max(1, -(-total // (1 << 22)))
+    unit = max(1, -(-total // exact))
     out: list[dict[int, int]] = [{} for _ in targets]
     order = sorted(range(len(targets)), key=lambda i: (targets[i], i))
     for i in order[:-1]:
         goal = round(targets[i] * total / unit)
-        limit = 2 * goal + 1
-        mask = (1 << (limit + 1)) - 1
-        steps: list[tuple[int, int, int]] = []  # size, how many at once, sums reachable before
-        bits = 1
-        for s, m in sorted(left.items(), reverse=True):
-            w = max(1, s // unit) if s >= unit else 0
-            if w == 0 or w > limit:
-                continue
-            m = min(m, limit // w)
-            k = 1
-            while m > 0:
-                k = min(k, m)
-                steps.append((s, k, bits))
-                bits |= (bits << (w * k)) & mask
-                m -= k
-                k *= 2
+        coarse: dict[int, list[int]] = {}
+        for s in sorted((s for s, m in left.items() if m and s >= unit), reverse=True):
+            coarse.setdefault(s // unit, []).append(s)
+        held = sorted(((w, sum(left[s] for s in ss)) for w, ss in coarse.items()), reverse=True)
+        held = [(w, m) for w, m in held if w <= 2 * goal]
+        bits = reachable(held, 2 * goal)
         below = (bits & ((1 << (goal + 1)) - 1)).bit_length() - 1
         above = bits >> goal
-        nearest = below if not above or goal - below <= ((above & -above).bit_length() - 1) else goal + (above & -above).bit_length() - 1
-        at = nearest
-        for s, k, before in reversed(steps):
-            w = max(1, s // unit)
-            if (before >> at) & 1:
-                continue
-            at -= w * k
-            out[i][s] = out[i].get(s, 0) + k
-            left[s] -= k
-        if unit > 1:  # groups below one unit fill what the bitset can't see
-            short = int(targets[i] * total) - sum(s * n for s, n in out[i].items())
-            for s in sorted((s for s, m in left.items() if m and s < unit), reverse=True):
-                n = min(left[s], max(0, short // s))
-                if n:
+        over = (above & -above).bit_length() - 1 if above else goal + 1
+        for w, n in exact_choice(held, below if goal - below <= over else goal + over).items() if held else ():
+            for s in coarse[w]:
+                k = min(n, left[s])
+                if k:
+                    out[i][s] = out[i].get(s, 0) + k
+                    left[s] -= k
+                    n -= k
+        if unit > 1:  # what the units are off: give back, then fill by falling size
+            short = round(targets[i] * total) - sum(s * n for s, n in out[i].items())
+            while short < 0:
+                s = max((s for s in out[i] if s <= -short), default=min(out[i]))
+                n = min(out[i][s], max(1, -short // s))
+                left[s] += n
+                out[i][s] -= n
+                if not out[i][s]:
+                    del out[i][s]
+                short += n * s
+            for s in sorted((s for s, m in left.items() if m), reverse=True):
+                if n := min(left[s], short // s):
                     out[i][s] = out[i].get(s, 0) + n
                     left[s] -= n
                     short -= n * s

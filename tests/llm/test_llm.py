@@ -49,6 +49,25 @@ def test_samples_only_grow(spark, tmp_path):
     assert stable_sample.stable_sample(stable_sample.NumberStore(spark, str(tmp_path / "none")), plans).count() == 0
 
 
+def test_a_store_outlives_the_call(spark, tmp_path):
+    """Two calls with a lower share and a new batch: what was drawn stays drawn."""
+    plans = spark.createDataFrame([("p", "s", 0.4)], "plan_name string, seed string, share double")
+    docs = lambda n: spark.createDataFrame([(f"d{i}", "s", 1 + i // 100) for i in range(n)] + [("d1", "s", 9)], "id string, seed string, batch int")
+
+    def call(n, share):
+        store = stable_sample.NumberStore(spark, str(tmp_path / "store"))
+        store.see(docs(n), "batch")
+        store.keep(plans.withColumn("share", F.lit(share)))
+        return {r.doc_id for r in stable_sample.stable_sample(store, plans.withColumn("share", F.lit(share))).collect()}
+
+    first, second = call(200, 0.4), call(300, 0.1)
+    assert first < second and len(second) > 90
+    store = stable_sample.NumberStore(spark, str(tmp_path / "store"))
+    assert store.rows().count() == 300 and {r.first_batch for r in store.rows().collect()} == {1, 2, 3} and store.shares().count() == 1
+    store.rows().limit(5).coalesce(1).write.mode("append").parquet(str(tmp_path / "store" / "numbers"))  # another writer's rows
+    assert call(300, 0.1) == second and stable_sample.stable_sample(store, plans).count() == len(second)
+
+
 # groups
 
 
@@ -97,6 +116,22 @@ def test_totals_are_the_nearest():
         assert sum(s * n for c in chosen for s, n in c.items()) == total
 
 
+def test_units_beyond_the_exact_bound():
+    """With fewer exact sums than records the small groups make up what the units are off."""
+    r = random.Random(5)
+    sizes = sorted(Counter([r.randint(1, 400) for _ in range(300)] + [1] * 500).items())
+    total = sum(s * m for s, m in sizes)
+    chosen = groups.choose_totals(sizes, [0.8, 0.1, 0.1], exact=2000)
+    assert [sum(s * n for s, n in c.items()) for c in chosen[1:]] == [round(0.1 * total)] * 2
+    assert {s: sum(c.get(s, 0) for c in chosen) for s, _ in sizes} == dict(sizes)
+
+
+def test_choice_of_many_sizes():
+    sizes = [(s, 3) for s in range(1, 400)]
+    chosen = groups.exact_choice(sizes, 100_003)
+    assert sum(s * n for s, n in chosen.items()) == 100_003 and max(chosen.values()) <= 3
+
+
 def test_splits(spark):
     rows = [(i, f"g{i % 37 if i % 5 else i}") for i in range(500)]
     g = spark.createDataFrame(rows, "record long, root string")
