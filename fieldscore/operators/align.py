@@ -7,6 +7,7 @@ shuffled for it. The lists of one section are bounded by what one document print
 from __future__ import annotations
 
 import json
+import re
 from functools import lru_cache
 
 import numpy as np
@@ -14,8 +15,6 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fieldscore.functions import numbers
-
 PAIRS = "array<struct<gt_row:int,pred_row:int,score:double,matched_on:string>>"
 
 
@@ -112,10 +111,22 @@ def _number(v: object) -> str | None:
         return None
 
 
-def align_rows(gt_rows: Column, pred_rows: Column, gt_text: tuple[str, ...] = ("description",), pred_text: tuple[str, ...] = ("description", "itemCode"), threshold: float = 0.8, numeric_weight: float = 0.001, numeric: dict[str, tuple[str, ...]] | None = None) -> Column:
+_PERCENT = re.compile(r"(\d+(?:[.,]\d+)?)\s*%")
+
+
+def _row_rate(row: dict) -> str | None:
+    """The rate a row carries, to two places: in its key, else its percentage."""
+    m = _PERCENT.search(row["key"]) if isinstance(row.get("key"), str) else None
+    if m:
+        return _number(m.group(1).replace(",", "."))
+    return _number(row["percentage"]) if row.get("percentage") not in (None, "") else None
+
+
+def align_rows(gt_rows: Column, pred_rows: Column, gt_text: tuple[str, ...] = ("description",), pred_text: tuple[str, ...] = ("description", "itemCode"), threshold: float = 0.8, numeric_weight: float = 0.001, numeric: dict[str, tuple[str, ...]] | None = None, keyed: bool = False) -> Column:
     """Pairs of two lists of rows (JSON arrays of flat objects as text) by text similarity, numbers breaking ties.
 
-    A pair below ``threshold`` is no pair. The assignment is optimal, so a missing row doesn't shift the others. Null,
+    A pair below ``threshold`` is no pair. The assignment is optimal, so a missing row doesn't shift the others. With
+    ``keyed`` rows that carry a rate are paired by it first, each with the first unused one, and never by text. Null,
     unreadable or empty lists give an empty array.
     """
     numeric = numeric or {"quantity": ("quantity",), "unitPrice": ("unitPrice",), "lineTotal": ("lineTotalExcludingTax", "lineTotalIncludingTax")}
@@ -130,7 +141,7 @@ def align_rows(gt_rows: Column, pred_rows: Column, gt_text: tuple[str, ...] = ("
     def flat(v: object) -> object:
         return (v.get("normalizedValue") if v.get("normalizedValue") is not None else v.get("originalValue")) if isinstance(v, dict) else v
 
-    def pair(g: list[dict], p: list[dict]) -> list[dict]:
+    def by_text(g: list[dict], p: list[dict]) -> list[dict]:
         if not g or not p:
             return []
         s, key = np.zeros((len(g), len(p))), {}
@@ -147,6 +158,19 @@ def align_rows(gt_rows: Column, pred_rows: Column, gt_text: tuple[str, ...] = ("
         cost = np.where(s >= threshold, -(s + numeric_weight * agree), 1e6)
         return [{"gt_row": i, "pred_row": j, "score": float(s[i, j]), "matched_on": key[i, j]} for i, j in assignment(cost) if s[i, j] >= threshold]
 
+    def pair(g: list[dict], p: list[dict]) -> list[dict]:
+        if not keyed:
+            return by_text(g, p)
+        gk, pk = [_row_rate(x) for x in g], [_row_rate({k: flat(v) for k, v in x.items()}) for x in p]
+        free: dict[str, list[int]] = {}
+        for j, k in enumerate(pk):
+            if k:
+                free.setdefault(k, []).append(j)
+        out = [{"gt_row": i, "pred_row": free[k].pop(0), "score": 1.0, "matched_on": "rate"} for i, k in enumerate(gk) if k and free.get(k)]
+        gs, ps = [i for i, k in enumerate(gk) if not k], [j for j, k in enumerate(pk) if not k]
+        rest = by_text([g[i] for i in gs], [p[j] for j in ps])
+        return sorted(out + [x | {"gt_row": gs[x["gt_row"]], "pred_row": ps[x["pred_row"]]} for x in rest], key=lambda x: x["gt_row"])
+
     @F.pandas_udf(PAIRS)
     def run(gs: pd.Series, ps: pd.Series) -> pd.Series:
         return pd.Series([pair(rows(g), rows(p)) for g, p in zip(gs, ps, strict=True)])
@@ -189,8 +213,3 @@ def charge_line_states(truth: Column, pred: Column) -> Column:
     lines = "array<struct<rate:decimal(38,2),value:decimal(38,2)>>"
     start = F.struct(F.coalesce(pred.cast(lines), F.array().cast(lines)).alias("free"), F.array().cast("array<string>").alias("states"))
     return F.aggregate(F.coalesce(truth.cast(lines), F.array().cast(lines)), start, take, lambda acc: acc["states"])
-
-
-def rate_of(key: Column, percentage: Column) -> Column:
-    """The rate a row carries: in its key, else in its percentage."""
-    return F.coalesce(numbers.percent(key), percentage)

@@ -9,11 +9,11 @@ from pyspark.sql import functions as F
 
 from fieldscore.functions import dates, numbers, text
 from fieldscore.functions.parsers import parse
-from fieldscore.operators import align, coverage, groundtruth, runs, sampling
+from fieldscore.operators import align, coverage, groundtruth, rows, runs, sampling
 from fieldscore.operators.verdicts import current_records, predictions
 from fieldscore.plans import sql_parts as S
 from fieldscore.plans.analog import annotations, annotations_sql
-from fieldscore.session import checkpoint_dir, table
+from fieldscore.session import checkpoint_dir, cut, table
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -237,6 +237,49 @@ def hungarian_alignment(spark, d):  # noqa: ANN001, ANN201
     return a.select("run_id", "doc_id", "arm", size("gt_rows").alias("n_gt"), F.when(F.col("pred_rows").startswith("["), size("pred_rows")).otherwise(F.lit(0)).alias("n_pred"), F.size("pairs").alias("n_matched"))
 
 
+def _sections(spark: SparkSession, d: str) -> DataFrame:
+    """The line items of every arm beside the printed ones."""
+    return rows.aligned(_receipt_rows(spark, d).select("run_id", "doc_id", "arm", F.lit("lineItems").alias("section"), "gt_rows", "pred_rows"))
+
+
+def _cells(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    a = cut(_sections(spark, d))
+    return a, rows.row_cells(a, {"lineItems": rows.LINE_ITEM_TARGETS})
+
+
+@query()
+def row_cells(spark, d):  # noqa: ANN001, ANN201
+    """Every printed cell of every aligned line item with the leaf that answers it best."""
+    return _cells(spark, d)[1]
+
+
+@query()
+def sections_by_path(spark, d):  # noqa: ANN001, ANN201
+    """Rows, whole rows, whole tables and cells of each repeated section by arm."""
+    a, cells = _cells(spark, d)
+    return rows.sections_by_path(rows.section_documents(a, cells))
+
+
+@query()
+def per_cell_accuracy(spark, d):  # noqa: ANN001, ANN201
+    return rows.per_cell(_cells(spark, d)[1])
+
+
+@query()
+def line_item_review(spark, d):  # noqa: ANN001, ANN201
+    """Every printed cell with each arm's verdict, rows that no arm has included."""
+    return rows.line_item_review(*_cells(spark, d))
+
+
+@query()
+def charge_lines(spark, d):  # noqa: ANN001, ANN201
+    """The printed tax of each record against the charge lines of each arm."""
+    gt = current_records(table(spark, d, "gt_records")).select("doc_id", F.try_element_at("gt", F.lit("totals.taxName")).alias("name"), F.try_element_at("gt", F.lit("totals.taxAmount")).alias("amount")).filter("amount is not null and amount <> '__ABSENT__'")
+    line = F.struct(text.charge_rate(F.col("name")).cast("decimal(38,2)").alias("rate"), numbers.money(F.col("amount")).cast("decimal(38,2)").alias("value"), F.lit(False).alias("scalar"))
+    both = predictions(table(spark, d, "doc_results")).join(gt.select("doc_id", F.array(line).alias("truth_lines")), "doc_id").withColumn("pred_lines", rows.charge_lines(F.col("payload")))
+    return rows.charge_line_totals(rows.charge_line_scores(both))
+
+
 @query()
 def line_item_summary(spark, d):  # noqa: ANN001, ANN201
     return align.section_summary(hungarian_alignment(spark, d), ["arm"])
