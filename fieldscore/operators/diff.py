@@ -29,12 +29,13 @@ class PayloadForm:
     """How a record's JSON is read: named payloads at the top, wrapper keys that don't count, repeated sections.
 
     ``sections`` are dotted paths below a payload (``[]`` after a repeated one); an object in the place of such an
-    array is its only element. Names that start with ``hidden`` don't count.
+    array is its only element. Names that start with ``hidden`` don't count. JSON text held in a string is read, if ``opened``.
     """
 
     wrappers: tuple[str, ...] = ("invoiceOutputData", "receiptOutputData")
     sections: tuple[str, ...] = ("lineItems", "lineItems[].modifiers", "totals.otherCharges", "totals.taxes")
     hidden: str = "_"
+    opened: bool = True
 
 
 def _number(text: str) -> object:
@@ -101,7 +102,7 @@ class Reader:
         v = read(text)
         if not isinstance(v, dict):
             return {}
-        deep = bool(text and _MAY_HOLD.search(text.replace('""', "")))
+        deep = self.form.opened and bool(text and _MAY_HOLD.search(text.replace('""', "")))
         out = {}
         for name, p in v.items():
             if name.startswith(self.form.hidden):

@@ -24,6 +24,62 @@ def merge_runs(results: DataFrame, manifests: DataFrame, run_ids: list[str], to:
     return merged.withColumnRenamed("run_id", "source_run").withColumn("run_id", F.lit(to))
 
 
+def merged_manifest(manifests: DataFrame, run_ids: list[str], to: str) -> DataFrame:
+    """One manifest of several runs: costs and tokens summed, the sources named, and what they don't agree on."""
+    m = manifests.filter(F.col("run_id").isin(*run_ids))
+    tokens = m.select(F.explode("tokens").alias("k", "n")).groupBy("k").agg(F.sum("n").alias("n")).agg(F.map_from_entries(F.collect_list(F.struct("k", "n"))).alias("tokens"))  # a handful of kinds
+    differ = F.array_compact(F.array(*[F.when(F.count_distinct(F.coalesce(F.col(c).cast("string"), F.lit(""))) > 1, F.lit(c)) for c in ("doc_type", "dataset", "field_map_version", "tail_version", "image_prep")]))
+    cost = F.sum(F.round("total_cost_usd", 6).cast("decimal(18,6)")).alias("total_cost_usd")
+    return m.agg(F.lit(to).alias("run_id"), cost, F.array_sort(F.collect_set("run_id")).alias("sources"), differ.alias("mismatch"), F.count("*").alias("n_runs")).join(tokens, how="left")
+
+
+def derive_arms(results: DataFrame, stage_outputs: DataFrame, arms: dict[str, str]) -> DataFrame:
+    """(run_id, doc_id, arm, data) of ok results: their own arms, and one for each stage named in ``arms`` (arm -> stage) from
+    its current dump. A dump without data gives none; a name that a result has itself is an error downstream, not here."""
+    keys = ["run_id", "doc_id"]
+    cur = current_rows(results.select(*keys, "ok", "arms", "written_at"), keys, "written_at", [F.xxhash64("arms")]).filter("ok")
+    own = cur.select(*keys, F.explode(F.try_variant_get(F.try_parse_json("arms"), "$", "map<string,variant>")).alias("arm", "v")).filter(~F.col("arm").startswith("_")).select(*keys, "arm", F.to_json("v").alias("data"))
+    of = F.create_map(*[F.lit(x) for arm, stage in arms.items() for x in (stage, arm)])
+    dumps = stage_outputs.filter(F.col("stage").isin(*arms.values())).select(*keys, "stage", "data", "received_at")
+    last = current_rows(dumps, [*keys, "stage"], "received_at", [F.xxhash64("data")]).filter("data is not null")
+    return own.unionByName(last.join(cur.select(*keys), keys, "left_semi").select(*keys, F.try_element_at(of, F.col("stage")).alias("arm"), "data"))
+
+
+def backfill_arm(arms: DataFrame, source: str, to: str, computed: DataFrame) -> DataFrame:
+    """``arms`` (run_id, doc_id, arm, data) with the arm ``to`` from ``computed`` (run_id, doc_id, data): all or nothing, so a run whose
+    ``source`` has a document that wasn't computed is refused, and so is an arm that is there already."""
+    keys = ["run_id", "doc_id"]
+    if not arms.filter(F.col("arm") == to).isEmpty():
+        raise ValueError(f"there is an arm {to} already")
+    missing = arms.filter(F.col("arm") == source).join(computed.filter("data is not null").select(*keys), keys, "left_anti").limit(3).collect()
+    if missing:
+        raise ValueError(f"not computed for {[tuple(r[k] for k in keys) for r in missing]}")
+    there = computed.join(arms.filter(F.col("arm") == source).select(*keys), keys, "left_semi")
+    return arms.unionByName(there.select(*keys, F.lit(to).alias("arm"), "data"))
+
+
+def rebuilt(arms: DataFrame, again: DataFrame, arm: str = "FINAL") -> tuple[DataFrame, DataFrame]:
+    """``arms`` with ``arm`` from ``again`` (run_id, doc_id, data), documents that weren't made again dropped from it, and how many
+    leaves of what kind changed by field."""
+    keys = ["run_id", "doc_id"]
+    old = arms.filter(F.col("arm") == arm).select(*keys, F.col("data").alias("payload_json"))
+    new = again.filter("data is not null").select(*keys, F.col("data").alias("payload_json"))
+    changes = leaf_changes(old.join(new.select(*keys), keys, "left_semi"), new, keys)
+    field = F.regexp_replace("leaf_path", r"\[\d+\]", "[]")
+    histogram = changes.groupBy(field.alias("field"), "change").agg(F.count("*").alias("n"), F.count_distinct(*keys).alias("n_docs"))
+    return arms.filter(F.col("arm") != arm).unionByName(new.select(*keys, F.lit(arm).alias("arm"), F.col("payload_json").alias("data"))), histogram
+
+
+def provenance_trace(doc_id: str, gt_records: DataFrame, results: DataFrame, stage_outputs: DataFrame) -> DataFrame:
+    """(layer, run_id, name, at, value): one document through every layer: its deliveries of truth, its stages, its results."""
+    none = F.lit(None).cast("string")
+    d = F.col("doc_id") == doc_id
+    truth = gt_records.filter(d).select(F.lit("truth").alias("layer"), none.alias("run_id"), F.lit("gt").alias("name"), F.col("received_at").cast("string").alias("at"), F.to_json("gt").alias("value"))
+    staged = stage_outputs.filter(d).select(F.lit("stage"), "run_id", F.concat_ws("/", "stage", "arm"), F.col("received_at").cast("string"), "data")
+    made = results.filter(d).select(F.lit("result"), "run_id", F.when(F.col("ok"), "ok").otherwise(F.concat_ws(": ", F.lit("failed"), "error_stage")), F.col("written_at").cast("string"), "arms")
+    return truth.union(staged).union(made)
+
+
 def run_overlap(results: DataFrame) -> DataFrame:
     """By run: ok documents, and those that another run has too."""
     docs = results.filter("ok").select("run_id", "doc_id").distinct()

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from fieldscore.functions import dates, numbers, text
 from fieldscore.functions.parsers import parse
-from fieldscore.operators import align, coverage, groundtruth, rows, runs, sampling
+from fieldscore.operators import adapters, align, coverage, diagnostics, groundtruth, rows, runs, sampling, stages
 from fieldscore.operators.verdicts import current_records, predictions
 from fieldscore.plans import sql_parts as S
 from fieldscore.plans.analog import annotations, annotations_sql
@@ -276,7 +276,7 @@ def charge_lines(spark, d):  # noqa: ANN001, ANN201
     """The printed tax of each record against the charge lines of each arm."""
     gt = current_records(table(spark, d, "gt_records")).select("doc_id", F.try_element_at("gt", F.lit("totals.taxName")).alias("name"), F.try_element_at("gt", F.lit("totals.taxAmount")).alias("amount")).filter("amount is not null and amount <> '__ABSENT__'")
     line = F.struct(text.charge_rate(F.col("name")).cast("decimal(38,2)").alias("rate"), numbers.money(F.col("amount")).cast("decimal(38,2)").alias("value"), F.lit(False).alias("scalar"))
-    both = predictions(table(spark, d, "doc_results")).join(gt.select("doc_id", F.array(line).alias("truth_lines")), "doc_id").withColumn("pred_lines", rows.charge_lines(F.col("payload")))
+    both = predictions(table(spark, d, "doc_results")).join(gt.select("doc_id", F.array(line).alias("truth_lines")), "doc_id").withColumn("pred_lines", rows.charge_lines(F.col("payload"), ("totals.taxes",)))
     return rows.charge_line_totals(rows.charge_line_scores(both))
 
 
@@ -524,3 +524,57 @@ def streaming_verdicts(spark, d):  # noqa: ANN001, ANN201
     from fieldscore.streaming.verdict_stream import run_to_table
 
     return run_to_table(spark, f"{d}/doc_results.parquet", table(spark, d, "gt_records")).groupBy("arm", "path", "rule", "state").agg(F.count("*").alias("n"))
+
+
+@query()
+def gt_invoice_truth(spark, d):  # noqa: ANN001, ANN201
+    """Ground truth of annotations by the full rule table, parties and several tax rates included, counted by field and state."""
+    ann = annotations(spark, d).groupBy("doc_id", "template").agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("label", "raw")))).alias("annotation"))  # a document's labels
+    named = ann.select(F.concat_ws("_", F.col("template").cast("string"), F.col("doc_id").cast("string")).alias("doc_id"), "annotation")
+    return adapters.invoice_truth(named)[0].groupBy("path", "state").agg(F.count("*").alias("n"))
+
+
+@query()
+def stage_replay(spark, d):  # noqa: ANN001, ANN201
+    """The pipeline run again over all documents with recorded outputs only: how each stage of each document ends."""
+    outputs = table(spark, d, "stage_outputs")
+    plan = outputs.select("doc_id").distinct()
+    done = stages.run_plan(plan, {}, "replay", ["RAW"], cache=stages.recorded(outputs.withColumn("stage", F.when(F.col("stage") == "extract", "extraction_postprocessing").otherwise(F.col("stage"))).unionByName(outputs.filter("stage = 'extract'"))))
+    return stages.stage_dumps(done).groupBy("stage", "status").agg(F.count("*").alias("n"))
+
+
+@query()
+def derived_arm_sizes(spark, d):  # noqa: ANN001, ANN201
+    """Documents of every arm, those derived from stage dumps included."""
+    arms = runs.derive_arms(table(spark, d, "doc_results"), table(spark, d, "stage_outputs"), {"EXTRACT": "extract", "REFINED": "refine"})
+    return arms.groupBy("arm").agg(F.count("*").alias("n"), F.count_distinct("doc_id").alias("n_docs"))
+
+
+@query()
+def numeric_census(spark, d):  # noqa: ANN001, ANN201
+    """Numeric values of every arm, and how many of them are normalised."""
+    p = predictions(table(spark, d, "doc_results")).select("run_id", "doc_id", "arm", F.to_json("payload").alias("payload_json"))
+    return diagnostics.numeric_census(p, ["run_id", "doc_id", "arm"])
+
+
+@query()
+def wire_defects(spark, d):  # noqa: ANN001, ANN201
+    """Lists leaked into values, two taxes in one amount, and numbers that disagree with themselves, by arm."""
+    p = predictions(table(spark, d, "doc_results")).select("run_id", "doc_id", "arm", F.to_json("payload").alias("payload_json"))
+    return diagnostics.wire_defects(p, ["run_id", "doc_id", "arm"])
+
+
+@query("SELECT 'all' AS run_id, CAST(sum(CAST(round(total_cost_usd, 6) AS DECIMAL(18,6))) AS DOUBLE) AS total_cost_usd, count(*) AS n_runs, count(DISTINCT run_id) AS n_sources FROM runs")
+def merged_manifest(spark, d):  # noqa: ANN001, ANN201
+    """All runs as one: their cost, and from how many."""
+    m = table(spark, d, "runs")
+    ids = [r[0] for r in m.select("run_id").distinct().limit(10_000).collect()]  # the manifests of a project
+    return runs.merged_manifest(m, ids, "all").select("run_id", F.col("total_cost_usd").cast("double").alias("total_cost_usd"), "n_runs", F.size("sources").alias("n_sources"))
+
+
+@query()
+def score_summary(spark, d):  # noqa: ANN001, ANN201
+    """The summary of all runs scored as one, by arm."""
+    from fieldscore.operators.score import score_run
+
+    return score_run(table(spark, d, "gt_records"), table(spark, d, "doc_results"), allow_arm_mismatch=True).tables["summary"]
