@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -119,28 +122,45 @@ def cluster_counts(verdicts: DataFrame, by: tuple[str, ...] = ("arm", "path")) -
 def bootstrap_intervals(verdicts: DataFrame, by: tuple[str, ...] = ("arm", "path"), options: ScoringOptions = ScoringOptions(), least_clusters: int = 2, least_rows: int = 50) -> DataFrame:
     """95 % intervals of the pooled accuracy when clusters are drawn with replacement.
 
-    Draws run over the clusters' counts, so a group of any number of rows costs its clusters times the iterations. The
-    clusters stand in the order of their name and the draws are those of a seeded Mersenne twister, so the result
-    doesn't depend on the partitioning. Null with fewer than ``least_clusters`` clusters or ``least_rows`` rows.
+    In each draw a cluster comes as often as a Poisson number of mean 1 says, which its name and the seed tell, so clusters
+    are drawn where they are: a task sends the sums of its clusters in every draw, one row a group, however many
+    clusters a group has (where each document is one, it has a cluster a document). The result doesn't depend on the
+    partitioning. Null with fewer than ``least_clusters`` clusters or ``least_rows`` rows.
     """
     counts = cluster_counts(verdicts, by).filter("den > 0")
     seed, iters = options.bootstrap_seed, options.bootstrap_iterations
     kinds = dict(counts.dtypes)
-    schema = ", ".join(f"{k} {kinds[k]}" for k in by) + ", n_clusters int, n_rows long, low double, high double"
-
-    def draw(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("cluster_id")
-        num, den = pdf["num"].to_numpy(), pdf["den"].to_numpy()
-        n, rows = len(pdf), int(den.sum())
+    keys = ", ".join(f"{k} {kinds[k]}" for k in by)
+
+    def weights(names: pd.Series) -> np.ndarray:
+        starts = [int.from_bytes(hashlib.blake2b(f"{seed}:{n}".encode(), digest_size=16).digest(), "little") for n in names]
+        return np.stack([np.random.Generator(np.random.Philox(s)).poisson(1.0, iters) for s in starts]) if starts else np.zeros((0, iters), np.int64)
+
+    def drawn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums: dict[tuple, list] = {}
+        for b in batches:
+            names, at = np.unique(b["cluster_id"].astype(str).to_numpy(), return_inverse=True)
+            w = weights(pd.Series(names))
+            for key, g in b.assign(__at=at).groupby(list(by), dropna=False):
+                x = w[g["__at"].to_numpy()]
+                held = sums.setdefault(key, [0, 0, np.zeros(iters, np.int64), np.zeros(iters, np.int64)])
+                held[0] += len(g)
+                held[1] += int(g["den"].sum())
+                held[2] += g["num"].to_numpy() @ x
+                held[3] += g["den"].to_numpy() @ x
+        yield pd.DataFrame([[*k, *v] for k, v in sums.items()], columns=[*by, "n_clusters", "n_rows", "num", "den"])
+
+    def interval(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        n, rows = int(pdf["n_clusters"].sum()), int(pdf["n_rows"].sum())
+        num, den = (np.sum(np.stack(pdf[c].to_list()), axis=0) for c in ("num", "den"))
         low = high = None
         if n >= least_clusters and rows >= least_rows:
-            rng = np.random.Generator(np.random.MT19937(seed))
-            drawn = (rng.integers(0, n, (min(k, iters - a), n)) for k in [max(1, 2_000_000 // n)] for a in range(0, iters, k))
-            rates = np.sort(np.concatenate([num[i].sum(1) / den[i].sum(1) for i in drawn]))
-            low, high = float(rates[int(0.025 * iters)]), float(rates[int(0.975 * iters) - 1])
+            rates = np.sort(num[den > 0] / den[den > 0])  # draws without any cluster say nothing
+            low, high = float(rates[int(0.025 * len(rates))]), float(rates[int(0.975 * len(rates)) - 1])
         return pd.DataFrame([[*key, n, rows, low, high]], columns=[*by, "n_clusters", "n_rows", "low", "high"])
 
-    return counts.groupBy(*by).applyInPandas(draw, schema)
+    partial = counts.mapInPandas(drawn, f"{keys}, n_clusters long, n_rows long, num array<long>, den array<long>")
+    return partial.groupBy(*by).applyInPandas(interval, f"{keys}, n_clusters int, n_rows long, low double, high double")  # a row a task and group
 
 
 def no_tax_slice(verdicts: DataFrame) -> DataFrame:

@@ -12,6 +12,7 @@ from fieldscore.functions.parsers import parse
 from fieldscore.operators import adapters, align, coverage, diagnostics, groundtruth, rows, runs, sampling, stages
 from fieldscore.operators.verdicts import current_records, predictions
 from fieldscore.plans import sql_parts as S
+from fieldscore.plans import training_core as T
 from fieldscore.plans.analog import annotations, annotations_sql
 from fieldscore.session import checkpoint_dir, cut, table
 
@@ -30,6 +31,11 @@ def query(sql: str | None = None):  # noqa: ANN201
 
 
 ANN = "WITH " + annotations_sql()
+# the leaves of each arm of current ok results: (run_id, doc_id, arm, p, leaf)
+_LEAVES = f"""WITH RECURSIVE {T._side_sql("r", "doc_results", "written_at", "ok")},
+  l AS MATERIALIZED (SELECT run_id, doc_id, regexp_extract(path, '^[^.\\[]+') AS arm, substr(path, length(regexp_extract(path, '^[^.\\[]+')) + 2) AS p, leaf FROM r_leaves)"""
+_ARM_PAIR = """{b} AS (SELECT run_id, doc_id, p, leaf FROM l WHERE arm = '{x}'), {a} AS (SELECT run_id, doc_id, p, leaf FROM l WHERE arm = '{y}')"""
+_SAYS = "NOT regexp_full_match({c}, 'lnull|s\\s*')"
 
 
 def _money_texts(spark: SparkSession, d: str) -> DataFrame:
@@ -323,7 +329,10 @@ def keyset_ids(spark, d):  # noqa: ANN001, ANN201
     return coverage.keyset_ids(table(spark, d, "gt_records"))
 
 
-@query()
+@query("""WITH c AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY received_at DESC NULLS LAST) AS rn FROM gt_records) WHERE rn = 1)
+  SELECT doc_id, 'truth not annotated' AS fault FROM c WHERE len(list_filter(map_keys(gt), lambda k: NOT list_contains(annotated_fields, k))) > 0
+  UNION ALL SELECT doc_id, 'annotated and excluded' FROM c WHERE len(list_intersect(annotated_fields, map_keys(excluded_fields))) > 0
+  UNION ALL SELECT doc_id, 'no cluster' FROM c WHERE coalesce(trim(cluster_id), '') = '' UNION ALL SELECT doc_id, 'absolute image path' FROM c WHERE starts_with(image_path, '/')""")
 def record_faults(spark, d):  # noqa: ANN001, ANN201
     return coverage.record_faults(table(spark, d, "gt_records"))
 
@@ -447,7 +456,7 @@ def cost_rollup(spark, d):  # noqa: ANN001, ANN201
     return runs.cost_rollup(table(spark, d, "doc_results"))
 
 
-@query()
+@query(f"""SELECT run_id, round((coalesce(sum(tokens['input']), 0) * 1.25 + (coalesce(sum(tokens['output']), 0) + coalesce(sum(tokens['thinking']), 0)) * 10.0) / 1e6, 6) AS cost FROM {_CURRENT.format(ties="cost_usd, attempts, tokens['total']")} GROUP BY run_id""")
 def cost_projection(spark, d):  # noqa: ANN001, ANN201
     return runs.priced(table(spark, d, "doc_results"), 1.25, 10.0)
 
@@ -482,12 +491,16 @@ def _arm_json(spark: SparkSession, d: str, arm: str) -> DataFrame:
     return predictions(table(spark, d, "doc_results")).filter(F.col("arm") == arm).select("run_id", "doc_id", F.to_json("payload").alias("payload_json"))
 
 
-@query()
+@query(f"""{_LEAVES}, {_ARM_PAIR.format(b="b", a="a", x="RAW", y="RAW_POSTPROCESSED")}, n AS (SELECT DISTINCT run_id, doc_id FROM r_arms WHERE path = 'RAW_POSTPROCESSED' AND json_type(v) IN ('OBJECT', 'ARRAY'))
+  SELECT regexp_replace(b.p, '\\[\\d+\\]', '[]', 'g') AS field, count(*) AS n, count(DISTINCT (b.run_id, b.doc_id)) AS n_docs FROM b SEMI JOIN n USING (run_id, doc_id)
+  LEFT JOIN a ON a.run_id = b.run_id AND a.doc_id = b.doc_id AND a.p = b.p AND {_SAYS.format(c="a.leaf")} WHERE {_SAYS.format(c="b.leaf")} AND a.p IS NULL GROUP BY 1""")
 def introduced_nulls(spark, d):  # noqa: ANN001, ANN201
     return runs.introduced_nulls(_arm_json(spark, d, "RAW"), _arm_json(spark, d, "RAW_POSTPROCESSED"), ["run_id", "doc_id"])
 
 
-@query()
+@query(f"""{_LEAVES}, {_ARM_PAIR.format(b="b", a="a", x="RAW_POSTPROCESSED", y="FINAL")}
+  SELECT regexp_replace(p, '\\[\\d+\\]', '[]', 'g') AS field, CASE WHEN b.leaf IS NULL THEN 'added' WHEN a.leaf IS NULL THEN 'dropped' ELSE 'changed' END AS change, count(*) AS n
+  FROM b FULL JOIN a USING (run_id, doc_id, p) WHERE b.leaf IS DISTINCT FROM a.leaf GROUP BY ALL""")
 def leaf_changes(spark, d):  # noqa: ANN001, ANN201
     c = runs.leaf_changes(_arm_json(spark, d, "RAW_POSTPROCESSED"), _arm_json(spark, d, "FINAL"), ["run_id", "doc_id"])
     return c.groupBy(F.regexp_replace("leaf_path", r"\[\d+\]", "[]").alias("field"), "change").agg(F.count("*").alias("n"))
@@ -500,7 +513,8 @@ def difference_causes(spark, d):  # noqa: ANN001, ANN201
     return c.groupBy("cause", "diff_kind").agg(F.count("*").alias("n"))
 
 
-@query()
+@query(f"""{T._NODES}, ok AS (SELECT run_id, doc_id FROM (SELECT run_id, doc_id, ok, row_number() OVER (PARTITION BY run_id, doc_id ORDER BY written_at DESC NULLS LAST, arms, judge) AS rn FROM doc_results) WHERE rn = 1 AND ok)
+  SELECT e->>'issue_type' AS issue_type, count(*) AS n, count(DISTINCT doc_id) AS n_docs FROM nodes SEMI JOIN ok USING (run_id, doc_id) WHERE tab = 'issues' GROUP BY ALL""")
 def judge_issue_counts(spark, d):  # noqa: ANN001, ANN201
     from fieldscore.operators.metrics import judge_flags
 

@@ -84,8 +84,8 @@ def score_by_run(spark, d):  # noqa: ANN001, ANN201
 
 
 def text_scores(spark, d):  # noqa: ANN001, ANN201
-    """Similarity scores of names and addresses whose forms are plain ASCII, where bytes and characters are the same."""
-    v = _v(spark, d).filter(F.col("rule").isin("text", "address") & (F.col("truth") != "__ABSENT__") & F.col("truth").rlike(r"^\p{ASCII}*$") & F.coalesce(F.col("p_raw").rlike(r"^\p{ASCII}*$"), F.lit(True)))
+    """Similarity scores of all printed names and addresses. SQL engines count bytes or normalise otherwise, so there is no twin."""
+    v = _v(spark, d).filter(F.col("rule").isin("text", "address") & (F.col("truth") != "__ABSENT__"))
     return v.select("run_id", "arm", "doc_id", "path", F.round("score", 6).alias("score"))
 
 
@@ -173,9 +173,6 @@ ORACLES = {
       LEFT JOIN (SELECT arm, {S.ACCURACY} AS taxed_accuracy, count(*) AS n_taxed FROM verdicts WHERE NOT no_tax GROUP BY arm) USING (arm)"""),
     "cluster_sufficient_stats": S.over_verdicts(f"SELECT arm, path, cluster_id, {S.n_in('correct')} AS num, {S.n_in('correct', 'wrong', 'missing')} AS den FROM verdicts GROUP BY ALL"),
     "score_by_run": S.over_verdicts(f"SELECT run_id, arm, count(*) AS n, {S.ACCURACY} AS accuracy FROM verdicts GROUP BY ALL"),
-    "text_scores": S.over_verdicts(f"""SELECT run_id, arm, doc_id, path, round(CASE WHEN pv IS NULL OR json_type(pv) = 'NULL' OR coalesce(trim(raw) = '', false) THEN 0.0
-      WHEN rule = 'text' THEN {S.anls('p_txt', 't_txt')} ELSE greatest({S.anls('p_adr', 't_adr')}, {S.anls('p_alt', 't_adr')}) END, 6) AS score
-      FROM verdicts WHERE rule IN ('text', 'address') AND truth <> '__ABSENT__' AND regexp_full_match(truth, '[\\x00-\\x7F]*') AND coalesce(regexp_full_match(raw, '[\\x00-\\x7F]*'), true)"""),
     "review_pivot": S.over_verdicts("""SELECT run_id, doc_id, path, truth, max(state) FILTER (arm = 'RAW') AS raw_state, max(state) FILTER (arm = 'RAW_POSTPROCESSED') AS raw_pp_state, max(state) FILTER (arm = 'FINAL') AS final_state,
       CASE WHEN bool_or(state IN ('correct', 'correct_null')) FILTER (arm = 'RAW') = false AND bool_or(state IN ('correct', 'correct_null')) FILTER (arm = 'RAW_POSTPROCESSED') THEN 'FIXED'
            WHEN bool_or(state IN ('correct', 'correct_null')) FILTER (arm = 'RAW') AND bool_or(state IN ('correct', 'correct_null')) FILTER (arm = 'RAW_POSTPROCESSED') = false THEN 'HARMED' ELSE '' END AS raw_to_pp,

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,14 +23,14 @@ def write_records(df: DataFrame, path: str, mode: str = "errorifexists") -> None
 
 def read_runs(spark: SparkSession, folder: str) -> DataFrame:
     """(run_id, doc_id, result): a run's files ``<run>/raw/<doc>.json``, each read whole as a variant."""
-    f = spark.read.option("wholetext", True).text(f"{folder}/*/raw/*.json")
+    f = spark.read.text(f"{folder}/*/raw/*.json", wholetext=True)
     name = F.input_file_name()
     return f.select(F.regexp_extract(name, r"([^/]+)/raw/[^/]+$", 1).alias("run_id"), F.regexp_extract(name, r"([^/]+)\.json$", 1).alias("doc_id"), F.try_parse_json("value").alias("result"))
 
 
 def read_leaf_paths(spark: SparkSession, path: str) -> dict[str, str]:
     """path -> type from a tab-separated inventory; comments and blank lines don't count."""
-    rows = spark.read.option("wholetext", True).text(path).first()
+    rows = spark.read.text(path, wholetext=True).first()
     lines = [x for x in (rows[0] if rows else "").splitlines() if x.strip() and not x.startswith("#")]
     return dict(x.split("\t", 1) for x in lines)
 
@@ -51,16 +53,63 @@ def image_kind(content: Column) -> Column:
 
 
 def regrouped_lines(lines: DataFrame) -> DataFrame:
-    """Word-level lines (doc_id, group_id, sub_group_id, category, words) to printed rows: the words that aren't a key,
-    joined by spaces, as one map of category -> text a group."""
+    """Word-level lines (doc_id, group_id, sub_group_id, category, words, and pos, their place on the page, if there is one) to
+    printed rows: the words that aren't a key, in page order, joined by spaces, as one map of category -> text a group."""
     words = F.array_join(F.transform(F.filter("words", lambda w: ~F.coalesce(w["is_key"].cast("boolean"), F.lit(False))), lambda w: w["text"]), " ")
-    cells = lines.select("doc_id", "group_id", "sub_group_id", "category", words.alias("text")).filter("text <> ''")
-    by = cells.groupBy("doc_id", "group_id", "sub_group_id", "category").agg(F.array_join(F.array_sort(F.collect_list("text")), " ").alias("text"))
+    at = F.col("pos") if "pos" in lines.columns else F.monotonically_increasing_id()
+    cells = lines.select("doc_id", "group_id", "sub_group_id", "category", at.alias("pos"), words.alias("text")).filter("text <> ''")
+    by = cells.groupBy("doc_id", "group_id", "sub_group_id", "category").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "text"))), lambda x: x["text"]), " ").alias("text"))
     return by.groupBy("doc_id", "group_id", "sub_group_id").agg(F.map_from_entries(F.collect_list(F.struct("category", "text"))).alias("row"))
 
 
+def ids_digest(ids: DataFrame, column: str = "doc_id") -> str:
+    """A digest of a set of ids, whatever their order and number: the sum and the exclusive or of each one's own digest."""
+    own = F.conv(F.substring(F.sha2(column, 256), 1, 15), 16, 10).cast("bigint")
+    r = ids.select(column).filter(F.col(column).isNotNull()).distinct().agg(F.count("*"), F.sum(own.cast("decimal(38,0)")), F.bit_xor(F.xxhash64(F.lit("ids"), column))).first()
+    return hashlib.sha256(f"{r[0]}:{r[1]}:{r[2]}".encode()).hexdigest()
+
+
 def write_plan(spark: SparkSession, ids: DataFrame, path: str, header: dict[str, str]) -> None:
     """A sampling plan with its provenance; an existing one is refused."""
-    digest = ids.agg(F.sha2(F.concat_ws("\n", F.array_sort(F.collect_list("doc_id"))), 256)).first()[0]
-    plan = ids.select("doc_id").withColumns({k: F.lit(v) for k, v in header.items()}).withColumn("ids_sha256", F.lit(digest))
+    plan = ids.select("doc_id").withColumns({k: F.lit(v) for k, v in header.items()}).withColumn("ids_sha256", F.lit(ids_digest(ids)))
     plan.write.mode("errorifexists").json(path)
+
+
+def read_annotations(spark: SparkSession, pattern: str, split: bool = False) -> DataFrame:
+    """(doc_id, annotation) of annotation files (``.../*.json``), each read whole; the id is the file's stem, with ``split`` the
+    split's folder before it: ``<split>-<stem>`` of ``<split>/annotations/<stem>.json``."""
+    f = spark.read.text(pattern, wholetext=True)
+    stem = F.regexp_extract(F.input_file_name(), r"([^/]+)\.json$", 1)
+    of = split_name(F.regexp_extract(F.input_file_name(), r"([^/]+)/annotations/[^/]+$", 1))
+    return f.select((F.concat_ws("-", of, stem) if split else stem).alias("doc_id"), F.col("value").alias("annotation"))
+
+
+def read_field_map(spark: SparkSession, path: str) -> DataFrame:
+    """(label, status, path, parser) of a reviewed field map in YAML; needs the yaml package. A label without targets has one row."""
+    import yaml
+
+    whole = spark.read.text(path, wholetext=True).first()
+    rows = []
+    for r in (yaml.safe_load(whole[0]) or {}).get("labels", []) if whole else []:
+        for label in r.get("labels") or [r.get("label") or r.get("label_regex")]:
+            for t in r.get("targets") or [{}]:
+                rows.append((label, r.get("status"), t.get("path"), t.get("parser")))
+    return spark.createDataFrame(rows, "label string, status string, path string, parser string")
+
+
+def image_bytes(value: Column) -> Column:
+    """The bytes of an image given as bytes in base64, at times with a data prefix; null where it is none."""
+    plain = F.regexp_replace(F.regexp_replace(value, r"^data:[^,]*,", ""), r"\s+", "")
+    return F.when(plain.rlike(r"^[A-Za-z0-9+/]+={0,2}$") & (F.length(plain) % 4 == 0), F.unbase64(plain))
+
+
+def materialise(docs: DataFrame, path: str, key: str = "doc_id", expected: int | None = None) -> int:
+    """Writes documents as JSON lines and returns how many; repeated ids are an error before anything is written, and so is
+    a number that isn't the expected one. An existing folder is refused."""
+    if twice := docs.groupBy(key).count().filter("count > 1").limit(3).collect():
+        raise ValueError(f"repeated ids {[r[0] for r in twice]}")
+    n = docs.count()
+    if expected is not None and n != expected:
+        raise ValueError(f"{n} documents, not {expected}")
+    docs.write.mode("errorifexists").json(path)
+    return n
