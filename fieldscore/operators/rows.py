@@ -42,10 +42,11 @@ def list_size(rows: Column) -> Column:
     return F.when(F.ltrim(rows).startswith("["), F.coalesce(F.size(F.from_json(rows, "array<string>")), F.lit(0))).otherwise(F.lit(0))
 
 
-def aligned(sections: DataFrame, keyed: tuple[str, ...] = ()) -> DataFrame:
+def aligned(sections: DataFrame, keyed: tuple[str, ...] = (), options: ScoringOptions = ScoringOptions()) -> DataFrame:
     """Adds ``pairs`` to (run_id, doc_id, arm, section, gt_rows, pred_rows). Sections in ``keyed`` pair rows that carry a
     rate by it, the n-th with the n-th; a printed row whose rate nobody has stays alone; rows without one pair by text."""
-    by_text, by_rate = align_rows(F.col("gt_rows"), F.col("pred_rows")), align_rows(F.col("gt_rows"), F.col("pred_rows"), gt_text=("key", "keyAlt"), pred_text=("key",), keyed=True)
+    by_text = align_rows(F.col("gt_rows"), F.col("pred_rows"), threshold=options.anls_threshold)
+    by_rate = align_rows(F.col("gt_rows"), F.col("pred_rows"), gt_text=("key", "keyAlt"), pred_text=("key",), threshold=options.anls_threshold, keyed=True)
     return sections.withColumn("pairs", F.when(F.col("section").isin(*keyed), by_rate).otherwise(by_text) if keyed else by_text)
 
 

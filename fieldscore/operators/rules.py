@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import re
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 NUMERIC, DATE_ISO, DATE_RAW, IDENTIFIER, ENUM, BOOL, CURRENCY = "numeric", "date_iso", "date_raw", "identifier", "enum", "bool", "currency"
@@ -66,24 +66,47 @@ def leaf_inventory(doc_type: DocType) -> dict[str, str]:
     return out | {"lineItems[].description": "str", "lineItems[].itemCode": "str"} | {f"lineItems[].{x}": "numeric" for x in rows}
 
 
+@dataclass(frozen=True)
+class Leaf:
+    """What a rule is chosen by."""
+
+    path: str
+    declared: str
+    spec: DocType
+
+    @property
+    def name(self) -> str:
+        return self.path.rsplit(".", 1)[-1]
+
+
+# Which leaves have which rule; of several that fit the one further up holds.
+CHOICES: dict[str, tuple[Callable[[Leaf], bool], ...]] = {
+    CHARGE_LABEL: (lambda x: x.path in x.spec.charge_label_paths,),
+    NUMERIC: (lambda x: x.declared == "numeric",),
+    ENUM: (lambda x: x.declared.startswith("enum:"),),
+    BOOL: (lambda x: x.declared == "bool",),
+    CURRENCY: (lambda x: x.path == "currency",),
+    DATE_ISO: (lambda x: x.path.endswith("ISO"),),
+    DATE_RAW: (lambda x: x.name in x.spec.date_leaves,),
+    ADDRESS: (lambda x: x.name == "addressStructured", lambda x: x.path.endswith("addressStructured.address")),
+    PHONE: (lambda x: x.name == "phone",),
+    EMAIL: (lambda x: x.name == "email",),
+    IDENTIFIER: (lambda x: x.name in x.spec.identifier_leaves,),
+    TEXT_CONTAINED: (lambda x: x.name in x.spec.contained_leaves,),
+}
+
+
 def rule_for(path: str, declared: str, spec: DocType) -> str:
-    """The rule of a leaf by its declared type, then by its place; the first that fits."""
-    leaf = path.rsplit(".", 1)[-1]
-    order = (
-        (path in spec.charge_label_paths, CHARGE_LABEL),
-        (declared == "numeric", NUMERIC),
-        (declared.startswith("enum:"), ENUM),
-        (declared == "bool", BOOL),
-        (path == "currency", CURRENCY),
-        (path.endswith("ISO"), DATE_ISO),
-        (leaf in spec.date_leaves, DATE_RAW),
-        (re.search(r"addressStructured(\.address)?$", path) is not None, ADDRESS),
-        (leaf == "phone", PHONE),
-        (leaf == "email", EMAIL),
-        (leaf in spec.identifier_leaves, IDENTIFIER),
-        (leaf in spec.contained_leaves, TEXT_CONTAINED),
-    )
-    return next((rule for fits, rule in order if fits), TEXT)
+    """The rule of a leaf by its declared type and its place; text where nothing else fits."""
+    leaf = Leaf(path, declared, spec)
+    return next((rule for rule, tests in CHOICES.items() if any(t(leaf) for t in tests)), TEXT)
+
+
+def consumed_paths(spec: DocType) -> set[str]:
+    """Leaves that are read as a part of another field and have no verdict of their own: the sources of merged targets, the
+    components of addresses, and the scalars that join a list."""
+    parts = {p for p in leaf_inventory(spec) if ".addressStructured." in p}
+    return parts.union(*spec.merged_targets.values(), *spec.list_union_sources.values()) - set(spec.merged_targets)
 
 
 def rule_registry(spec: DocType, inventory: dict[str, str] | None = None) -> dict[str, str]:

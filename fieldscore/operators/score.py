@@ -60,7 +60,7 @@ def score_run(gt_records: DataFrame, doc_results: DataFrame, options: ScoringOpt
     cells_of = sections or {"lineItems": rows.LINE_ITEM_TARGETS}
     truth = current_records(gt_records).select("doc_id", "gt")
     long = preds.join(truth, "doc_id").select("run_id", "doc_id", "arm", F.inline(F.array(*[F.struct(F.lit(s).alias("section"), F.try_element_at("gt", F.lit(s)).alias("gt_rows"), F.to_json(F.try_variant_get("payload", f"$.{s}", "variant")).alias("pred_rows")) for s in cells_of])))
-    aligned = cut(rows.aligned(long.filter("gt_rows is not null and gt_rows <> '__ABSENT__'")))
+    aligned = cut(rows.aligned(long.filter("gt_rows is not null and gt_rows <> '__ABSENT__'"), options=options))
     cells = cut(rows.row_cells(aligned, cells_of, options))
     arms = [a for a in options.arm_order]
     pairs = [(a, b) for i, a in enumerate(arms) for b in arms[i + 1 :]]

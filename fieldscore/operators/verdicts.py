@@ -27,9 +27,16 @@ def predictions(doc_results: DataFrame) -> DataFrame:
 def _fields(payload: str, doc_type: str) -> Column:
     """array<struct<path, rule, pred>> of all scoreable paths of the row's document type, as one parsed expression."""
 
+    def value(name: str, path: str) -> str:
+        sources = DOC_TYPES[name].merged_targets.get(path)
+        if not sources:
+            return f"try_variant_get({payload}, '$.{path}', 'variant')"
+        said = ", ".join(f"nullif(trim(try_variant_get({payload}, '$.{s}', 'string')), '')" for s in sources)
+        return f"cast(nullif(concat_ws(' ', {said}), '') as variant)"  # what the sources say, joined
+
     def of(name: str) -> str:
         rules = {p: r for p, r in rule_registry(DOC_TYPES[name]).items() if "[]" not in p}
-        return "array(" + ", ".join(f"named_struct('path', '{p}', 'rule', '{r}', 'pred', try_variant_get({payload}, '$.{p}', 'variant'))" for p, r in sorted(rules.items())) + ")"
+        return "array(" + ", ".join(f"named_struct('path', '{p}', 'rule', '{r}', 'pred', {value(name, p)})" for p, r in sorted(rules.items())) + ")"
 
     return F.expr("CASE " + " ".join(f"WHEN {doc_type} = '{n}' THEN {of(n)}" for n in DOC_TYPES) + " END")
 

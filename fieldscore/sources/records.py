@@ -28,6 +28,14 @@ def read_runs(spark: SparkSession, folder: str) -> DataFrame:
     return f.select(F.regexp_extract(name, r"([^/]+)/raw/[^/]+$", 1).alias("run_id"), F.regexp_extract(name, r"([^/]+)\.json$", 1).alias("doc_id"), F.try_parse_json("value").alias("result"))
 
 
+def run_arms(runs: DataFrame, records: DataFrame) -> DataFrame:
+    """(run_id, doc_id, arm, payload) of run files that are ok and whose document has a record; arms named ``_...`` and arms that
+    are no objects don't count."""
+    ok = runs.filter(F.try_variant_get("result", "$.ok", "boolean")).join(records.select("doc_id").distinct(), "doc_id", "left_semi")
+    arms = ok.select("run_id", "doc_id", F.explode(F.try_variant_get("result", "$.arms", "map<string,variant>")).alias("arm", "payload"))
+    return arms.filter(~F.col("arm").startswith("_") & F.schema_of_variant("payload").startswith("OBJECT"))
+
+
 def read_leaf_paths(spark: SparkSession, path: str) -> dict[str, str]:
     """path -> type from a tab-separated inventory; comments and blank lines don't count."""
     rows = spark.read.text(path, wholetext=True).first()

@@ -80,3 +80,10 @@ def test_bootstrap_where_every_document_is_a_cluster(spark):
     v = spark.range(4000).selectExpr("'RAW' AS arm", "'p' AS path", "concat('c', id) AS cluster_id", "CASE WHEN id % 10 = 0 THEN 'wrong' ELSE 'correct' END AS state")
     r = metrics.bootstrap_intervals(v).first()
     assert r.n_clusters == 4000 and 0.885 < r.low < 0.895 and 0.905 < r.high < 0.915  # 0.9 +- 1.96 * 0.0047
+
+
+def test_arms_of_run_files(spark):
+    rows = [("r", "a", '{"ok": true, "arms": {"RAW": {"x": 1}, "_p": {}, "FINAL": null}}'), ("r", "b", '{"ok": false, "arms": {"RAW": {}}}'), ("r", "z", '{"ok": true, "arms": {"RAW": {}}}'), ("r", "c", "{")]
+    runs = spark.createDataFrame(rows, "run_id string, doc_id string, t string").select("run_id", "doc_id", F.try_parse_json("t").alias("result"))
+    records = spark.createDataFrame([("a",), ("b",), ("c",)], "doc_id string")
+    assert [(r.doc_id, r.arm, r.p) for r in S.run_arms(runs, records).select("doc_id", "arm", F.to_json("payload").alias("p")).collect()] == [("a", "RAW", '{"x":1}')]
