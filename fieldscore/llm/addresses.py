@@ -25,6 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from fieldscore.functions.expr import let
 from fieldscore.session import cut
 
 # Words of printed addresses and what they stand for.
@@ -53,7 +54,8 @@ _FOLD = str.maketrans({"o": "0", "l": "1", "i": "1", "s": "5", "b": "8"})
 
 @dataclass(frozen=True)
 class AddressForm:
-    """Parameters: the n-gram length; the cosine that two streets and two towns need; the weight of a known name as a
+    """Parameters: the n-gram length; the cosine that two streets and two towns need, and what two streets need by their
+    n-grams alone, which prunes the index; the weight of a known name as a
     whole, against its n-grams; when a name is known (addresses that hold it and house numbers it is seen with) and
     isn't a misprint (``far_rarer`` times rarer than a word an edit away, at whose places at least ``at_places`` of its
     own are); and how much more common than the other side's town a word must be to be no town but a region or country."""
@@ -61,6 +63,7 @@ class AddressForm:
     gram: int = 2
     street: float = 0.22
     town: float = 0.2
+    letters: float = 0.4
     whole: float = 3.0
     wider: float = 4.0
     smooth: float = 5.0
@@ -292,13 +295,19 @@ def word_roots(members: DataFrame, form: AddressForm) -> DataFrame:
     return often.join(meant, "word", "left").select("word", F.coalesce("root", "word").alias("root"))
 
 
-VECTOR = "struct<keys:array<long>,squares:array<double>,total:double>"
+VECTOR = "struct<keys:array<long>,squares:array<double>,total:double,letters:double>"
 WORDS = "array<struct<word:string,known:boolean,n:long>>"
 
 
-def _shared(a: Column, b: Column) -> Column:
-    """The squared weights of the n-grams that two names share."""
-    return F.aggregate(F.zip_with(a["keys"], a["squares"], lambda g, w: F.when(F.array_contains(b["keys"], g), w).otherwise(0.0)), F.lit(0.0), lambda t, w: t + w)
+def _shared(a: Column, b: Column, whole: int) -> Column:
+    """The squared weights of what two names share: in all, and by n-grams alone (those below ``whole``)."""
+    start = F.struct(F.lit(0.0).alias("all"), F.lit(0.0).alias("letters"))
+
+    def add(t: Column, z: Column) -> Column:
+        w = F.when(F.array_contains(b["keys"], z["keys"]), z["squares"]).otherwise(0.0)
+        return F.struct((t["all"] + w).alias("all"), (t["letters"] + F.when(z["keys"] < whole, w).otherwise(0.0)).alias("letters"))
+
+    return F.aggregate(F.arrays_zip(a["keys"].alias("keys"), a["squares"].alias("squares")), start, add)
 
 
 def same_places(addresses: DataFrame, ident: str = "addr", text: str = "text", form: AddressForm = AddressForm()) -> tuple[DataFrame, DataFrame]:
@@ -335,26 +344,32 @@ def same_places(addresses: DataFrame, ident: str = "addr", text: str = "text", f
         weights = NameGrams(form, *shared.value)
 
         def packed(v: dict[int, float]) -> dict:
-            return {"keys": list(v), "squares": list(v.values()), "total": sum(v.values())}
+            return {"keys": list(v), "squares": list(v.values()), "total": sum(v.values()), "letters": sum(w for g, w in v.items() if g < form.hashed_grams)}
 
         for b in batches:
             out = {"prefix": [], "s": [], "r": []}
             for street, rest, held in zip(b["street"], b["rest"], b["roots"], strict=True):
                 known = {r["word"]: (r["root"], r["n"]) for r in held} if held is not None else {}
                 v = weights.vector([street], {w: r for w, (r, _) in known.items()})
-                out["prefix"].append(weights.prefix(v, form.street))
+                out["prefix"].append(weights.prefix({g: w for g, w in v.items() if g < form.hashed_grams}, form.letters))
                 out["s"].append(packed(v))
                 out["r"].append([{"word": known[w][0] if w in known else w, "known": w in known, "n": known[w][1] if w in known else 0} for w in rest.split() if len(w) > 2 or w in known])
             yield b.drop(columns=["roots", "street", "rest"]).assign(**out)
 
     fields = "rep string, number string, unit string, direction string, kind string, first string"
-    held = reps.select("rep", *PARTS, "roots").mapInPandas(vectors, f"{fields}, prefix array<long>, s {VECTOR}, r {WORDS}")
-    index = held.select("number", "unit", F.explode("prefix").alias("gram"), F.struct("rep", "direction", "kind", "first", "prefix", "s", "r").alias("x"))
-    pairs = index.join(index.withColumnRenamed("x", "y"), ["number", "unit", "gram"])
+    held = reps.select("rep", *PARTS, "roots").mapInPandas(vectors, f"{fields}, prefix array<int>, s {VECTOR}, r {WORDS}")
+    held = cut(held)
+    slim = held.select("number", "unit", F.explode("prefix").alias("gram"), F.struct("rep", "direction", "kind", "first", "prefix").alias("x"))
+    pairs = slim.join(slim.withColumnRenamed("x", "y"), ["number", "unit", "gram"])
     agree = lambda p: (F.col(f"x.{p}") == "") | (F.col(f"y.{p}") == "") | (F.col(f"x.{p}") == F.col(f"y.{p}"))
     once = F.col("gram") == F.array_min(F.array_intersect("x.prefix", "y.prefix"))
-    pairs = pairs.filter((F.col("x.rep") < F.col("y.rep")) & agree("direction") & agree("kind") & agree("first") & once)
-    street = _shared(F.col("x.s"), F.col("y.s")) >= form.street * F.sqrt(F.col("x.s.total") * F.col("y.s.total"))
+    pairs = pairs.filter((F.col("x.rep") < F.col("y.rep")) & agree("direction") & agree("kind") & agree("first")).filter(once).select(F.col("x.rep").alias("ra"), F.col("y.rep").alias("rb"))
+    part = lambda r, n: held.select(F.col("rep").alias(r), F.struct("s", "r").alias(n))
+    pairs = pairs.join(part("ra", "x"), "ra").join(part("rb", "y"), "rb")
+    shared_grams = _shared(F.col("x.s"), F.col("y.s"), form.hashed_grams)
+    total = F.sqrt(F.col("x.s.total") * F.col("y.s.total"))
+    letters = F.sqrt(F.col("x.s.letters") * F.col("y.s.letters"))
+    street = let(shared_grams, lambda c: (c["all"] >= form.street * total) & (c["letters"] >= form.letters * letters))
 
     @F.pandas_udf("boolean")
     def towns(x: pd.Series, y: pd.Series) -> pd.Series:
@@ -369,7 +384,7 @@ def same_places(addresses: DataFrame, ident: str = "addr", text: str = "text", f
 
         return pd.Series([same_town(list(a), list(b), near, form.wider) for a, b in zip(x, y, strict=True)], dtype=bool)
 
-    return members.select("addr", "rep").distinct(), pairs.filter(street).filter(towns(F.col("x.r"), F.col("y.r"))).select(F.col("x.rep").alias("ra"), F.col("y.rep").alias("rb"))
+    return members.select("addr", "rep").distinct(), pairs.filter(street).filter(towns(F.col("x.r"), F.col("y.r"))).select("ra", "rb")
 
 
 def same_addresses(addresses: DataFrame, ident: str = "addr", text: str = "text", form: AddressForm = AddressForm()) -> DataFrame:
