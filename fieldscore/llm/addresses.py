@@ -63,7 +63,7 @@ class AddressForm:
     gram: int = 2
     street: float = 0.22
     town: float = 0.2
-    letters: float = 0.4
+    letters: float = 0.34
     whole: float = 3.0
     wider: float = 4.0
     smooth: float = 5.0
