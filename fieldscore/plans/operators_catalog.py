@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,7 +12,7 @@ from fieldscore.operators.verdicts import current_records, predictions
 from fieldscore.plans import sql_parts as S
 from fieldscore.plans import training_core as T
 from fieldscore.plans.analog import annotations, annotations_sql
-from fieldscore.session import checkpoint_dir, cut, table
+from fieldscore.session import cut, scratch, table
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -521,15 +519,21 @@ def judge_issue_counts(spark, d):  # noqa: ANN001, ANN201
     return judge_flags(table(spark, d, "doc_results")).groupBy("issue_type").agg(F.count("*").alias("n"), F.count_distinct("doc_id").alias("n_docs"))
 
 
-@query("SELECT DISTINCT doc_id, cluster_id, len(annotated_fields) AS n_annotated, gt['currency'] AS currency FROM gt_records WHERE cluster_id IS NOT NULL")
+@query("""SELECT doc_id, source_dataset, doc_type, image_path, cluster_id, keyset_id, meta, list_aggregate(list_sort(annotated_fields), 'string_agg', '|') AS annotated,
+  list_aggregate(list_sort(list_transform(map_entries(gt), lambda e: e.key || '=' || e.value)), 'string_agg', '|') AS truth,
+  list_aggregate(list_sort(list_transform(map_entries(excluded_fields), lambda e: e.key || '=' || e.value)), 'string_agg', '|') AS excluded, count(*) AS n_rows FROM gt_records GROUP BY ALL""")
 def ground_truth_roundtrip(spark, d):  # noqa: ANN001, ANN201
-    """Records written as JSON lines and read again."""
+    """Records written as JSON lines and read again, all columns and rows."""
     from fieldscore.sources.records import read_records, write_records
 
-    path = f"{checkpoint_dir(spark)}/records-{uuid.uuid4().hex}"
+    path = scratch(spark, "records")
     write_records(table(spark, d, "gt_records"), path)
     r = read_records(spark, path)
-    return r.filter("cluster_id is not null").select("doc_id", "cluster_id", F.size("annotated_fields").cast("long").alias("n_annotated"), F.try_element_at("gt", F.lit("currency")).alias("currency")).distinct()
+    line = lambda xs: F.when(F.size(xs) > 0, F.array_join(F.array_sort(xs), "|"))
+    pairs = lambda c: line(F.transform(F.map_entries(c), lambda e: F.concat(e["key"], F.lit("="), e["value"])))
+    keys = ["doc_id", "source_dataset", "doc_type", "image_path", "cluster_id", "keyset_id", "meta"]
+    wide = r.select(*keys, line(F.col("annotated_fields")).alias("annotated"), pairs("gt").alias("truth"), pairs("excluded_fields").alias("excluded"))
+    return wide.groupBy(*wide.columns).agg(F.count("*").alias("n_rows"))
 
 
 @query(S.over_verdicts("SELECT arm, path, rule, state, count(*) AS n FROM verdicts GROUP BY ALL"))

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
 import uuid
 
+from pyspark import SparkContext
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -28,20 +31,45 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return sc._jsc.sc().getCheckpointDir().get()
 
 
+_TABLES: list[str] = []
+
+
+def scratch(spark: SparkSession, kind: str = "table") -> str:
+    """A new path in the shared folder for what only this session reads; `clean` deletes it, at the latest when Python ends."""
+    path = f"{checkpoint_dir(spark).rstrip('/')}/{kind}-{uuid.uuid4().hex}"
+    if not _TABLES:
+        atexit.register(clean)
+    _TABLES.append(path)
+    return path
+
+
+def _delete(path: str) -> None:
+    jvm = SparkContext._jvm
+    if jvm is not None:
+        p = jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(jvm.org.apache.hadoop.conf.Configuration()).delete(p, True)
+
+
+def clean() -> None:
+    """Deletes all that this session wrote for itself; results that still read it must have been used before."""
+    while _TABLES:
+        with contextlib.suppress(Exception):  # the JVM may be gone
+            _delete(_TABLES.pop())
+
+
 def cut(df: DataFrame) -> DataFrame:
     """The rows written as a table in the shared folder and read again: the lineage and the plan's size estimate end
     there (a checkpoint keeps the estimate, which a loop of joins multiplies without bound)."""
-    spark = df.sparkSession
-    path = f"{checkpoint_dir(spark).rstrip('/')}/table-{uuid.uuid4().hex}"
+    path = scratch(df.sparkSession)
     df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._stored_at = path  # for forget()
     return out
 
 
 def forget(df: DataFrame) -> None:
     """Deletes the table of a `cut` that nothing reads any more."""
-    spark, path = df.sparkSession, getattr(df, "_stored_at", None)
-    if path:
-        p = spark._jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+    if path := getattr(df, "_stored_at", None):
+        _delete(path)
+        if path in _TABLES:
+            _TABLES.remove(path)

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,7 +9,7 @@ from fieldscore.operators.current import current_rows
 from fieldscore.operators.nested import arm_roots, read_json
 from fieldscore.operators.verdicts import current_records, field_rows, score_fields
 from fieldscore.options import ScoringOptions
-from fieldscore.session import checkpoint_dir, cut
+from fieldscore.session import cut, scratch
 
 
 def scored_batch(results: DataFrame, records: DataFrame, options: ScoringOptions = ScoringOptions()) -> DataFrame:
@@ -30,7 +28,7 @@ def run_to_table(spark: SparkSession, path: str, gt_records: DataFrame, options:
     stream's checkpoint and a folder per batch. At reading the current row of a key is chosen among all that were seen as
     `current_rows` does, and only its verdicts are kept, so a result that was replaced has none whatever batch it came in.
     """
-    base = f"{checkpoint_dir(spark)}/stream-{uuid.uuid4().hex}"
+    base = scratch(spark, "stream")
     schema = spark.read.parquet(path).schema
     records = cut(current_records(gt_records))
 

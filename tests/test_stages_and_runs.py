@@ -110,3 +110,19 @@ def test_score_run(spark, tmp_path):
     with pytest.raises(ValueError, match="arms"):
         score.score_run(gt, uneven)
     assert not score.score_run(gt, uneven, allow_arm_mismatch=True).arm_denominators_equal
+
+
+def test_tables_of_a_session_are_deleted(spark):
+    from pathlib import Path
+
+    from fieldscore import session
+
+    a, b = session.cut(spark.range(3).toDF("x")), session.cut(spark.range(2).toDF("x"))
+    assert a.count() == 3 and Path(a._stored_at).exists()
+    session.forget(a)
+    assert not Path(a._stored_at).exists() and b.count() == 2
+    held = list(session._TABLES)
+    session._TABLES[:] = [b._stored_at]
+    session.clean()
+    assert not Path(b._stored_at).exists() and session._TABLES == []
+    session._TABLES[:] = [x for x in held if x != b._stored_at]
