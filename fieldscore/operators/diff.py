@@ -57,6 +57,7 @@ def _no_constant(_: str) -> object:
 _DECODER = json.JSONDecoder(parse_float=_number, parse_constant=_no_constant)
 _MAY_HOLD = re.compile(r'"\s*[\[{"]')
 _HOLDS = re.compile(r"\s*[\[{\"]")
+_SILENT = re.compile(r"lnull|s[ \t\n\f\r]*")  # a null or blank leaf
 
 
 def read(text: str | None) -> object:
@@ -200,6 +201,22 @@ def bare_leaves(text: Column, name: str, form: PayloadForm = PayloadForm()) -> C
     return leaves(text)
 
 
+def lost_leaves(before: Column, after: Column, form: PayloadForm = PayloadForm()) -> Column:
+    """array<string>: the paths of leaves that say something in the texts of ``before`` (array<string>) and in none of ``after``."""
+
+    @F.arrow_udf("array<string>")
+    def lost(xs: pa.Array, ys: pa.Array) -> pa.Array:
+        r = Reader(form)
+        said = lambda texts: [p for t in texts for p, v in r.leaves(t) if not _SILENT.fullmatch(v)]
+        out = []
+        for x, y in zip(xs, ys, strict=True):
+            there = set(said(y.as_py()))
+            out.append([p for p in said(x.as_py()) if p not in there])
+        return pa.array(out, pa.list_(pa.string()))
+
+    return lost(before, after)
+
+
 def same_print(a: Column, b: Column) -> Column:
     """Whether two leaves print alike, though their JSON types or digits differ: 1.0 and "1.0"; null for an absent one."""
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fieldscore.operators.current import current_rows
-from fieldscore.operators.diff import PayloadForm, bare_leaves, json_differences, json_leaves, same_print
+from fieldscore.operators.diff import PayloadForm, bare_leaves, json_differences, json_leaves, lost_leaves, same_print
 
 LADDER = ("SERVE-LAYER", "FORMAT", "UNATTRIBUTED", "JUDGE+REFINE", "EXTRACTION", "TAIL")
 
@@ -98,15 +98,23 @@ def leaf_changes(before: DataFrame, after: DataFrame, keys: list[str], column: s
 
 def introduced_nulls(before: DataFrame, after: DataFrame, keys: list[str], column: str = "payload_json") -> DataFrame:
     """(field, n, n_docs): leaves that said something before and are null or gone after; list positions become []."""
-    form = PayloadForm(hidden="\0")
+    none = F.lit(None).cast("string")
+    sides = before.select(*keys, F.col(column).alias("before"), none.alias("after")).union(after.select(*keys, none, F.coalesce(column, F.lit("null"))))
+    return nulled_fields(sides, keys)
 
-    def leaves(df: DataFrame) -> DataFrame:
-        return df.select(*keys, F.inline(json_leaves(F.concat(F.lit('{"p":'), F.col(column), F.lit("}")), form)))
 
-    says = ~F.col("leaf").rlike(r"^(lnull|s\s*)$")
-    lost = leaves(before).filter(says).join(leaves(after).filter(says).select(*keys, "leaf_path"), [*keys, "leaf_path"], "left_anti")
+def nulled_fields(states: DataFrame, keys: list[str]) -> DataFrame:
+    """`introduced_nulls` of (keys, before, after): each row holds one state of a document, or both, as JSON text.
+
+    The states of a document meet in one group and only what was lost leaves it. A join of their leaves would be broadcast
+    at any size: Spark takes a variant for 2 KB, and so what is read out of one for some forty times smaller than it is.
+    """
+    text = lambda c: F.collect_list(F.concat(F.lit('{"p":'), F.col(c), F.lit("}"))).alias(c)
+    keyed = states.filter(" AND ".join(f"`{k}` IS NOT NULL" for k in keys))
+    docs = keyed.groupBy(*keys).agg(text("before"), text("after"))  # a document's own states only
     # documents without the later state don't count as nulled
-    lost = lost.join(after.select(*keys), keys, "left_semi")
+    docs = docs.filter((F.size("before") > 0) & (F.size("after") > 0))
+    lost = docs.select(*keys, F.explode(lost_leaves(F.col("before"), F.col("after"), PayloadForm(hidden="\0"))).alias("leaf_path"))
     field = F.regexp_replace(F.substring("leaf_path", 3, 1 << 20), r"\[\d+\]", "[]")
     return lost.withColumn("field", field).groupBy("field").agg(F.count("*").alias("n"), F.count_distinct(*keys).alias("n_docs"))
 

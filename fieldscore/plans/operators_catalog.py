@@ -493,7 +493,9 @@ def _arm_json(spark: SparkSession, d: str, arm: str) -> DataFrame:
   SELECT regexp_replace(b.p, '\\[\\d+\\]', '[]', 'g') AS field, count(*) AS n, count(DISTINCT (b.run_id, b.doc_id)) AS n_docs FROM b SEMI JOIN n USING (run_id, doc_id)
   LEFT JOIN a ON a.run_id = b.run_id AND a.doc_id = b.doc_id AND a.p = b.p AND {_SAYS.format(c="a.leaf")} WHERE {_SAYS.format(c="b.leaf")} AND a.p IS NULL GROUP BY 1""")
 def introduced_nulls(spark, d):  # noqa: ANN001, ANN201
-    return runs.introduced_nulls(_arm_json(spark, d, "RAW"), _arm_json(spark, d, "RAW_POSTPROCESSED"), ["run_id", "doc_id"])
+    arms = predictions(table(spark, d, "doc_results")).filter(F.col("arm").isin("RAW", "RAW_POSTPROCESSED"))
+    of = lambda arm: F.when(F.col("arm") == arm, F.to_json("payload"))
+    return runs.nulled_fields(arms.select("run_id", "doc_id", of("RAW").alias("before"), of("RAW_POSTPROCESSED").alias("after")), ["run_id", "doc_id"])
 
 
 @query(f"""{_LEAVES}, {_ARM_PAIR.format(b="b", a="a", x="RAW_POSTPROCESSED", y="FINAL")}
